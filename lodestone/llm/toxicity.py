@@ -28,7 +28,7 @@ from lodestone.llm._spark import checkpointed
 from lodestone.llm._words import PLAIN_LOWER, U64, mix, word_hashes
 
 BITS = 24
-MAX_ROWS = 20_000
+MAX_ROWS = 16_000
 #: Multipliers of the first word of a pair, by the number of words between the two.
 _GAPS = {1: 0x9E3779B97F4A7C15, 2: 0xC2B2AE3D27D4EB4F, 3: 0x165667B19E3779F9}
 
@@ -37,11 +37,11 @@ _GAPS = {1: 0x9E3779B97F4A7C15, 2: 0xC2B2AE3D27D4EB4F, 3: 0x165667B19E3779F9}
 class Settings:
     """Learning rate and its floor, L1 and L2 terms, passes over the sample."""
 
-    alpha: float = 0.2
+    alpha: float = 1.0
     beta: float = 1.0
-    l1: float = 1.5
-    l2: float = 0.1
-    epochs: int = 3
+    l1: float = 5.0
+    l2: float = 0.01
+    epochs: int = 4
 
 
 def features(words: np.ndarray) -> np.ndarray:
