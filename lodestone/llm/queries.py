@@ -35,8 +35,8 @@ sh AS (SELECT DISTINCT doc_id, array_to_string(ws[s:s + least(len(ws), 5) - 1],
 n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
 c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.t = b.t AND a.doc_id <> b.doc_id GROUP BY 1, 2),
 e AS (SELECT x, y FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 80 * (p.n + q.n - c)),
-r(doc_id, at) AS (SELECT x, y FROM e UNION SELECT r.doc_id, e.y FROM r JOIN e ON e.x = r.at),
-m AS (SELECT doc_id, min(at) AS least_id FROM r GROUP BY doc_id)
+r(doc_id, y) AS (SELECT x, y FROM e UNION SELECT r.doc_id, e.y FROM r JOIN e ON e.x = r.y),
+m AS (SELECT doc_id, min(y) AS least_id FROM r GROUP BY doc_id)
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(m.least_id, d.doc_id)) AS component_id
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
 """

@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lodestone.llm._spark import checkpointed
 from lodestone.llm._words import PLAIN_LOWER, U64, mix, word_hashes
@@ -160,7 +161,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: in
 def score_texts(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with a column ``toxicity_score`` (one of that name is replaced)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    plain = docs.drop("toxicity_score")
+    plain = docs.select(*[c for c in docs.columns if c != "toxicity_score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
@@ -169,8 +170,7 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
             scores = [known.score(words[i:j]) for i, j in zip(bounds[:-1], bounds[1:])]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "toxicity_score"])
 
-    schema = plain.schema.add("toxicity_score", "double")
-    return plain.mapInArrow(run, schema)
+    return plain.mapInArrow(run, StructType([*plain.schema.fields, StructField("toxicity_score", DoubleType())]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **settings) -> DataFrame:
