@@ -5,11 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodestone.llm.decontaminate import contamination
+from lodestone.llm.licenses import scan_licenses
+from lodestone.llm.mixture import mix_sources, token_count
 from lodestone.llm.ngram_join import ngram_components
+from lodestone.llm.sharding import shard_records
 from lodestone.llm.substrings import remove_repeats
 from lodestone.llm.toxicity import toxicity
+from lodestone.llm.url_rules import judge_urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +25,25 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_records(_table(spark, sf_dir, "documents"), n_shards=24, carry=["doc_id"])
+
+
+def op4_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix_sources(_table(spark, sf_dir, "documents"))
+    return mixed.select(
+        "doc_id", F.col("mix_domain").alias("domain"), "lang", "source", F.col("mix_epoch").alias("epoch"), token_count(F.col("text")).alias("n_tokens")
+    )
+
+
+def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(_table(spark, sf_dir, "pages"))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(_table(spark, sf_dir, "documents"), n=5, percent=80)
 
@@ -32,6 +56,26 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents"), window=13, texts=False)
 
 
+_OP5 = r"""
+WITH p AS (SELECT page_id, coalesce(substr(url, CASE WHEN instr(url, '://') > 0 THEN instr(url, '://') + 3 ELSE length(url) + 1 END), '') AS rest FROM pages),
+q AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+r(rule, h, pre, verdict) AS (VALUES ('com/en/', 'com', '/en/', 'block'), ('example.com/en/7', 'example.com', '/en/7', 'allow'), ('net/de/', 'net', '/de/', 'allow'),
+                                    ('example.net/de/8', 'example.net', '/de/8', 'block'), ('org/es/', 'org', '/es/', 'block')),
+f AS (SELECT q.*, r.rule, r.verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(r.rule) DESC NULLS LAST) AS k
+      FROM q LEFT JOIN r ON (q.host = r.h OR ends_with(q.host, '.' || r.h)) AND starts_with(q.path, r.pre)),
+m AS (SELECT *, CASE WHEN regexp_matches(host, '^(.*\.)?spam-farm\.') THEN 'spam-farm'
+                     WHEN regexp_matches(host, '^(.*\.)?adult(-[a-z0-9]+)?\.') THEN 'adult'
+                     WHEN regexp_matches(host, '^(.*\.)?cheap-pills\.') THEN 'pills'
+                     WHEN regexp_matches(host, '^(.*\.)?free-bets\.') THEN 'bets'
+                     WHEN regexp_matches(host, '^(.*\.)?ads?-track(er|ing)?\.') THEN 'ad-tracker'
+                     WHEN regexp_matches(host, '^(.*\.)?casino(-[a-z0-9]+)*\.') THEN 'casino'
+                     WHEN regexp_matches(path, '^/(.*/)?torrents?/') THEN 'torrent'
+                     WHEN regexp_matches(path, '^/(.*/)?login(/|$)') THEN 'login' END AS named FROM f WHERE k = 1)
+SELECT page_id, host, path, rule, CASE WHEN rule IS NOT NULL THEN verdict WHEN named IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict,
+       CASE WHEN rule IS NULL THEN named END AS pattern_rule FROM m
+"""
+
 _OP6 = r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                                    '[^\x20\x09-\x0D]+') AS ws FROM documents),
@@ -82,11 +126,15 @@ FROM j
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
+        "op3_sharding": op3_sharding,
+        "op4_source_mixture": op4_source_mixture,
+        "op5_url_rules": op5_url_rules,
         "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+        "op7_license_scan": op7_license_scan,
         "op8_decontamination": op8_decontamination,
         "op9_substring_dedup": op9_substring_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_ngram_jaccard_join": _OP6, "op8_decontamination": _OP8, "op9_substring_dedup": _OP9}
+    return {"op5_url_rules": _OP5, "op6_ngram_jaccard_join": _OP6, "op8_decontamination": _OP8, "op9_substring_dedup": _OP9}
