@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._spark import checkpointed, pieces, shuffle_width, text_bytes
+from lodestone.llm._spark import checkpointed, pieces, shuffle_width
 from lodestone.llm._words import SPACED_LOWER, U64, WordClass, window_hashes, word_hashes
 from lodestone.llm.components import connected_components
 
@@ -72,6 +72,17 @@ def _digest(words: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
 
 
+def shingle_builder(n: int, kind: WordClass = SPACED_LOWER):
+    """A function from a text column to each row's set and the digest of its word sequence."""
+
+    def build(column: pa.Array) -> tuple[list[np.ndarray], list[tuple]]:
+        words, bounds = word_hashes(column, kind)
+        keys = [_digest(words[i:j]) if j > i else (None, None) for i, j in zip(bounds[:-1], bounds[1:])]
+        return shingle_sets(words, bounds, n), keys
+
+    return build
+
+
 def least_overlap(size: int, percent: int) -> int:
     """The least intersection of a set of this size with any partner."""
     return (percent * size + 99) // 100
@@ -87,14 +98,12 @@ def _runs(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.diff(np.append(first, len(ordered)))
 
 
-def _digests(kind: WordClass, n: int, share: float):
+def _digests(build, share: float):
     """Rows of documents (token null) and of tokens frequent in a batch (token set, size its count)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = shingle_sets(*(parts := word_hashes(batch.column("text"), kind)), n)
-            words, bounds = parts
-            keys = [_digest(words[i:j]) if j > i else (None, None) for i, j in zip(bounds[:-1], bounds[1:])]
+            sets, keys = build(batch.column("text"))
             rows = len(sets)
             tokens = np.sort(np.concatenate(sets)) if sets else np.zeros(0, U64)
             first, length = _runs(tokens)
@@ -118,21 +127,19 @@ def _bucket(tokens: np.ndarray, n: int) -> np.ndarray:
     return (((tokens & U64(0xFFFFFFFF)) * U64(n)) >> U64(32)).astype(np.int64)
 
 
-def _prefixes(kind: WordClass, n: int, percent: int, lead: float, n_buckets: int, frequent):
+def _prefixes(build, percent: int, lead: float, n_buckets: int, frequent):
     """Each batch's prefix tokens, one row a bucket: the tokens' upper halves, and of each set the node, size and count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = np.frombuffer(frequent.value, U64)
         for batch in batches:
-            words, bounds = word_hashes(batch.column("text"), kind)
+            sets, keys = build(batch.column("text"))
             known = batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
             seen: set[int] = set()
             nodes, sizes, picked = [], [], []
-            for row, tokens in enumerate(shingle_sets(words, bounds, n)):
-                if not len(tokens) or not known[row]:
-                    continue
-                node = _digest(words[bounds[row] : bounds[row + 1]])[0]
-                if node in seen:
+            for row, tokens in enumerate(sets):
+                node = keys[row][0]
+                if not len(tokens) or not known[row] or node in seen:
                     continue
                 seen.add(node)
                 size = len(tokens)
@@ -228,15 +235,14 @@ def _count_runs(percent: int, limit: int):
     return run
 
 
-def _sets(kind: WordClass, n: int):
+def _sets(build):
     """Whole sets of the candidates; a row whose text isn't that of its class goes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, bounds = word_hashes(batch.column("text"), kind)
+            sets, keys = build(batch.column("text"))
             want = zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist())
-            keep = [r for r, k in enumerate(want) if _digest(words[bounds[r] : bounds[r + 1]]) == k]
-            sets = shingle_sets(words, bounds, n)
+            keep = [r for r, k in enumerate(want) if keys[r] == k]
             rows = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_pydict(
                 {
@@ -394,10 +400,16 @@ def _link_large(sets: DataFrame, percent: int, group_tokens: int) -> DataFrame:
     return connected_components(first.unionByName(second)).select(F.col("node").alias("rep"), "root")
 
 
-def ngram_components(
+def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, **settings) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` for every row of ``docs``; settings as for ``set_components``."""
+    found = set_components(docs, shingle_builder(n), percent, **settings)
+    return found.select("doc_id", F.col("size").alias("n_shingles"), "component_id")
+
+
+def set_components(
     docs: DataFrame,
-    n: int = 5,
-    percent: int = 80,
+    build,
+    percent: int,
     lead: float = LEAD,
     run: int = RUN,
     group_tokens: int = GROUP_TOKENS,
@@ -405,16 +417,15 @@ def ngram_components(
     max_broadcast_rows: int = MAX_BROADCAST_ROWS,
     share: float = 0.005,
 ) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for every row of ``docs``.
+    """``doc_id, size, component_id``: the self-join of the sets that ``build`` makes of the texts.
 
     ``lead``: how much of a set its prefix is lengthened by, and so how much of it partners must share there.
     ``run``: documents a token may have for its pairs to be counted.  ``share``: the part of a batch, and of all
     documents, from which a token goes to the end of the order.  None of these changes the result.
     """
     spark = docs.sparkSession
-    kind = SPACED_LOWER
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = checkpointed(docs.mapInArrow(_digests(kind, n, share), "doc_id long, k1 long, k2 long, size long, token long"))
+    found = checkpointed(docs.mapInArrow(_digests(build, share), "doc_id long, k1 long, k2 long, size long, token long"))
     digests = found.filter("token is null").drop("token")
     n_docs, n_tokens = digests.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     often = (
@@ -430,7 +441,7 @@ def ngram_components(
 
     n_buckets = pieces(n_tokens * 4, 8 << 20, shuffle_width(spark))
     prefixes = docs.mapInArrow(
-        _prefixes(kind, n, percent, lead, n_buckets, frequent), "bucket int, tokens binary, nodes binary, sizes binary, counts binary"
+        _prefixes(build, percent, lead, n_buckets, frequent), "bucket int, tokens binary, nodes binary, sizes binary, counts binary"
     )
     counted = checkpointed(
         prefixes.repartition(n_buckets, "bucket").groupBy("bucket").applyInArrow(_count_runs(percent, run), "a long, b long, n_a long, n_b long, common long")
@@ -458,7 +469,7 @@ def ngram_components(
     sets = docs.join(asked, F.col("doc_id") == F.col("rep")).select("text", "rep", "k1", "k2", "part", "large")
 
     def whole(large: bool) -> DataFrame:
-        return sets.filter(F.col("large") == large).mapInArrow(_sets(kind, n), "part long, rep long, tokens binary")
+        return sets.filter(F.col("large") == large).mapInArrow(_sets(build), "part long, rep long, tokens binary")
 
     linked = whole(False).repartition("part").sortWithinPartitions("part", "rep").mapInArrow(_link_parts(percent), "rep long, root long")
     if any_large:
@@ -467,11 +478,13 @@ def ngram_components(
     roots = classes.select("k1", "k2", "rep").join(linked, "rep", "left").select("k1", "k2", F.coalesce("root", "rep").alias("root"))
     return (
         digests.join(checkpointed(roots), ["k1", "k2"], "left")
-        .select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"))
+        .select("doc_id", F.col("size"), F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"))
     )
 
 
-def keep_one_of_each(docs: DataFrame, **settings) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, max_broadcast_rows: int = MAX_BROADCAST_ROWS, **settings) -> DataFrame:
     """The documents whose id names their component: one of each group of near copies, and all others."""
-    kept = ngram_components(docs, **settings).filter("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    found = ngram_components(docs, max_broadcast_rows=max_broadcast_rows, **settings)
+    dropped = checkpointed(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("dropped_id")).distinct())
+    few = dropped.count() <= max_broadcast_rows
+    return docs.join(F.broadcast(dropped) if few else dropped, docs["doc_id"] == dropped["dropped_id"], "left_anti")

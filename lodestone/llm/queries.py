@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.llm.chat import format_chats
 from lodestone.llm.decontaminate import contamination
 from lodestone.llm.licenses import scan_licenses
 from lodestone.llm.mixture import mix_sources, token_count
 from lodestone.llm.ngram_join import ngram_components
 from lodestone.llm.sharding import shard_records
+from lodestone.llm.spotsigs import fingerprint_edits
 from lodestone.llm.substrings import remove_repeats
 from lodestone.llm.toxicity import toxicity
 from lodestone.llm.url_rules import judge_urls
@@ -25,6 +27,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op2_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_edits(_table(spark, sf_dir, "documents"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_records(_table(spark, sf_dir, "documents"), n_shards=24, carry=["doc_id"])
 
@@ -56,6 +62,10 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents"), window=13, texts=False)
 
 
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_chats(_table(spark, sf_dir, "conversations"))
+
+
 _OP5 = r"""
 WITH p AS (SELECT page_id, coalesce(substr(url, CASE WHEN instr(url, '://') > 0 THEN instr(url, '://') + 3 ELSE length(url) + 1 END), '') AS rest FROM pages),
 q AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
@@ -126,6 +136,7 @@ FROM j
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
+        "op2_spotsigs": op2_spotsigs,
         "op3_sharding": op3_sharding,
         "op4_source_mixture": op4_source_mixture,
         "op5_url_rules": op5_url_rules,
@@ -133,6 +144,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_license_scan": op7_license_scan,
         "op8_decontamination": op8_decontamination,
         "op9_substring_dedup": op9_substring_dedup,
+        "op10_chat_format": op10_chat_format,
     }
 
 
