@@ -1,15 +1,580 @@
-"""Registered queries of the engine and the DuckDB SQL that checks them."""
+"""Registered queries of the engine and the DuckDB SQL that checks them.
+
+A query's name starts with the operators of the survey that it covers.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from lodestone.functions import models as M
+from lodestone.functions import text as X
+from lodestone.functions import urls as U
+from lodestone.functions.html import page_links, page_text
+from lodestone.operators import bm25, crawl, fusion, selection, vector
+from lodestone.operators.chunking import chunk_documents, fixed_windows, renumbered
+from lodestone.plans import search
+from lodestone.sources import files as files_in
+from lodestone.sources import logs, store
+from lodestone.streaming.ingest import activity_windows
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def _register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def keep(query: Query) -> Query:
+        _QUERIES[name] = query
+        if sql is not None:
+            _SQL[name] = sql
+        return query
+
+    return keep
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def document_files(docs: DataFrame, suffix: str = ".md") -> DataFrame:
+    """Documents as the files they stand for: a folder a source, modification times by id, a url for every third."""
+    name = F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(suffix))
+    return docs.select(
+        F.concat(F.lit("/data/"), "source", F.lit("/"), name).alias("source_path"),
+        name.alias("filename"),
+        (F.col("doc_id") * 1.5).cast("double").alias("mtime"),
+        F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("https://example.org/doc/"), F.col("doc_id").cast("string"))).alias("original_url"),
+        "text",
+    )
+
+
+# Texts
+
+_LINKED = r"'[see ' || lang || '](http://x.org/' || doc_id || ') ' || text"
+
+
+@_register(
+    "P01_P02_strip_links",
+    rf"""SELECT doc_id, md5(regexp_replace(t, '\[([^\]]+)\]\([^)]+\)', '\1', 'g')) AS stripped_md5,
+         CAST(length(regexp_replace(t, '\[([^\]]+)\]\([^)]+\)', '\1', 'g')) AS BIGINT) AS effective_length
+         FROM (SELECT doc_id, {_LINKED} AS t FROM documents)""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat(F.lit("[see "), "lang", F.lit("](http://x.org/"), F.col("doc_id").cast("string"), F.lit(") "), "text")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", text.alias("t"))
+    return docs.select("doc_id", F.md5(X.strip_links(F.col("t"))).alias("stripped_md5"), X.effective_length(F.col("t")).cast("long").alias("effective_length"))
+
+
+@_register(
+    "P03_normalize_newlines",
+    r"""SELECT doc_id, md5(regexp_replace(replace(replace(text, '. ', '.' || chr(13) || chr(10)), chr(13) || chr(10), chr(10)) || repeat(chr(10), 5) || 'x',
+        '\n{3,}', chr(10) || chr(10), 'g')) AS text_md5 FROM documents""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat(F.replace("text", F.lit(". "), F.lit(".\r\n")), F.lit("\n" * 5 + "x"))
+    return _table(spark, sf_dir, "documents").select("doc_id", F.md5(X.normalize_newlines(text)).alias("text_md5"))
+
+
+@_register(
+    "P04_S03_processing_mode",
+    r"""SELECT page_id, e AS extension, CASE WHEN e IN ('.md', '.markdown', '.txt') THEN 'markdown/text' WHEN e IN ('.html', '.htm') THEN 'html'
+        ELSE 'unknown_fallback_raw' END AS mode, e IN ('.md', '.markdown', '.txt', '.html', '.htm') AS allowed
+        FROM (SELECT page_id, lower(regexp_extract(regexp_extract(url, '^[^?#]*', 0), '[^/.][^/]*?(\.[^./]+)$', 1)) AS e FROM pages)""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.regexp_extract("url", "^[^?#]*", 0)
+    ext = X.extension(name)
+    return _table(spark, sf_dir, "pages").select(
+        "page_id", ext.alias("extension"), X.processing_mode(name).alias("mode"), ext.isin(*files_in.ALLOWED_EXTENSIONS).alias("allowed")
+    )
+
+
+_CLEANED = r"""array_to_string(list_filter(string_split(t, chr(10)), lambda l: NOT (
+    lower(trim(l)) IN ('available for this page:', '[ back to top ▲ ]', 'back to top ▲', '[ back to top ]', 'back to top')
+    OR regexp_matches(trim(l), '^\[[^\]]+\]\([^)]+\)$') OR regexp_matches(trim(l), '^\[\*\*?[^*]+\*\*?\]\([^)]+\)$')
+    OR regexp_matches(trim(l), '^uid\s+\[\s*unknown\s*\]') OR regexp_matches(trim(l), '^(\[[a-z-]+\]\s+\[[^\]]+\]\([^)]+\)\s*)+$'))), chr(10))"""
+
+
+@_register(
+    "P08_clean_lines",
+    rf"""SELECT doc_id, md5({_CLEANED}) AS cleaned_md5, CAST(length({_CLEANED}) AS BIGINT) AS n_chars
+         FROM (SELECT doc_id, 'Back to Top' || chr(10) || '[a](b) ' || chr(10) || 'uid [ unknown ] x' || chr(10) || '[en] [x](y) [de] [z](w)' || chr(10) || text AS t FROM documents)""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat(F.lit("Back to Top\n[a](b) \nuid [ unknown ] x\n[en] [x](y) [de] [z](w)\n"), "text")
+    cleaned = X.clean_lines(text)
+    return _table(spark, sf_dir, "documents").select("doc_id", F.md5(cleaned).alias("cleaned_md5"), F.length(cleaned).cast("long").alias("n_chars"))
+
+
+@_register(
+    "P10_P11_P12_identifiers",
+    r"""SELECT doc_id, substr(sha1(source), 1, 8) AS source_hash, substr(sha1(source), 1, 8) || '_' || doc_id || '_' || substr(sha1(text), 1, 8) AS chunk_id,
+        substr(sha256(source || '/' || doc_id), 1, 16) AS page_key,
+        regexp_matches(substr(sha256(source || '/' || doc_id), 1, 16) || '.md', '^[0-9a-fA-F]{16}\.md$') AS is_page_file FROM documents""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = U.page_key(F.concat_ws("/", "source", F.col("doc_id").cast("string")))
+    return _table(spark, sf_dir, "documents").select(
+        "doc_id",
+        X.short_hash(F.col("source")).alias("source_hash"),
+        X.chunk_id(F.col("source"), F.col("doc_id"), F.col("text")).alias("chunk_id"),
+        key.alias("page_key"),
+        U.is_page_file(F.concat(key, F.lit(".md"))).alias("is_page_file"),
+    )
+
+
+@_register(
+    "P18_P20_P23_text_measures",
+    r"""SELECT doc_id, CAST(CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, length(text) // 4) END AS INTEGER) AS tokens,
+        CASE WHEN doc_id % 3 = 0 THEN 'https://example.org/' || doc_id ELSE source END AS display_source,
+        md5(substr(text, 1, 3072)) AS embed_md5, CASE WHEN length(text) > 150 THEN substr(text, 1, 150) || '...' ELSE text END AS preview FROM documents""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    url = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(" https://example.org/"), F.col("doc_id").cast("string"))).otherwise(F.lit(" "))
+    return _table(spark, sf_dir, "documents").select(
+        "doc_id",
+        X.estimated_tokens(F.col("text")).alias("tokens"),
+        X.display_source(url, F.col("source")).alias("display_source"),
+        F.md5(X.embed_input(F.col("text"))).alias("embed_md5"),
+        X.preview(F.col("text")).alias("preview"),
+    )
+
+
+@_register(
+    "P21_A10_render_conversations",
+    r"""SELECT conv_id, string_agg('<p>' || replace(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'),
+        '''', '&#x27;'), chr(10), '<br>') || '</p>', '' ORDER BY turn) AS html FROM conversations GROUP BY conv_id""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", X.html_paragraph(F.col("text")).alias("part"))
+    return rows.groupBy("conv_id").agg(F.array_join(F.transform(selection.in_order("turn", F.col("part").alias("part")), lambda r: r["part"]), "").alias("html"))
+
+
+@_register(
+    "P19_P24_display",
+    r"""SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M') AS shown_at, round(1 - value / 2, 6) AS similarity,
+        CASE WHEN length(event_type || props) > 12 THEN substr(event_type || props, 1, 12) || '...' ELSE event_type || props END AS label FROM events""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.concat("event_type", "props")
+    return _table(spark, sf_dir, "events").select(
+        "event_id",
+        F.date_format("ts", "yyyy-MM-dd HH:mm").alias("shown_at"),
+        F.round(X.similarity_of_distance(F.col("value")), 6).alias("similarity"),
+        X.preview(label, 12).alias("label"),
+    )
+
+
+# Urls
+
+_N = r"""(SELECT page_id, url, p, CASE WHEN q[1] = '' THEN '' ELSE array_to_string(list_sort(q), '&') END AS q, o FROM
+  (SELECT page_id, url, regexp_extract(url, '^https?://[^/?#]*', 0) AS o,
+     CASE WHEN regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) = '' THEN '/' ELSE regexp_replace(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), '/+', '/', 'g') END AS p,
+     list_sort(string_split(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), '&')) AS q FROM pages))"""
+_NORMAL = r"""o || p || CASE WHEN q <> '' THEN '?' || q ELSE '' END ||
+  CASE WHEN q = '' AND NOT ends_with(p, '/') AND NOT (contains(regexp_extract(p, '[^/]*$', 0), '.') AND NOT ends_with(p, '.')) THEN '/' ELSE '' END"""
+
+
+@_register("P14_normalize_url", f"SELECT page_id, {_NORMAL} AS normal_url, substr(sha256({_NORMAL}), 1, 16) AS page_key FROM {_N}")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    normal = U.normalize_url(F.col("url"))
+    return _table(spark, sf_dir, "pages").select("page_id", normal.alias("normal_url"), U.page_key(normal).alias("page_key"))
+
+
+@_register(
+    "P16_file_slug",
+    r"""SELECT page_id, substr(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://', ''),
+        '^(?i:www\.)', ''), '[/:\\?*"<>|=]+', '_', 'g'), '\s+', '_', 'g'), '_+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 40) AS slug FROM pages""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "pages").select("page_id", U.file_slug(F.col("url")).alias("slug"))
+
+
+@_register(
+    "F03_J09_valid_urls",
+    r"""SELECT page_id, h AS host, NOT contains(u, '#') AND NOT regexp_matches(p, '\.(jpg|png|pdf|txt|xml|json)$')
+          AND NOT regexp_matches(u, '(/|\.)(login|signin|signup|register|auth|account|profile|user|admin|dashboard)($|/|\?|#)')
+          AND (h = 'example.com' OR ends_with(h, '.example.com') OR h = 'tionsh.example.net' OR ends_with(h, '.tionsh.example.net')) AS is_valid
+        FROM (SELECT page_id, lower(url) AS u, lower(regexp_extract(url, '^https?://([^/?#]*)', 1)) AS h, lower(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1)) AS p FROM pages)""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    url = F.col("url")
+    return _table(spark, sf_dir, "pages").select(
+        "page_id", F.lower(U.url_part(url, 2)).alias("host"), U.is_valid_content_url(url, ["example.com", "tionsh.example.net"]).alias("is_valid")
+    )
+
+
+_LINKS = r"""(SELECT page_id, url, n, a[n] AS a FROM (SELECT page_id, url, a, unnest(range(1, len(a) + 1)) AS n FROM
+  (SELECT page_id, url, regexp_extract_all(html, '(?s)<a\s[^>]*?href="[^"]*"[^>]*>.*?</a>') AS a FROM pages)))"""
+_SCORE = " + ".join(
+    f"((length({{0}}) - length(replace({{0}}, '{word}', ''))) // {len(word)})" for word in U.RELEVANCE_KEYWORDS
+)
+
+
+@_register(
+    "P15_P17_A07_page_links",
+    f"""SELECT page_id, CAST(n - 1 AS INTEGER) AS link_index, link_url, link_text, round(greatest(1.0::DOUBLE / ({_SCORE.format("lower(path)")} + {_SCORE.format("lower(link_text)")} + 0.01::DOUBLE), 0.000001::DOUBLE), 6) AS priority
+        FROM (SELECT page_id, n, regexp_extract(url, '^https?://[^/?#]*', 0) || regexp_extract(a, 'href="([^"]*)"', 1) AS link_url, regexp_extract(a, 'href="([^"]*)"', 1) AS path,
+          trim(regexp_replace(regexp_extract(a, '(?s)^<a[^>]*>(.*?)</a>', 1), '<[^>]*>', '', 'g')) AS link_text FROM {_LINKS})""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = _table(spark, sf_dir, "pages").select("page_id", "url", F.posexplode(page_links(F.col("html"))).alias("link_index", "link"))
+    target = U.absolute_link(F.col("url"), F.col("link.href"))
+    return links.select(
+        "page_id", "link_index", target.alias("link_url"), F.col("link.text").alias("link_text"), F.round(U.link_priority(target, F.col("link.text")), 6).alias("priority")
+    )
+
+
+@_register(
+    "J03_reverse_lookup",
+    r"""WITH k AS (SELECT min(page_id) AS page_id, url, substr(sha256(url), 1, 16) AS page_key FROM pages GROUP BY url)
+        SELECT p.page_id, substr(sha256(p.url), 1, 16) || '.md' AS filename, k.url AS original_url FROM pages p LEFT JOIN k ON k.page_key = substr(sha256(p.url), 1, 16) AND k.page_id % 2 = 0""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    lookup = pages.groupBy("url").agg(F.min("page_id").alias("page_id")).filter("page_id % 2 = 0").select(U.page_key(F.col("url")).alias("page_key"), "url")
+    files = pages.select("page_id", F.concat(U.page_key(F.col("url")), F.lit(".md")).alias("filename"), F.lit(None).cast("string").alias("original_url"))
+    return files_in.with_urls(files, lookup).select("page_id", "filename", "original_url")
+
+
+# Pages and chunks
+
+
+@_register("P05_P06_P07_page_text")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "pages").select("page_id", page_text(F.col("html")).alias("page")).select("page_id", "page.mode", "page.text")
+
+
+@_register("G01_G04_G05_chunks")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_documents(document_files(_table(spark, sf_dir, "documents")))
+
+
+_WINDOWS = r"""(SELECT doc_id, w, substr(text, w * 200 + 1, 240) AS c FROM (SELECT doc_id, text,
+  unnest(range(0, greatest(0, CAST(ceil((length(text) - 240) / 200.0) AS BIGINT)) + 1)) AS w FROM documents WHERE length(text) > 0))"""
+
+
+@_register(
+    "G08_G06_fixed_windows",
+    f"""SELECT doc_id, CAST(w AS INTEGER) AS window_index, md5(c) AS chunk_md5, length(l) > 1 AND len(list_distinct(string_split(l, ''))) <= 2
+          AND ((length(c) - length(replace(c, l, ''))) // greatest(length(l), 1)) * length(l) > length(c) * 0.8 AS is_repetitive
+        FROM (SELECT *, trim(string_split(c, chr(10))[1], ' ') AS l FROM {_WINDOWS})""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fixed_windows(_table(spark, sf_dir, "documents"), 240, 200)
+    return rows.select("doc_id", "window_index", F.md5("chunk").alias("chunk_md5"), X.is_repetitive(F.col("chunk")).alias("is_repetitive"))
+
+
+@_register(
+    "G05_W04_filtered_index",
+    f"""SELECT doc_id, CAST(w AS INTEGER) AS original_chunk_index, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY w) - 1 AS INTEGER) AS filtered_chunk_index
+        FROM {_WINDOWS} WHERE length(c) >= 100""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fixed_windows(_table(spark, sf_dir, "documents"), 240, 200).filter(X.effective_length(F.col("chunk")) >= 100)
+    named = rows.select("doc_id", F.col("doc_id").alias("source_path"), F.col("window_index").alias("original_chunk_index"), F.lit("").alias("chunk_id"))
+    return renumbered(named).select("doc_id", "original_chunk_index", "filtered_chunk_index")
+
+
+@_register(
+    "F04_C04_page_acceptance",
+    r"""SELECT CASE WHEN length(trim(substr(text, 1, doc_id % 30))) <= 10 THEN 'too_short' ELSE 'accepted' END AS outcome, count(*) AS n FROM documents GROUP BY 1""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.expr("substring(text, 1, cast(doc_id % 30 as int))")
+    reason = F.coalesce(crawl.failure_reason(F.col("text"), text), F.lit("accepted"))
+    return _table(spark, sf_dir, "documents").groupBy(reason.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# Keyword search
+
+_TOKENS = r"""list_filter(regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]+(?:\.?[\p{{L}}\p{{N}}_]+)*'), lambda t: length(t) >= 2 AND NOT list_contains([{1}], t))"""
+_STOP = ", ".join(f"'{w}'" for w in bm25.STOP_WORDS)
+_BM25_CTE = f"""
+d AS (SELECT doc_id, {_TOKENS.format("text", _STOP)} AS ts FROM documents),
+q AS (SELECT item_id AS query_id, unnest(list_distinct({_TOKENS.format("array_to_string(string_split(text, ' ')[1:3], ' ')", _STOP)})) AS term FROM benchmark),
+st AS (SELECT count(*) AS n, avg(len(ts)) AS a FROM d),
+tf AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(ts) AS dl, unnest(ts) AS term FROM d) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+s AS (SELECT q.query_id, tf.doc_id, count(*) AS hits, sum((ln(n / (df + 1)) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a))) AS score
+      FROM tf JOIN q USING (term) JOIN df USING (term), st GROUP BY ALL)"""
+
+
+def _keyword_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.array_join(F.slice(F.split("text", " "), 1, 3), " ")
+    return _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), words.alias("text"))
+
+
+@_register(
+    "A05_D10_term_statistics",
+    f"""WITH {_BM25_CTE} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM tf GROUP BY term""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bm25.term_frequencies(bm25.postings(_table(spark, sf_dir, "documents"), "doc_id"))
+
+
+@_register(
+    "A03_A04_A05_corpus_statistics",
+    f"""WITH {_BM25_CTE} SELECT n AS n_docs, round(a, 6) AS avgdl FROM st""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bm25.corpus_stats(_table(spark, sf_dir, "documents")).select("n_docs", F.round("avgdl", 6).alias("avgdl"))
+
+
+@_register(
+    "T02_J05_F07_bm25_any",
+    f"""WITH {_BM25_CTE} SELECT query_id, doc_id, round(score, 6) AS score, CAST(k AS INTEGER) AS rank FROM
+        (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS k FROM s) WHERE k <= 10""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = bm25.bm25_scores(_table(spark, sf_dir, "documents"), _keyword_queries(spark, sf_dir), "doc_id", mode="or")
+    return bm25.top_k(scores, 10, "doc_id").select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+@_register(
+    "T02_J05_bm25_all",
+    f"""WITH {_BM25_CTE}, nt AS (SELECT query_id, count(*) AS need FROM q GROUP BY query_id)
+        SELECT query_id, doc_id, round(score, 6) AS score, CAST(k AS INTEGER) AS rank FROM
+        (SELECT s.*, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS k FROM s JOIN nt USING (query_id) WHERE hits = need) WHERE k <= 10""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = bm25.bm25_scores(_table(spark, sf_dir, "documents"), _keyword_queries(spark, sf_dir), "doc_id", mode="and")
+    return bm25.top_k(scores, 10, "doc_id").select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+# Vectors and fusion
+
+_KNN_CTE = """kn AS (SELECT a.vec_id AS query_id, b.vec_id, list_cosine_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS distance
+  FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0),
+kr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 6), vec_id) AS rank FROM kn)"""
+
+
+def _vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+@_register("T01_J04_nearest_vectors", f"WITH {_KNN_CTE} SELECT query_id, vec_id, round(distance, 6) AS distance, CAST(rank AS INTEGER) AS rank FROM kr WHERE rank <= 10")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vector.nearest(_table(spark, sf_dir, "embeddings"), _vector_queries(spark, sf_dir), 10)
+    return found.select("query_id", "vec_id", F.round("distance", 6).alias("distance"), "rank")
+
+
+@_register(
+    "E03_truncated_embeddings",
+    "SELECT vec_id, len(embedding[1:16]) AS dimension, round(list_sum(list_transform(embedding[1:16], lambda x: x::DOUBLE * x::DOUBLE)), 5) AS squared FROM embeddings",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = F.slice("embedding", 1, 16)
+    squared = F.aggregate(cut, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    return _table(spark, sf_dir, "embeddings").select("vec_id", F.size(cut).cast("long").alias("dimension"), F.round(squared, 5).alias("squared"))
+
+
+_FUSE_CTE = f"""{_KNN_CTE}, v AS (SELECT query_id, vec_id AS id, rank FROM kr WHERE rank <= 14),
+b AS (SELECT query_id, id, rank FROM (SELECT query_id, vec_id AS id, row_number() OVER (PARTITION BY query_id ORDER BY (vec_id * 7 + query_id) % 101, vec_id) AS rank FROM kn) WHERE rank <= 10),
+f AS (SELECT query_id, id, v.rank AS vr, b.rank AS br, coalesce(0.6::DOUBLE / (60 + v.rank), 0) + coalesce(0.4::DOUBLE / (60 + b.rank), 0) AS score FROM v FULL JOIN b USING (query_id, id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vr NULLS LAST, br NULLS LAST, id) AS rank FROM f)"""
+
+
+def _two_legs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The vector leg, and a keyword leg whose scores are made up from the ids."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    n_vector, n_words = fusion.leg_sizes(3)
+    near = vector.nearest(vectors, _vector_queries(spark, sf_dir), n_vector).select("query_id", F.col("vec_id").alias("id"), "rank")
+    asked = F.broadcast(_vector_queries(spark, sf_dir).select("query_id"))  # the stated query set
+    scores = vectors.select(F.col("vec_id").alias("id")).crossJoin(asked).withColumn("score", -((F.col("id") * 7 + F.col("query_id")) % 101))
+    return near, bm25.top_k(scores, n_words, "id")
+
+
+@_register(
+    "W01_W02_J01_A02_U01_T03_fusion",
+    f"WITH {_FUSE_CTE} SELECT query_id, id, CAST(vr AS INTEGER) AS vector_rank, CAST(br AS INTEGER) AS bm25_rank, round(score, 9) AS score FROM f",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fused = fusion.fuse(*_two_legs(spark, sf_dir), "id")
+    return fused.select("query_id", "id", "vector_rank", "bm25_rank", F.round("score", 9).alias("score"))
+
+
+@_register("T04_T05_candidates", f"WITH {_FUSE_CTE} SELECT query_id, id, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 9")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fusion.candidates(fusion.fuse(*_two_legs(spark, sf_dir), "id"), 3, "id").select("query_id", "id", "rank")
+
+
+# Selection
+
+
+@_register(
+    "W03_R02_token_budget",
+    r"""SELECT source, doc_id, tokens FROM (SELECT source, doc_id, t AS tokens, sum(t) OVER (PARTITION BY source ORDER BY doc_id) AS run FROM
+        (SELECT source, doc_id, greatest(1, (length(text) + 2) // 4) AS t FROM documents)) WHERE run <= 4096 - 50 - 256 - 100""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = X.estimated_tokens(F.concat("text", F.lit("\n\n"))).cast("long")
+    rows = _table(spark, sf_dir, "documents").select("source", "doc_id", tokens.alias("tokens"))
+    return selection.within_budget(rows, selection.context_budget(4096, F.lit(100)), "source", "doc_id", "tokens")
+
+
+@_register("W05_J06_R03_T06_distinct_selection")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    order = W.partitionBy("source").orderBy("doc_id")
+    pool = docs.select(F.xxhash64("source").alias("query_id"), "source", "doc_id", F.substring("text", 1, 800).alias("text"), F.row_number().over(order).alias("rank")).filter("rank <= 9")
+    return selection.greedy_distinct(pool, 3).select("source", "doc_id", "rank", "selected")
+
+
+@_register(
+    "R02_R04_result_status",
+    r"""SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'no_hits' WHEN doc_id % 4 = 1 THEN 'no_context' WHEN t + 50 >= 4096 - 256 + 15 THEN 'prompt_too_long' ELSE 'ok' END AS status,
+        CAST(greatest(0, 4096 - 50 - 256 - t) AS INTEGER) AS budget FROM (SELECT doc_id, CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, length(text) // 4) END AS t FROM documents)""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = X.estimated_tokens(F.col("text"))
+    kind = F.col("doc_id") % 4
+    status = selection.result_status(F.when(kind != 0, 1), F.when(kind > 1, 1), tokens, 4096)
+    return _table(spark, sf_dir, "documents").select("doc_id", status.alias("status"), selection.context_budget(4096, tokens).cast("int").alias("budget"))
+
+
+# Store
+
+
+@_register(
+    "A01_V04_source_rollup",
+    r"""WITH c AS (SELECT *, CASE WHEN doc_id % 3 = 0 THEN 'https://' || source || '.example.org/' END AS u, '/data/' || source AS p FROM documents)
+        SELECT coalesce(u, p) AS identifier, max(u) AS original_url, min_by(p, doc_id) AS source_path, min_by('doc' || doc_id || '.md', doc_id) AS filename,
+        count(*) AS chunk_count, max(doc_id * 1.5::DOUBLE) AS mtime, max(u) IS NOT NULL AS is_url_source FROM c GROUP BY 1""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    url = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(" https://"), "source", F.lit(".example.org/")))
+    chunks = _table(spark, sf_dir, "documents").select(
+        url.alias("original_url"),
+        F.concat(F.lit("/data/"), "source").alias("source_path"),
+        F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".md")).alias("filename"),
+        (F.col("doc_id") * 1.5).cast("double").alias("mtime"),
+        F.col("doc_id").alias("filtered_chunk_index"),
+        F.col("doc_id").cast("string").alias("chunk_id"),
+    )
+    return store.source_rollup(chunks)
+
+
+@_register(
+    "M02_M03_upsert",
+    r"""WITH a AS (SELECT doc_id, lang, 1 AS version FROM documents WHERE doc_id % 5 <> 0 UNION ALL SELECT doc_id, 'new', 2 FROM documents WHERE doc_id % 3 = 0)
+        SELECT doc_id, arg_max(lang, version) AS lang, CAST(max(version) AS INTEGER) AS version FROM a GROUP BY doc_id""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    old = docs.filter("doc_id % 5 <> 0").select("doc_id", "lang", F.lit(1).alias("version"))
+    new = docs.filter("doc_id % 3 = 0").select("doc_id", F.lit("new").alias("lang"), F.lit(2).alias("version"))
+    return store.upserted(old, new, "doc_id")
+
+
+@_register(
+    "M04_M05_J10_A06_F01_delete",
+    "SELECT source, count(*) AS n FROM documents WHERE source <> 'src3' AND doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY source",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").filter(F.col("source") != "src3")
+    return store.without(docs, _table(spark, sf_dir, "labels").filter("toxic = 1"), "doc_id").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_register(
+    "F02_J07_M06_changed_files",
+    r"""SELECT '/data/' || source || '/doc' || doc_id || '.md' AS source_path, doc_id * 1.5::DOUBLE + CASE WHEN doc_id % 2 = 0 THEN 0.05 ELSE 5 END AS mtime
+        FROM documents WHERE doc_id % 2 = 1 OR doc_id % 7 = 0""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = document_files(_table(spark, sf_dir, "documents"))
+    number = F.regexp_extract("filename", r"\d+", 0).cast("long")
+    moved = files.withColumn("mtime", F.col("mtime") + F.when(number % 2 == 0, 0.05).otherwise(5.0))
+    stored = files.filter(number % 7 != 0)
+    return files_in.changed_files(moved, stored).select("source_path", "mtime")
+
+
+@_register(
+    "A08_A09_scan_counters",
+    "SELECT source, count(*) AS processed, count(*) FILTER (WHERE n_chars < 100) AS skipped, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY source",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return docs.groupBy("source").agg(F.count(F.lit(1)).alias("processed"), F.count_if(F.col("n_chars") < 100).alias("skipped"), F.sum("n_chars").alias("chars"))
+
+
+@_register(
+    "S11_S12_log_projection",
+    r"""SELECT conv_id, turn, CASE WHEN length(text) > 150 THEN substr(text, 1, 150) || '...' ELSE text END AS text_preview, role AS source_path,
+        CAST(turn AS INTEGER) AS original_chunk_index, CAST(2 AS INTEGER) AS n_debug FROM conversations""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations")
+    chunk = F.struct(
+        F.col("conv_id").alias("id"), F.lit(1.0).alias("score"), F.col("role").alias("source_path"), F.lit("f").alias("filename"),
+        F.col("turn").cast("int").alias("original_chunk_index"), F.col("text").alias("document"),
+    )
+    debug = F.create_map(*(F.lit(x) for x in ("retrieval_time", "1", "raw_llm_output", "x", "llm_generation_time", "2", "other", "y")))
+    logged = rows.select("conv_id", "turn", logs.logged_chunk(chunk).alias("c"), F.size(logs.logged_debug(debug)).alias("n_debug"))
+    return logged.select("conv_id", "turn", "c.text_preview", "c.source_path", "c.original_chunk_index", "n_debug")
+
+
+# Graphs and streams
+
+
+@_register(
+    "C01_F05_F06_J08_U02_T09_reachable",
+    r"""WITH RECURSIVE e AS (SELECT DISTINCT 'p' || l_partkey AS src, 's' || l_suppkey AS dst FROM lineitem UNION SELECT DISTINCT 's' || l_suppkey, 'p' || l_partkey FROM lineitem),
+        r(node, level) AS (SELECT 's1', 0 UNION SELECT e.dst, r.level + 1 FROM r JOIN e ON e.src = r.node WHERE r.level < 3)
+        SELECT node, CAST(min(level) AS INTEGER) AS level FROM r GROUP BY node""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = _table(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("src"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("dst")
+    )
+    edges = pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    seeds = spark.range(1).select(F.lit("s1").alias("node"))
+    return crawl.reachable(edges, seeds, 3)
+
+
+@_register("C01_C02_crawl")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    done, failed = crawl.crawl(crawl.table_fetcher(pages), pages.select("url"), target=1 << 30, max_depth=1, batch=1 << 30)
+    good = done.select("url", F.lit("accepted").alias("outcome"), "level")
+    return good.unionByName(failed.select("url", F.col("reason").alias("outcome"), F.lit(None).cast("int").alias("level")))
+
+
+@_register(
+    "streaming_activity_windows",
+    "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n_events, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return activity_windows(_table(spark, sf_dir, "events"))
+
+
+# Models and end-to-end search
+
+
+@_register("E01_E02_embeddings")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", M.embedded(F.col("text"), M.HashingEmbedder()).alias("embedding"))
+
+
+@_register("search_hybrid")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R01: chunks, both legs, fusion, near-duplicate selection, context and a stand-in model's answers, for all benchmark items."""
+    embedder, model = M.HashingEmbedder(), M.ExtractiveModel()
+    chunks = chunk_documents(document_files(_table(spark, sf_dir, "documents"))).dropDuplicates(["chunk_id"])
+    chunks = chunks.withColumn("embedding", M.embedded(F.col("text"), embedder))
+    queries = _keyword_queries(spark, sf_dir)
+    rows = search.assemble(search.retrieve(chunks, queries, 3, embedder, mode="or"), chunks, queries, 3, model.info.context_length)
+    return rows.withColumn("response", F.when(F.col("status") == "ok", M.generated(F.col("prompt"), model)["response"]))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
