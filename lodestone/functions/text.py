@@ -75,8 +75,8 @@ def is_repetitive(chunk: Column) -> Column:
 
 
 def estimated_tokens(text: Column) -> Column:
-    """A quarter of the code points, 1 at least; 0 for an empty text."""
-    return F.when(F.length(text) == 0, 0).otherwise(F.greatest(F.lit(1), F.floor(F.length(text) / 4))).cast("int")
+    """A quarter of the code points, 1 at least; 0 for an empty text or null."""
+    return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, 0).otherwise(F.greatest(F.lit(1), F.floor(F.length(text) / 4))).cast("int")
 
 
 def embed_input(text: Column, max_tokens: int = 512) -> Column:

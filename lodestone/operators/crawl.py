@@ -42,8 +42,9 @@ def failure_reason(page: Column, text: Column) -> Column:
 def links_of(pages: DataFrame, keywords: tuple[str, ...] = U.RELEVANCE_KEYWORDS) -> DataFrame:
     """Every link of pages ``url, html, level``: source, normalised target, text, level and priority."""
     links = pages.select(F.col("url").alias("source_url"), "level", F.explode(page_links(F.col("html"))).alias("link"))
-    target = U.normalize_url(U.absolute_link(F.col("source_url"), F.col("link.href")))
-    found = links.select("source_url", target.alias("url"), F.col("link.text").alias("text"), (F.col("level") + 1).alias("level"))
+    # Step by step: nested into one another, these expressions would repeat their inputs many times over.
+    full = links.withColumn("url", U.absolute_link(F.col("source_url"), F.col("link.href")))
+    found = full.select("source_url", U.normalize_url(F.col("url")).alias("url"), F.col("link.text").alias("text"), (F.col("level") + 1).alias("level"))
     return found.filter("url <> ''").withColumn("priority", U.link_priority(F.col("url"), F.col("text"), keywords))
 
 
@@ -79,7 +80,7 @@ def crawl(
         done = good if done is None else done.unionByName(good)
         failed = bad if failed is None else failed.unionByName(bad)
         n_done += good.count()
-        links = links_of(good.filter(F.col("level") <= max_depth), keywords)
+        links = save(links_of(good.filter(F.col("level") <= max_depth), keywords))  # else the filters below would repeat its expressions
         if accept is None:
             wanted = links.filter(U.is_content_page(F.col("url"))).withColumn("host", F.lower(U.url_part(F.col("url"), 2)))
             wanted = wanted.join(F.broadcast(hosts), U.host_within(F.col("host"), F.col("root")), "left_semi")  # the stated roots
