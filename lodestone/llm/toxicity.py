@@ -185,5 +185,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **setti
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **settings) -> DataFrame:
     """The rows of ``docs`` that score below the threshold, with their columns."""
     model = train(docs, labels, **settings)
-    names = docs.columns
-    return score_texts(docs, model).filter(F.col("toxicity_score") < threshold).select(*names)
+    plain = docs.toDF(*("text" if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)))
+    kept = score_texts(plain, model).filter(F.col("toxicity_score") < threshold)
+    return kept.drop("toxicity_score").toDF(*docs.columns)
