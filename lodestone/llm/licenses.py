@@ -42,24 +42,25 @@ class Family:
 
 #: More specific licenses come first.
 FAMILIES = (
-    Family("agpl-3", "affero", (r"(?:gnu )?affero general public licen[cs]e(?: agpl)?(?: version| v)? 3(?: 0)?(?: or(?: any)? later)?",)),
+    Family("agpl-3", "affero", (r"(?:gnu )?affero general public licen[cs]e(?: agpl)?(?: version| v)? ?3(?: 0)?(?: or(?: any)? later)?",)),
     Family("agpl-3", "agpl", (r"(?:gnu )?agpl(?: v| version)? ?3(?: 0)?",), (r"agpl 3 0(?: only| or later)?",)),
     Family("agpl", "affero", (r"(?:gnu )?affero general public licen[cs]e",)),
-    Family("lgpl-3", "lesser", (r"(?:gnu )?lesser general public licen[cs]e(?: lgpl)?(?: version| v)? 3(?: 0)?(?: or(?: any)? later)?",)),
-    Family("lgpl-2", "lesser", (r"(?:gnu )?lesser general public licen[cs]e(?: lgpl)?(?: version| v)? 2(?: [01])?(?: or(?: any)? later)?",)),
+    Family("lgpl-3", "lesser", (r"(?:gnu )?lesser general public licen[cs]e(?: lgpl)?(?: version| v)? ?3(?: 0)?(?: or(?: any)? later)?",)),
+    Family("lgpl-2", "lesser", (r"(?:gnu )?lesser general public licen[cs]e(?: lgpl)?(?: version| v)? ?2(?: [01])?(?: or(?: any)? later)?",)),
     Family("lgpl", "lgpl", (r"(?:gnu )?lgpl(?: ?v ?[23](?: [01])?)?",), (r"lgpl [23] [01](?: only| or later)?",)),
     Family("lgpl", "lesser", (r"(?:gnu )?(?:lesser|library) general public licen[cs]e",)),
-    Family("gpl-3", "general public", (r"(?:gnu )?general public licen[cs]e(?: gpl)?(?: version| v)? 3(?: 0)?(?: or(?: any)? later)?",)),
-    Family("gpl-2", "general public", (r"(?:gnu )?general public licen[cs]e(?: gpl)?(?: version| v)? 2(?: 0)?(?: or(?: any)? later)?",)),
+    Family("gpl-3", "general public", (r"(?:gnu )?general public licen[cs]e(?: gpl)?(?: version| v)? ?3(?: 0)?(?: or(?: any)? later)?",)),
+    Family("gpl-2", "general public", (r"(?:gnu )?general public licen[cs]e(?: gpl)?(?: version| v)? ?2(?: 0)?(?: or(?: any)? later)?",)),
     Family("gpl-3", "gpl", (r"(?:gnu )?gpl ?v ?3(?: 0)?(?: or(?: any)? later)?", r"gnu gpl 3(?: 0)?"), (r"gpl 3 0(?: only| or later)?",)),
     Family("gpl-2", "gpl", (r"(?:gnu )?gpl ?v ?2(?: 0)?(?: or(?: any)? later)?", r"gnu gpl 2(?: 0)?"), (r"gpl 2 0(?: only| or later)?",)),
     Family("gpl", "general public", (r"gnu general public licen[cs]e",)),
     Family("gfdl", "free documentation", (r"(?:gnu )?free documentation licen[cs]e(?: version)?(?: 1 [123])?",), (r"gfdl 1 [123]",)),
-    Family("apache-2", "apache", (r"apache(?: software)? licen[cs]e(?: version| v)? 2(?: 0)?", r"apache 2(?: 0)?(?: licen[cs]e)?"), (r"apache 2 0",)),
-    Family("apache-1", "apache", (r"apache(?: software)? licen[cs]e(?: version| v)? 1(?: [01])?",), (r"apache 1 [01]",)),
+    Family("apache-2", "apache", (r"apache(?: software)? licen[cs]e(?: version| v)? ?2(?: 0)?", r"apache 2(?: 0)?(?: licen[cs]e)?"), (r"apache 2 0",)),
+    Family("apache-1", "apache", (r"apache(?: software)? licen[cs]e(?: version| v)? ?1(?: [01])?",), (r"apache 1 [01]",)),
     Family("apache", "apache", (r"apache(?: software)? licen[cs]e",)),
     Family("mit-0", "no attribution", (r"mit no attribution(?: licen[cs]e)?",), (r"mit 0",)),
-    Family("mit", "mit", (r"mit(?: x11)? licen[cs]e", r"expat(?: mit)? licen[cs]e"), (r"mit",)),
+    Family("mit", "mit", (r"mit(?: x11)? licen[cs]e",), (r"mit",)),
+    Family("mit", "expat", (r"expat(?: mit)? licen[cs]e",)),
     Family("mit", "permission is hereby granted", (r"permission is hereby granted free of charge to any person obtaining a copy",)),
     Family("bsd-4", "bsd", (r"(?:bsd 4 clause|4 clause bsd|four clause bsd|original bsd)(?: licen[cs]e)?",), (r"bsd 4 clause",)),
     Family("bsd-3", "bsd", (r"(?:bsd 3 clause|3 clause bsd|three clause bsd|(?:new|modified|revised) bsd)(?: licen[cs]e)?",), (r"bsd 3 clause",)),
@@ -68,14 +69,14 @@ FAMILIES = (
     Family("bsd", "bsd", (r"bsd(?: style)? licen[cs]e",)),
     Family("bsd", "redistribution", (r"redistribution and use in source and binary forms with or without modification are permitted",)),
     Family("isc", "isc", (r"isc licen[cs]e",), (r"isc",)),
-    Family("mpl-2", "mozilla", (r"mozilla public licen[cs]e(?: version| v)? 2(?: 0)?",)),
-    Family("mpl-1", "mozilla", (r"mozilla public licen[cs]e(?: version| v)? 1(?: [01])?",)),
+    Family("mpl-2", "mozilla", (r"mozilla public licen[cs]e(?: version| v)? ?2(?: 0)?",)),
+    Family("mpl-1", "mozilla", (r"mozilla public licen[cs]e(?: version| v)? ?1(?: [01])?",)),
     Family("mpl", "mozilla", (r"mozilla public licen[cs]e",)),
     Family("mpl-2", "mpl", (r"mpl(?: v)? ?2(?: 0)?",), (r"mpl 2 0",)),
-    Family("epl-2", "eclipse", (r"eclipse public licen[cs]e(?: version| v)? 2(?: 0)?",), (r"epl 2 0",)),
-    Family("epl-1", "eclipse", (r"eclipse public licen[cs]e(?: version| v)? 1(?: 0)?",), (r"epl 1 0",)),
+    Family("epl-2", "eclipse", (r"eclipse public licen[cs]e(?: version| v)? ?2(?: 0)?",), (r"epl 2 0",)),
+    Family("epl-1", "eclipse", (r"eclipse public licen[cs]e(?: version| v)? ?1(?: 0)?",), (r"epl 1 0",)),
     Family("epl", "eclipse", (r"eclipse public licen[cs]e",)),
-    Family("eupl", "european union", (r"european union public licen[cs]e(?: version| v)?(?: 1(?: [012])?)?",), (r"eupl 1 [012]",)),
+    Family("eupl", "european union", (r"european union public licen[cs]e(?: version| v)?(?: ?1(?: [012])?)?",), (r"eupl 1 [012]",)),
     Family("cddl", "common development", (r"common development and distribution licen[cs]e(?: version)?(?: 1(?: [01])?)?",), (r"cddl 1 [01]",)),
     Family("artistic", "artistic", (r"artistic licen[cs]e(?: version)?(?: [12](?: 0)?)?",), (r"artistic [12] 0",)),
     Family("boost", "boost", (r"boost software licen[cs]e(?: version)?(?: 1(?: 0)?)?",), (r"bsl 1 0",)),

@@ -135,7 +135,7 @@ LICENSED = {
     "Apache License": "apache", "MIT No Attribution": "mit-0", "Expat license": "mit", "permission is hereby granted, free of charge, to any person obtaining a copy": "mit",
     "3-clause BSD": "bsd-3", "FreeBSD license": "bsd-2", "0BSD": "bsd-0", "Redistribution and use in source and binary forms, with or without modification, are permitted": "bsd",
     "ISC license": "isc", "Mozilla Public License 2.0": "mpl-2", "MPL-2.0": "mpl-2", "Eclipse Public License": "epl", "CC0 1.0": "cc0", "CC-BY 4.0": "cc-by",
-    "cc by-nc-nd": "cc-by-nc-nd", "Creative Commons Attribution-NonCommercial": "cc-by-nc", "Open Font License": "ofl", "WTFPL": "wtfpl", "the Unlicense": "unlicense",
+    "cc by-nc-nd": "cc-by-nc,cc-by-nc-nd", "Creative Commons Attribution-NonCommercial": "cc-by-nc", "Open Font License": "ofl", "WTFPL": "wtfpl", "the Unlicense": "unlicense",
     "dedicated to the public domain": "public-domain", "proprietary and confidential": "proprietary", "for non-commercial use only": "non-commercial", "OpenRAIL-M": "openrail",
     "License: MIT": "mit", "licence type: Boost Software License 1.0": "boost", "llama 3 community license": "llama",
 }
