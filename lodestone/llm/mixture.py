@@ -36,8 +36,9 @@ _DIGITS = 3
 
 
 def domain_of(source: Column, n: int = 4) -> Column:
-    """The tables name no domain: sources are dealt to ``n`` of them by the CRC of their names."""
-    return F.concat(F.lit("domain"), F.pmod(F.crc32(F.coalesce(source, F.lit(""))), F.lit(n)).cast("string"))
+    """The tables name no domain: sources are dealt to ``n`` of them by the MD5 of their names."""
+    digits = F.substring(F.md5(F.coalesce(source, F.lit(""))), 1, 8)
+    return F.concat(F.lit("domain"), F.pmod(F.conv(digits, 16, 10).cast("long"), F.lit(n)).cast("string"))
 
 
 def token_count(text: Column) -> Column:

@@ -66,6 +66,32 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_chats(_table(spark, sf_dir, "conversations"))
 
 
+def _dealt(name: str, nodes: str, parent: str) -> str:
+    """One level of budgets: nodes with ``room`` and ``budget`` in, with ``given`` out."""
+    return f"""
+{name}_l AS (SELECT *, (budget - coalesce(sum(room) OVER (PARTITION BY {parent} ORDER BY room, node ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
+               / sum(1.0::DOUBLE) OVER (PARTITION BY {parent} ORDER BY room, node ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM {nodes}),
+{name} AS (SELECT *, least(room, coalesce(max(CASE WHEN level <= room THEN level END) OVER (PARTITION BY {parent}), 'infinity'::DOUBLE)) AS given FROM {name}_l)"""
+
+
+_OP4 = rf"""
+WITH d AS (SELECT doc_id, lang, source, 'domain' || CAST(('0x' || substr(md5(coalesce(source, '')), 1, 8))::UBIGINT % 4 AS VARCHAR) AS domain,
+             coalesce(lang, '') AS l, coalesce(source, '') AS s, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS tokens FROM documents),
+leaf AS (SELECT domain, l, s, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(tokens) * 2 AS DOUBLE) AS room FROM d GROUP BY ALL),
+n1 AS (SELECT 0 AS root, domain AS node, domain, sum(room) AS room, (SELECT CAST(sum(tokens) AS DOUBLE) FROM leaf) AS budget FROM leaf GROUP BY domain),
+{_dealt("g1", "n1", "root")},
+n2 AS (SELECT leaf.domain, l, l AS node, sum(leaf.room) AS room, any_value(given) AS budget FROM leaf JOIN g1 USING (domain) GROUP BY leaf.domain, l),
+{_dealt("g2", "n2", "domain")},
+n3 AS (SELECT leaf.domain, leaf.l, s, s AS node, tokens, leaf.room, given AS budget FROM leaf JOIN g2 ON g2.domain = leaf.domain AND g2.l = leaf.l),
+{_dealt("g3", "n3", "domain, l")},
+p AS (SELECT domain, l, s, goal // tokens AS whole, goal % tokens AS rest
+      FROM (SELECT *, CAST(floor(given + 1e-6) AS BIGINT) AS goal FROM g3 WHERE tokens > 0)),
+k AS (SELECT d.*, whole, rest, md5('23|' || whole || '|' || doc_id) AS key FROM d JOIN p USING (domain, l, s)),
+r AS (SELECT *, sum(tokens) OVER (PARTITION BY domain, l, s ORDER BY key) AS through FROM k),
+t AS (SELECT *, whole + CASE WHEN rest > 0 AND through <= rest THEN 1 ELSE 0 END AS times FROM r)
+SELECT doc_id, domain, lang, source, CAST(unnest(range(0, times)) AS BIGINT) AS epoch, CAST(tokens AS BIGINT) AS n_tokens FROM t
+"""
+
 _OP5 = r"""
 WITH p AS (SELECT page_id, coalesce(substr(url, CASE WHEN instr(url, '://') > 0 THEN instr(url, '://') + 3 ELSE length(url) + 1 END), '') AS rest FROM pages),
 q AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
@@ -149,4 +175,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_rules": _OP5, "op6_ngram_jaccard_join": _OP6, "op8_decontamination": _OP8, "op9_substring_dedup": _OP9}
+    return {"op4_source_mixture": _OP4, "op5_url_rules": _OP5, "op6_ngram_jaccard_join": _OP6, "op8_decontamination": _OP8, "op9_substring_dedup": _OP9}
