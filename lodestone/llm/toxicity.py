@@ -38,11 +38,11 @@ _GAPS = {1: 0x9E3779B97F4A7C15, 2: 0xC2B2AE3D27D4EB4F, 3: 0x165667B19E3779F9}
 class Settings:
     """Learning rate and its floor, L1 and L2 terms, passes over the sample."""
 
-    alpha: float = 1.0
+    alpha: float = 4.0
     beta: float = 1.0
-    l1: float = 5.0
-    l2: float = 0.01
-    epochs: int = 4
+    l1: float = 6.0
+    l2: float = 0.0
+    epochs: int = 5
 
 
 def features(words: np.ndarray) -> np.ndarray:
