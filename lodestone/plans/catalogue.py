@@ -18,6 +18,7 @@ from lodestone.functions.html import page_links, page_text
 from lodestone.operators import bm25, crawl, fusion, selection, vector
 from lodestone.operators.chunking import chunk_documents, fixed_windows, renumbered
 from lodestone.plans import search
+from lodestone.session import saved
 from lodestone.sources import files as files_in
 from lodestone.sources import logs, store
 from lodestone.streaming.ingest import activity_windows
@@ -566,7 +567,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R01: chunks, both legs, fusion, near-duplicate selection, context and a stand-in model's answers, for all benchmark items."""
     embedder, model = M.HashingEmbedder(), M.ExtractiveModel()
     chunks = chunk_documents(document_files(_table(spark, sf_dir, "documents"))).dropDuplicates(["chunk_id"])
-    chunks = chunks.withColumn("embedding", M.embedded(F.col("text"), embedder))
+    chunks = saved(chunks.withColumn("embedding", M.embedded(F.col("text"), embedder)))  # the index
     queries = _keyword_queries(spark, sf_dir)
     rows = search.assemble(search.retrieve(chunks, queries, 3, embedder, mode="or"), chunks, queries, 3, model.info.context_length)
     return rows.withColumn("response", F.when(F.col("status") == "ok", M.generated(F.col("prompt"), model)["response"]))
