@@ -2,23 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.session import ensure_checkpoint_dir
+from lodestone.session import saved as checkpointed
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder of ``spark.checkpoint.dir``; a temporary one only where none is set (tests)."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-"))
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the reliable checkpoint folder, with its lineage cut."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+__all__ = ["ascii_lower", "checkpointed", "ensure_checkpoint_dir", "pieces", "shuffle_width", "text_bytes"]
 
 
 def text_bytes(docs: DataFrame, text: str = "text") -> tuple[int, int]:
