@@ -243,6 +243,18 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files_in.with_urls(files, lookup).select("page_id", "filename", "original_url")
 
 
+@_register(
+    "S04_F10_F11_input_guards",
+    r"""SELECT page_id, starts_with(url, 'http://') OR starts_with(url, 'https://') AS is_web, regexp_matches(p, '(^|/)\.') AS is_hidden, starts_with(p, '/en/1') AS is_managed
+        FROM (SELECT page_id, url, replace(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), '/7', '/.7') AS p FROM pages)""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.replace(U.url_part(F.col("url"), 3), F.lit("/7"), F.lit("/.7"))
+    web = F.startswith("url", F.lit("http://")) | F.startswith("url", F.lit("https://"))
+    rows = _table(spark, sf_dir, "pages").select("page_id", web.alias("is_web"), path.alias("p"))
+    return rows.select("page_id", "is_web", files_in.is_hidden(F.col("p")).alias("is_hidden"), F.startswith("p", F.lit("/en/1")).alias("is_managed"))
+
+
 # Pages and chunks
 
 
@@ -405,6 +417,17 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.candidates(fusion.fuse(*_two_legs(spark, sf_dir), "id"), 3, "id").select("query_id", "id", "rank")
 
 
+@_register(
+    "J02_F08_hydrated_candidates",
+    f"""WITH {_FUSE_CTE} SELECT query_id, id, CAST(rank AS INTEGER) AS rank, substr(text, 1, 40) AS head FROM r JOIN documents ON doc_id = id
+        WHERE rank <= 9 AND trim(text) <> ''""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fusion.candidates(fusion.fuse(*_two_legs(spark, sf_dir), "id"), 3, "id").select("query_id", "id", "rank")
+    texts = _table(spark, sf_dir, "documents").filter(F.trim("text") != "").select(F.col("doc_id").alias("id"), "text")
+    return found.join(texts, "id").select("query_id", "id", "rank", F.substring("text", 1, 40).alias("head"))
+
+
 # Selection
 
 
