@@ -49,6 +49,8 @@ LEAD = 0.1
 RUN = 32
 GROUP_TOKENS = 4_000_000
 MAX_FREQUENT = 100_000
+#: Prefix tokens a bucket holds: the first as long as buckets number no more than ``MANY_BUCKETS``, then up to the second.
+BUCKET_BYTES, MOST_BUCKET_BYTES, MANY_BUCKETS = 8 << 20, 128 << 20, 32_768
 MAX_BROADCAST_ROWS = 500_000
 _PIVOTS = 16
 
@@ -439,7 +441,9 @@ def set_components(
     frequent = np.sort(np.array([r["token"] for r in often.select("token").collect()], np.int64).view(U64))
     frequent = spark.sparkContext.broadcast(frequent.tobytes())
 
-    n_buckets = pieces(n_tokens * 4, 8 << 20, shuffle_width(spark))
+    # A batch sends each bucket one row, so on very large inputs buckets grow in size rather than in number.
+    each = max(BUCKET_BYTES, min(MOST_BUCKET_BYTES, n_tokens * 4 // MANY_BUCKETS))
+    n_buckets = pieces(n_tokens * 4, each, shuffle_width(spark))
     prefixes = docs.mapInArrow(
         _prefixes(build, percent, lead, n_buckets, frequent), "bucket int, tokens binary, nodes binary, sizes binary, counts binary"
     )
