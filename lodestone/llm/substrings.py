@@ -39,7 +39,9 @@ from lodestone.llm._words import SPACED, U64, row_of, window_hashes, windows_at,
 
 #: Difference covers: for any two remainders there is a shift that moves both into the cover.
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9)}
-BLOCK_BYTES = 8 << 20
+#: Text a block holds: the first as long as blocks number no more than ``MANY_BLOCKS``, then up to the second.
+BLOCK_BYTES, MOST_BLOCK_BYTES = 8 << 20, 64 << 20
+MANY_BLOCKS = 32_768
 _SMALLEST = np.iinfo(np.int64).min
 
 
@@ -275,22 +277,27 @@ def _kept_text(finish):
 def remove_repeats(docs: DataFrame, window: int = 13, block_bytes: int = BLOCK_BYTES, texts: bool = True) -> DataFrame:
     """``doc_id, n_words, n_removed`` and the kept words, joined by one space: ``kept_text``, or ``kept_sha256`` if not ``texts``.
 
-    ``block_bytes`` bounds what a task holds of the texts; blocks and buckets grow in number with the input.
+    ``block_bytes`` bounds what a task holds of the texts at once; blocks and buckets grow in number with the input.  A
+    block sends each bucket one row, so buckets are fewer than blocks (anchors and windows are a fraction of the texts), and on very
+    large inputs blocks are larger; a partition then holds several, one after another.
     """
     spark = docs.sparkSession
     _, n_bytes = text_bytes(docs)
-    n_blocks = pieces(n_bytes, block_bytes, shuffle_width(spark))
+    width = shuffle_width(spark)
+    each = max(block_bytes, min(MOST_BLOCK_BYTES, n_bytes // MANY_BLOCKS))
+    n_blocks = pieces(n_bytes, each, width)
+    n_buckets = max(width, n_blocks // 4)
     blocks = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         .withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).cast("int"))
-        .repartition(n_blocks, "block")
+        .repartition(min(n_blocks, max(width, MANY_BLOCKS)), "block")
     )
-    anchors = blocks.groupBy("block").applyInArrow(_send_anchors(window, n_blocks), "bucket int, block int, entries binary")
+    anchors = blocks.groupBy("block").applyInArrow(_send_anchors(window, n_buckets), "bucket int, block int, entries binary")
     answers = anchors.groupBy("bucket").applyInArrow(_answer_anchors, "block int, bucket int, entries binary")
     windows = (
         blocks.groupBy("block")
         .cogroup(answers.groupBy("block"))
-        .applyInArrow(_send_windows(window, n_blocks), "bucket int, block int, entries binary, smallest binary")
+        .applyInArrow(_send_windows(window, n_buckets), "bucket int, block int, entries binary, smallest binary")
     )
     earlier = windows.groupBy("bucket").applyInArrow(_answer_windows, "block int, bucket int, entries binary")
     finish = _finish(window)
