@@ -8,6 +8,7 @@ never cross document borders.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -90,6 +91,17 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return raw, bounds - first
 
 
+def text_slices(batches: Iterator[pa.RecordBatch], limit: int = 8 << 20, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """Batches cut so that the texts of each have about ``limit`` bytes at most; a longer text is a batch of its own."""
+    for batch in batches:
+        _, bounds = utf8(batch.column(column))
+        row = 0
+        while row < len(batch):
+            stop = max(row + 1, int(np.searchsorted(bounds, bounds[row] + limit, side="right")) - 1)
+            yield batch.slice(row, stop - row)
+            row = stop
+
+
 def split_words(raw: np.ndarray, bounds: np.ndarray, kind: WordClass) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word starts and ends (byte offsets) and their 64-bit hashes."""
     folded = kind.fold[raw]

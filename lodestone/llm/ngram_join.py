@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm._spark import checkpointed, pieces, shuffle_width
-from lodestone.llm._words import SPACED_LOWER, U64, WordClass, window_hashes, word_hashes
+from lodestone.llm._words import SPACED_LOWER, U64, WordClass, text_slices, window_hashes, word_hashes
 from lodestone.llm.components import connected_components
 
 LEAD = 0.1
@@ -104,7 +104,7 @@ def _digests(build, share: float):
     """Rows of documents (token null) and of tokens frequent in a batch (token set, size its count)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_slices(batches):
             sets, keys = build(batch.column("text"))
             rows = len(sets)
             tokens = np.sort(np.concatenate(sets)) if sets else np.zeros(0, U64)
@@ -134,7 +134,7 @@ def _prefixes(build, percent: int, lead: float, n_buckets: int, frequent):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = np.frombuffer(frequent.value, U64)
-        for batch in batches:
+        for batch in text_slices(batches):
             sets, keys = build(batch.column("text"))
             known = batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
             seen: set[int] = set()
@@ -241,7 +241,7 @@ def _sets(build):
     """Whole sets of the candidates; a row whose text isn't that of its class goes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_slices(batches):
             sets, keys = build(batch.column("text"))
             want = zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist())
             keep = [r for r, k in enumerate(want) if keys[r] == k]

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lodestone.llm._spark import checkpointed
-from lodestone.llm._words import PLAIN_LOWER, U64, mix, word_hashes
+from lodestone.llm._words import PLAIN_LOWER, U64, mix, text_slices, word_hashes
 
 BITS = 24
 MAX_ROWS = 16_000
@@ -52,7 +52,7 @@ def features(words: np.ndarray) -> np.ndarray:
         if len(words) > gap:
             parts.append(mix(words[:-gap] * U64(factor) + words[gap:]))
     found = np.sort(np.concatenate(parts) >> U64(64 - BITS))
-    return (found[np.concatenate(([True], found[1:] != found[:-1]))] if len(found) else found).astype(np.int64)
+    return (found[np.concatenate(([True], found[1:] != found[:-1]))] if len(found) else found).astype(np.int32)
 
 
 def _sigmoid(x: float) -> float:
@@ -86,7 +86,7 @@ def fit(rows: list[tuple[np.ndarray, int]], settings: Settings) -> tuple[np.ndar
 def _fit_rows(settings: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple[np.ndarray, int]] = []
-        for batch in batches:
+        for batch in text_slices(batches):
             words, bounds = word_hashes(batch.column("text"), PLAIN_LOWER)
             labels = batch.column("label").to_pylist()
             rows += [(features(words[i:j]), y) for i, j, y in zip(bounds[:-1], bounds[1:], labels)]
@@ -165,7 +165,7 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        for batch in batches:
+        for batch in text_slices(batches):
             words, bounds = word_hashes(batch.column("text"), PLAIN_LOWER)
             scores = [known.score(words[i:j]) for i, j in zip(bounds[:-1], bounds[1:])]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "toxicity_score"])
