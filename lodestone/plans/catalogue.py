@@ -318,7 +318,16 @@ s AS (SELECT q.query_id, tf.doc_id, count(*) AS hits, sum((ln(n / (df + 1)) + 1)
       FROM tf JOIN q USING (term) JOIN df USING (term), st GROUP BY ALL)"""
 
 
+#: The same for the items' whole texts.
+_BM25_WHOLE_CTE = _BM25_CTE.replace("array_to_string(string_split(text, ' ')[1:3], ' ')", "text")
+
+
+def _whole_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
 def _keyword_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first three words of each item, as the SQL of the two queries that use them has it; the rest search for whole texts."""
     words = F.array_join(F.slice(F.split("text", " "), 1, 3), " ")
     return _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), words.alias("text"))
 
@@ -360,6 +369,27 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25.top_k(scores, 10, "doc_id").select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
+@_register(
+    "T02_J05_F07_bm25_any_whole",
+    f"""WITH {_BM25_WHOLE_CTE} SELECT query_id, doc_id, round(score, 6) AS score, CAST(k AS INTEGER) AS rank FROM
+        (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS k FROM s) WHERE k <= 10""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = bm25.bm25_scores(_table(spark, sf_dir, "documents"), _whole_queries(spark, sf_dir), "doc_id", mode="or")
+    return bm25.top_k(scores, 10, "doc_id").select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+@_register(
+    "T02_J05_bm25_all_whole",
+    f"""WITH {_BM25_WHOLE_CTE}, nt AS (SELECT query_id, count(*) AS need FROM q GROUP BY query_id)
+        SELECT query_id, doc_id, round(score, 6) AS score, CAST(k AS INTEGER) AS rank FROM
+        (SELECT s.*, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS k FROM s JOIN nt USING (query_id) WHERE hits = need) WHERE k <= 10""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = bm25.bm25_scores(_table(spark, sf_dir, "documents"), _whole_queries(spark, sf_dir), "doc_id", mode="and")
+    return bm25.top_k(scores, 10, "doc_id").select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
 # Vectors and fusion
 
 _KNN_CTE = """kn AS (SELECT a.vec_id AS query_id, b.vec_id, list_cosine_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS distance
@@ -587,12 +617,13 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register("search_hybrid")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """R01: chunks, both legs, fusion, near-duplicate selection, context and a stand-in model's answers, for all benchmark items."""
+    """R01: chunks, both legs, fusion, near-duplicate selection, context and a stand-in model's answers, for the whole texts of all benchmark items."""
     embedder, model = M.HashingEmbedder(), M.ExtractiveModel()
     chunks = chunk_documents(document_files(_table(spark, sf_dir, "documents"))).dropDuplicates(["chunk_id"])
     chunks = saved(chunks.withColumn("embedding", M.embedded(F.col("text"), embedder)))  # the index
-    queries = _keyword_queries(spark, sf_dir)
-    rows = search.assemble(search.retrieve(chunks, queries, 3, embedder, mode="or"), chunks, queries, 3, model.info.context_length)
+    queries = _whole_queries(spark, sf_dir)
+    found = saved(search.retrieve(chunks, queries, 3, embedder, mode="or"))  # used twice
+    rows = search.assemble(found, chunks, queries, 3, model.info.context_length)
     return rows.withColumn("response", F.when(F.col("status") == "ok", M.generated(F.col("prompt"), model)["response"]))
 
 
