@@ -3,7 +3,7 @@
 A text is brought to words (A-Z lower-cased, runs of other ASCII characters one
 space), so that a signature is a regular expression over whole words.  Work is
 gated twice: one expression over the raw text says whether it can hold any
-signature at all, and a rule runs only where its family's keyword occurs.
+signature at all, and a rule runs only where one of its family's keywords occurs.
 
 A rule has a label, a confidence and, by its place in ``rules()``, a priority.  All places of all rules
 that fit are intervals of words.  An interval inside another one is suppressed; of
@@ -32,7 +32,10 @@ BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2
 
 @dataclass(frozen=True)
 class Family:
-    """A license: its label, the keyword that gates its rules, how its name is written, and its identifiers."""
+    """A license: its label, the keywords that gate its rules, how its name is written, and its identifiers.
+
+    Keywords stand in one string, with bars between them; every name and identifier holds one of them.
+    """
 
     label: str
     keyword: str
@@ -46,19 +49,19 @@ FAMILIES = (
     Family("agpl-3", "agpl", (r"(?:gnu )?agpl(?: v| version)? ?3(?: 0)?",), (r"agpl 3 0(?: only| or later)?",)),
     Family("agpl", "affero", (r"(?:gnu )?affero general public licen[cs]e",)),
     Family("lgpl-3", "lesser", (r"(?:gnu )?lesser general public licen[cs]e(?: lgpl)?(?: version| v)? ?3(?: 0)?(?: or(?: any)? later)?",)),
-    Family("lgpl-2", "lesser", (r"(?:gnu )?lesser general public licen[cs]e(?: lgpl)?(?: version| v)? ?2(?: [01])?(?: or(?: any)? later)?",)),
+    Family("lgpl-2", "lesser|library general", (r"(?:gnu )?(?:lesser|library) general public licen[cs]e(?: lgpl)?(?: version| v)? ?2(?: [01])?(?: or(?: any)? later)?",)),
     Family("lgpl", "lgpl", (r"(?:gnu )?lgpl(?: ?v ?[23](?: [01])?)?",), (r"lgpl [23] [01](?: only| or later)?",)),
-    Family("lgpl", "lesser", (r"(?:gnu )?(?:lesser|library) general public licen[cs]e",)),
+    Family("lgpl", "lesser|library general", (r"(?:gnu )?(?:lesser|library) general public licen[cs]e",)),
     Family("gpl-3", "general public", (r"(?:gnu )?general public licen[cs]e(?: gpl)?(?: version| v)? ?3(?: 0)?(?: or(?: any)? later)?",)),
     Family("gpl-2", "general public", (r"(?:gnu )?general public licen[cs]e(?: gpl)?(?: version| v)? ?2(?: 0)?(?: or(?: any)? later)?",)),
     Family("gpl-3", "gpl", (r"(?:gnu )?gpl ?v ?3(?: 0)?(?: or(?: any)? later)?", r"gnu gpl 3(?: 0)?"), (r"gpl 3 0(?: only| or later)?",)),
     Family("gpl-2", "gpl", (r"(?:gnu )?gpl ?v ?2(?: 0)?(?: or(?: any)? later)?", r"gnu gpl 2(?: 0)?"), (r"gpl 2 0(?: only| or later)?",)),
     Family("gpl", "general public", (r"gnu general public licen[cs]e",)),
-    Family("gfdl", "free documentation", (r"(?:gnu )?free documentation licen[cs]e(?: version)?(?: 1 [123])?",), (r"gfdl 1 [123]",)),
+    Family("gfdl", "free documentation|gfdl", (r"(?:gnu )?free documentation licen[cs]e(?: version)?(?: 1 [123])?",), (r"gfdl 1 [123]",)),
     Family("apache-2", "apache", (r"apache(?: software)? licen[cs]e(?: version| v)? ?2(?: 0)?", r"apache 2(?: 0)?(?: licen[cs]e)?"), (r"apache 2 0",)),
     Family("apache-1", "apache", (r"apache(?: software)? licen[cs]e(?: version| v)? ?1(?: [01])?",), (r"apache 1 [01]",)),
     Family("apache", "apache", (r"apache(?: software)? licen[cs]e",)),
-    Family("mit-0", "no attribution", (r"mit no attribution(?: licen[cs]e)?",), (r"mit 0",)),
+    Family("mit-0", "no attribution|mit 0", (r"mit no attribution(?: licen[cs]e)?",), (r"mit 0",)),
     Family("mit", "mit", (r"mit(?: x11)? licen[cs]e",), (r"mit",)),
     Family("mit", "expat", (r"expat(?: mit)? licen[cs]e",)),
     Family("mit", "permission is hereby granted", (r"permission is hereby granted free of charge to any person obtaining a copy",)),
@@ -73,19 +76,19 @@ FAMILIES = (
     Family("mpl-1", "mozilla", (r"mozilla public licen[cs]e(?: version| v)? ?1(?: [01])?",)),
     Family("mpl", "mozilla", (r"mozilla public licen[cs]e",)),
     Family("mpl-2", "mpl", (r"mpl(?: v)? ?2(?: 0)?",), (r"mpl 2 0",)),
-    Family("epl-2", "eclipse", (r"eclipse public licen[cs]e(?: version| v)? ?2(?: 0)?",), (r"epl 2 0",)),
-    Family("epl-1", "eclipse", (r"eclipse public licen[cs]e(?: version| v)? ?1(?: 0)?",), (r"epl 1 0",)),
+    Family("epl-2", "eclipse|epl", (r"eclipse public licen[cs]e(?: version| v)? ?2(?: 0)?",), (r"epl 2 0",)),
+    Family("epl-1", "eclipse|epl", (r"eclipse public licen[cs]e(?: version| v)? ?1(?: 0)?",), (r"epl 1 0",)),
     Family("epl", "eclipse", (r"eclipse public licen[cs]e",)),
-    Family("eupl", "european union", (r"european union public licen[cs]e(?: version| v)?(?: ?1(?: [012])?)?",), (r"eupl 1 [012]",)),
-    Family("cddl", "common development", (r"common development and distribution licen[cs]e(?: version)?(?: 1(?: [01])?)?",), (r"cddl 1 [01]",)),
+    Family("eupl", "european union|eupl", (r"european union public licen[cs]e(?: version| v)?(?: ?1(?: [012])?)?",), (r"eupl 1 [012]",)),
+    Family("cddl", "common development|cddl", (r"common development and distribution licen[cs]e(?: version)?(?: 1(?: [01])?)?",), (r"cddl 1 [01]",)),
     Family("artistic", "artistic", (r"artistic licen[cs]e(?: version)?(?: [12](?: 0)?)?",), (r"artistic [12] 0",)),
-    Family("boost", "boost", (r"boost software licen[cs]e(?: version)?(?: 1(?: 0)?)?",), (r"bsl 1 0",)),
+    Family("boost", "boost|bsl", (r"boost software licen[cs]e(?: version)?(?: 1(?: 0)?)?",), (r"bsl 1 0",)),
     Family("zlib", "zlib", (r"zlib(?: libpng)? licen[cs]e",), (r"zlib",)),
     Family("wtfpl", "wtfpl", (r"wtfpl(?: licen[cs]e)?",), (r"wtfpl",)),
     Family("unlicense", "unlicense", (r"(?:the )?unlicense",), (r"unlicense",)),
-    Family("python", "python", (r"python software foundation licen[cs]e", r"psf licen[cs]e"), (r"psf 2 0",)),
-    Family("ofl", "open font", (r"(?:sil )?open font licen[cs]e(?: version)?(?: 1(?: [01])?)?",), (r"ofl 1 [01]",)),
-    Family("odbl", "open database", (r"open (?:data commons )?open database licen[cs]e(?: odbl)?", r"open database licen[cs]e"), (r"odbl 1 0",)),
+    Family("python", "python|psf", (r"python software foundation licen[cs]e", r"psf licen[cs]e"), (r"psf 2 0",)),
+    Family("ofl", "open font|ofl", (r"(?:sil )?open font licen[cs]e(?: version)?(?: 1(?: [01])?)?",), (r"ofl 1 [01]",)),
+    Family("odbl", "open database|odbl", (r"open (?:data commons )?open database licen[cs]e(?: odbl)?", r"open database licen[cs]e"), (r"odbl 1 0",)),
     Family("openrail", "rail", (r"(?:creativeml |bigscience )?open ?rail(?: [ms]+)?(?: licen[cs]e)?",)),
     Family("llama", "llama", (r"llama(?: [23])?(?: [123])? community licen[cs]e",)),
     Family("cc0", "cc0", (r"cc0(?: 1(?: 0)?)?(?: universal)?",), (r"cc0 1 0",)),
@@ -117,10 +120,10 @@ GRANTS = (
     (r"{name}", 0.6),
 )
 IDENTIFIERS = ((r"spdx licen[cs]e identifier {name}", 0.98), (r"licen[cs]e {name}", 0.75))
-#: The gate over raw texts: every keyword of a family needs one of these.
+#: The gate over raw texts: every rule needs one of these.
 GATE = (
-    r"(?i)licen[cs]e|general[^0-9a-z]+public|affero|[al]?gpl|apache|creative[^0-9a-z]+commons|cc[^0-9a-z]+by|cc0|\bbsd|0bsd|freebsd|\bmpl|"
-    r"public[^0-9a-z]+domain|all[^0-9a-z]+rights[^0-9a-z]+reserved|hereby[^0-9a-z]+granted|redistribution|proprietary|commercial[^0-9a-z]+use|wtfpl|unlicense|rail\b|no[^0-9a-z]+attribution"
+    r"(?i)licen[cs]e|general[^0-9a-z]+public|affero|[al]?gpl|apache|creative[^0-9a-z]+commons|cc[^0-9a-z]+by|cc0|(?<![0-9a-z])bsd|0bsd|freebsd|(?<![0-9a-z])mpl|"
+    r"public[^0-9a-z]+domain|all[^0-9a-z]+rights[^0-9a-z]+reserved|hereby[^0-9a-z]+granted|redistribution|proprietary|commercial[^0-9a-z]+use|wtfpl|unlicense|rail(?![0-9a-z])|no[^0-9a-z]+attribution"
 )
 
 
@@ -132,14 +135,14 @@ def rules() -> list[dict]:
         held += [(t.replace("{name}", n), sure) for n in family.ids for t, sure in IDENTIFIERS]
         out.append(
             {
-                "keyword": family.keyword,
+                "keywords": family.keyword.split("|"),
                 "rules": [{"label": family.label, "sure": sure, "rank": len(out) * 100 + i, "pattern": f" (?:{p})(?= )"} for i, (p, sure) in enumerate(held)],
             }
         )
     return out
 
 
-_RULES = "array<struct<keyword: string, rules: array<struct<label: string, sure: double, rank: int, pattern: string>>>>"
+_RULES = "array<struct<keywords: array<string>, rules: array<struct<label: string, sure: double, rank: int, pattern: string>>>>"
 
 
 def normal_line(text: Column) -> Column:
@@ -205,7 +208,7 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     base = [_base(phrase) for phrase, _ in BASE]
     n_base = sum((n for n, _, _ in base[1:]), base[0][0])
     held = F.filter(F.array(*(F.when(n > 0, F.lit(label)) for (n, _, _), (_, label) in zip(base, BASE))), lambda x: x.isNotNull())
-    families = F.filter(F.from_json(F.lit(json.dumps(rules())), _RULES), lambda f: F.contains(F.col("line"), f["keyword"]))
+    families = F.filter(F.from_json(F.lit(json.dumps(rules())), _RULES), lambda f: F.exists(f["keywords"], lambda k: F.contains(F.col("line"), k)))
     active = F.flatten(F.transform(families, lambda f: f["rules"]))
     found = F.flatten(F.transform(active, lambda r: _places(r, F.col("line"))))
     some = F.col("line").isNotNull()
