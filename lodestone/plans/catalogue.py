@@ -8,7 +8,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions import models as M
@@ -461,6 +460,12 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Selection
 
 
+def _index(spark: SparkSession, sf_dir: str, embedder: M.Embedder) -> DataFrame:
+    """All chunks of all documents with their vectors, written once."""
+    chunks = chunk_documents(document_files(_table(spark, sf_dir, "documents"))).dropDuplicates(["chunk_id"])
+    return saved(chunks.withColumn("embedding", M.embedded(F.col("text"), embedder)))
+
+
 @_register(
     "W03_R02_token_budget",
     r"""SELECT source, doc_id, tokens FROM (SELECT source, doc_id, t AS tokens, sum(t) OVER (PARTITION BY source ORDER BY doc_id) AS run FROM
@@ -474,10 +479,11 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register("W05_J06_R03_T06_distinct_selection")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    order = W.partitionBy("source").orderBy("doc_id")
-    pool = docs.select(F.xxhash64("source").alias("query_id"), "source", "doc_id", F.substring("text", 1, 800).alias("text"), F.row_number().over(order).alias("rank")).filter("rank <= 9")
-    return selection.greedy_distinct(pool, 3).select("source", "doc_id", "rank", "selected")
+    """The candidates of each benchmark item, whole chunks, with their place among the distinct ones that are taken."""
+    embedder, queries = M.HashingEmbedder(), _whole_queries(spark, sf_dir)
+    chunks = _index(spark, sf_dir, embedder)
+    found = search.hydrated(search.retrieve(chunks, queries, 3, embedder, mode="or"), chunks)
+    return selection.greedy_distinct(found.select("query_id", "chunk_id", "rank", "text"), 3).select("query_id", "chunk_id", "rank", "selected")
 
 
 @_register(
@@ -619,8 +625,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R01: chunks, both legs, fusion, near-duplicate selection, context and a stand-in model's answers, for the whole texts of all benchmark items."""
     embedder, model = M.HashingEmbedder(), M.ExtractiveModel()
-    chunks = chunk_documents(document_files(_table(spark, sf_dir, "documents"))).dropDuplicates(["chunk_id"])
-    chunks = saved(chunks.withColumn("embedding", M.embedded(F.col("text"), embedder)))  # the index
+    chunks = _index(spark, sf_dir, embedder)
     queries = _whole_queries(spark, sf_dir)
     found = saved(search.retrieve(chunks, queries, 3, embedder, mode="or"))  # used twice
     rows = search.assemble(found, chunks, queries, 3, model.info.context_length)

@@ -42,10 +42,14 @@ def retrieve(chunks: DataFrame, queries: DataFrame, k: int, embedder: M.Embedder
     return fusion.candidates(fusion.fuse(near, words), k)
 
 
+def hydrated(candidates: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Candidates with their chunks' rows and whole texts; blank ones go."""
+    return candidates.join(chunks.drop("embedding"), "chunk_id").filter(F.trim("text") != "")
+
+
 def assemble(candidates: DataFrame, chunks: DataFrame, queries: DataFrame, k: int, context_length: int) -> DataFrame:
     """One row a query: its context, sources, prompt and status."""
-    named = candidates.join(chunks.drop("embedding"), "chunk_id").filter(F.trim("text") != "")
-    chosen = selection.greedy_distinct(named, k).filter("selected is not null")
+    chosen = selection.greedy_distinct(hydrated(candidates, chunks), k).filter("selected is not null")
     shell = X.estimated_tokens(prompt_of(F.lit(""), F.col("question")))
     asked = queries.select("query_id", F.col("text").alias("question")).withColumn("budget", selection.context_budget(context_length, shell))
     chosen = chosen.join(asked.select("query_id", "budget"), "query_id").withColumns(
