@@ -242,6 +242,22 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files_in.with_urls(files, lookup).select("page_id", "filename", "original_url")
 
 
+@_register(
+    "J03_reverse_lookup_all",
+    r"""WITH f AS (SELECT 'page' || page_id AS file, url FROM pages UNION ALL SELECT 'doc' || doc_id, 'https://example.org/doc/' || doc_id FROM documents),
+        k AS (SELECT DISTINCT url, substr(sha256(url), 1, 16) AS page_key FROM pages)
+        SELECT f.file, substr(sha256(f.url), 1, 16) || '.md' AS filename, k.url AS original_url FROM f LEFT JOIN k ON k.page_key = substr(sha256(f.url), 1, 16)""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page can be looked up; the files of documents are the ones without a url."""
+    pages, docs = _table(spark, sf_dir, "pages"), _table(spark, sf_dir, "documents")
+    lookup = pages.select("url").distinct().select(U.page_key(F.col("url")).alias("page_key"), "url")
+    named = lambda df, kind, number, url: df.select(F.concat(F.lit(kind), F.col(number).cast("string")).alias("file"), url.alias("url"))
+    files = named(pages, "page", "page_id", F.col("url")).unionByName(named(docs, "doc", "doc_id", F.concat(F.lit("https://example.org/doc/"), F.col("doc_id").cast("string"))))
+    files = files.select("file", F.concat(U.page_key(F.col("url")), F.lit(".md")).alias("filename"), F.lit(None).cast("string").alias("original_url"))
+    return files_in.with_urls(files, lookup).select("file", "filename", "original_url")
+
+
 @_register(
     "S04_F10_F11_input_guards",
     r"""SELECT page_id, starts_with(url, 'http://') OR starts_with(url, 'https://') AS is_web, regexp_matches(p, '(^|/)\.') AS is_hidden, starts_with(p, '/en/1') AS is_managed
@@ -303,6 +319,15 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").groupBy(reason.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@_register(
+    "F04_C04_page_acceptance_whole",
+    r"""SELECT CASE WHEN text IS NULL THEN 'fetch_error' WHEN length(trim(text)) <= 10 THEN 'too_short' ELSE 'accepted' END AS outcome, count(*) AS n FROM documents GROUP BY 1""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reason = F.coalesce(crawl.failure_reason(F.col("text"), F.col("text")), F.lit("accepted"))
+    return _table(spark, sf_dir, "documents").groupBy(reason.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+
+
 # Keyword search
 
 _TOKENS = r"""list_filter(regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]+(?:\.?[\p{{L}}\p{{N}}_]+)*'), lambda t: length(t) >= 2 AND NOT list_contains([{1}], t))"""
@@ -457,6 +482,16 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(texts, "id").select("query_id", "id", "rank", F.substring("text", 1, 40).alias("head"))
 
 
+@_register(
+    "J02_F08_hydrated_texts",
+    f"""WITH {_FUSE_CTE} SELECT query_id, id, CAST(rank AS INTEGER) AS rank, text FROM r JOIN documents ON doc_id = id WHERE rank <= 9 AND trim(text) <> ''""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fusion.candidates(fusion.fuse(*_two_legs(spark, sf_dir), "id"), 3, "id").select("query_id", "id", "rank")
+    texts = _table(spark, sf_dir, "documents").filter(F.trim("text") != "").select(F.col("doc_id").alias("id"), "text")
+    return found.join(texts, "id").select("query_id", "id", "rank", "text")
+
+
 # Selection
 
 
@@ -532,6 +567,18 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.upserted(old, new, "doc_id")
 
 
+@_register(
+    "M02_M03_upsert_all",
+    r"""WITH a AS (SELECT doc_id, lang, 1 AS version FROM documents UNION ALL SELECT doc_id, 'new', 2 FROM labels)
+        SELECT doc_id, arg_max(lang, version) AS lang, CAST(max(version) AS INTEGER) AS version FROM a GROUP BY doc_id""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, and new versions of the labelled ones."""
+    old = _table(spark, sf_dir, "documents").select("doc_id", "lang", F.lit(1).alias("version"))
+    new = _table(spark, sf_dir, "labels").select("doc_id", F.lit("new").alias("lang"), F.lit(2).alias("version"))
+    return store.upserted(old, new, "doc_id")
+
+
 @_register(
     "M04_M05_J10_A06_F01_delete",
     "SELECT source, count(*) AS n FROM documents WHERE source <> 'src3' AND doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY source",
