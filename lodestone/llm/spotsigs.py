@@ -13,8 +13,8 @@ of the next document, and both likenesses.  For that, documents are dealt to ran
 about equal size; the first document of a range also goes to the range before, so each task holds
 all neighbours it needs, and texts cross the network once.
 
-Defined results: a text with words but no anchor before a content word has one signature,
-its word sequence; a text without words one, its bytes; a null or empty text none, and two empty
+Defined results: a text with words but no anchor before a content word (tables, lists, other
+languages) has a signature for each run of ``chain`` words, or for all of them if they are fewer; a text without words one, its bytes; a null or empty text none, and two empty
 fingerprints are alike (1).  Null ids come first; rows of equal id are ordered by text.
 """
 
@@ -88,7 +88,7 @@ def spot_sets(column: pa.Array, chain: int = CHAIN) -> list[np.ndarray]:
         if not len(found):
             own = words[bounds[row] : bounds[row + 1]]
             if len(own):
-                found = window_hashes(own, len(own))
+                found = np.unique(window_hashes(own, min(chain, len(own))))
             else:
                 if raw is None:
                     raw, offsets = utf8(column)
