@@ -1,4 +1,4 @@
-"""Jaccard self-join of documents on their word n-grams, with adaptive multi-match prefixes.
+"""Jaccard self-join of documents on their word n-grams, with lengthened multi-match prefixes.
 
 A document's set holds its distinct ``n``-word shingles.  Two documents link
 when ``100 * intersection >= percent * union``; the result names each document's
@@ -11,7 +11,8 @@ connected component.
    in the whole corpus last.  A set of ``n`` tokens that must share ``t`` of them with
    any partner sends its first ``n - t + l`` tokens, and partners must have
    ``l`` of those in common: a longer prefix, but one common passage no longer makes a
-   candidate.  ``l`` is ``lead`` of the set.
+   candidate.  ``l`` is ``lead`` of the set, a fixed share:
+   it isn't chosen by what a document's candidates would cost.
 3. *Runs.*  Tokens of up to ``run`` documents count their pairs.  Dearer tokens
    count none: they only tell each document how many of its prefix tokens are
    dear, and lower by that what its pairs must show.  Documents whose prefix holds
