@@ -6,8 +6,8 @@ navigation, tables and boilerplate have few, so the set of a text's signatures f
 prose.  A fingerprint lists the sorted 32-bit hashes of that set in hexadecimal; likeness is the
 Jaccard similarity of two such sets, pruned by their sizes where a least likeness is asked for.
 
-``spot_components`` finds near copies among all documents: only sets of like size are
-compared, through the prefix join of ``ngram_join``.  ``fingerprint_edits`` gives each
+``spot_components`` finds near copies among all documents through the prefix join of ``ngram_join``,
+in place of partitions by set length: short runs compare sizes, groups from dear tokens are intersected whatever their sizes.  ``fingerprint_edits`` gives each
 document's own fingerprint, that of its text with the latter half replaced by the start
 of the next document, and both likenesses.  For that, documents are dealt to ranges of ids of
 about equal size; the first document of a range also goes to the range before, so each task holds
