@@ -4,10 +4,13 @@ Legal conversations are those of a small automaton: a system turn or none, then
 user and assistant in turn, an assistant last.  Each turn of a conversation is
 kept, relabelled, merged into the turn before, or preceded by empty inserted turns;
 dynamic programming over the automaton's states finds the cheapest repair (ties:
-fewest insertions, then the earliest state in the order system, user, assistant).
+fewest insertions; then the earliest last state in the order system, user, assistant, then the earliest
+state before it, and so on back to the start).
 
 Costs of turns add up along states, so a stretch of turns is a matrix of least costs from
-any state to any other, and matrices of stretches compose.  Turns are range-partitioned in
+any state to any other, and matrices of stretches compose.  Beside each cost stands the rank of its way among
+those that end in the same state, in the order of ties, so that a conversation comes out the same wherever it is cut.
+Turns are range-partitioned in
 order, a partition reports the matrices of the conversations at its two ends, and
 those few compose into the states at the cuts; then every partition
 traces its own stretch.  A conversation of any length spans as many tasks as it needs.
@@ -17,7 +20,7 @@ joined in order of ``pos``, are its text.  Merged turns are one turn of the rend
 
 Defined results: null texts are empty; roles are compared without case and outer blanks, and roles that
 aren't known can become any role at a smaller cost; turns without a
-number come first; turns of equal number are ordered by role and text; rows without
+number come first; turns of equal number are ordered by role and the SHA-256 of the text; rows without
 a conversation id form one conversation of their own.
 """
 
@@ -45,6 +48,8 @@ SPELLINGS = {
 _NEXT = {START: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT: (USER,)}
 _FAR = np.int64(1) << np.int64(61)
 _ONE = 1 << 32  # a unit of cost; below it insertions are counted
+#: Text a partition holds: the first as long as partitions number no more than ``MANY_PARTS``, then up to the second.
+PART_BYTES, MOST_PART_BYTES, MANY_PARTS = 16 << 20, 128 << 20, 16_384
 
 
 @dataclass(frozen=True)
@@ -98,8 +103,46 @@ def endings(costs: Costs) -> np.ndarray:
     return np.array([n * (costs.insert * _ONE + 1) for n in need], np.int64)
 
 
-def compose(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    return np.minimum(_FAR, (first[:, :, None] + second[None, :, :]).min(axis=1))
+@dataclass(frozen=True)
+class Stretch:
+    """Least costs by the state before (rows) and after (columns), and the ranks of their ways within a column."""
+
+    cost: np.ndarray
+    rank: np.ndarray
+
+    @classmethod
+    def empty(cls) -> Stretch:
+        return cls(np.where(np.eye(4, dtype=bool), np.int64(0), _FAR), np.zeros((4, 4), np.int64))
+
+    @classmethod
+    def of_turn(cls, cost: np.ndarray) -> Stretch:
+        """One turn: all ways to a state are the same state."""
+        return cls(cost, np.zeros((4, 4), np.int64))
+
+    @classmethod
+    def loads(cls, raw: bytes) -> Stretch:
+        both = np.frombuffer(raw, np.int64).reshape(2, 4, 4)
+        return cls(both[0], both[1])
+
+    def dumps(self) -> bytes:
+        return np.stack((self.cost, self.rank)).astype(np.int64).tobytes()
+
+    def through(self, cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For ways whose costs so far are ``cost`` (a row each): by the state after, the least total and the state before it.
+
+        Of equal totals the way of the better rank counts, then the earlier state.
+        """
+        total = cost[:, :, None] + self.cost[None, :, :]
+        least = total.min(axis=1)
+        tie = np.where(total == least[:, None, :], self.rank[None, :, :] * 4 + np.arange(4)[None, :, None], 99)
+        return np.minimum(_FAR, least), tie.argmin(axis=1)
+
+    def then(self, other: Stretch) -> Stretch:
+        cost, middle = other.through(self.cost)
+        states = np.arange(4)
+        order = other.rank[middle, states[None, :]] * 16 + middle * 4 + self.rank[states[:, None], middle]
+        rank = (order[None, :, :] < order[:, None, :]).sum(axis=1)
+        return Stretch(cost, rank)
 
 
 def trace(roles: np.ndarray, start: int, end: np.ndarray, table: np.ndarray) -> list[int]:
@@ -151,15 +194,15 @@ def _ends(costs: Costs):
         for conv, rows in _runs(batches):
             seen = [*seen[:1], (conv, rows.select(["part", "role"]))]
         for conv, rows in seen:
-            total = np.where(np.eye(4, dtype=bool), np.int64(0), _FAR)
+            total = Stretch.empty()
             for role in _role_codes(rows["role"]):
-                total = compose(total, table[role])
+                total = total.then(Stretch.of_turn(table[role]))
             yield pa.RecordBatch.from_pydict(
                 {
                     "part": pa.array([rows["part"][0].as_py()], pa.int32()),
                     "conv_id": pa.array([conv], pa.int64()),
                     "turns": pa.array([rows.num_rows], pa.int64()),
-                    "matrix": pa.array([total.tobytes()], pa.binary()),
+                    "matrix": pa.array([total.dumps()], pa.binary()),
                 }
             )
 
@@ -170,7 +213,7 @@ def boundaries(stretches: list[tuple[int, int | None, int, bytes]], costs: Costs
     """For stretches of conversations that partitions cut: start state, end state, rows before, whether it is the last."""
     by: dict[int | None, list] = {}
     for part, conv, turns, matrix in sorted(stretches, key=lambda s: s[0]):
-        by.setdefault(conv, []).append((part, turns, np.frombuffer(matrix, np.int64).reshape(4, 4)))
+        by.setdefault(conv, []).append((part, turns, Stretch.loads(matrix)))
     out = {}
     for conv, held in by.items():
         if len(held) < 2:
@@ -179,9 +222,9 @@ def boundaries(stretches: list[tuple[int, int | None, int, bytes]], costs: Costs
         cost[START] = 0
         back = []
         for _, _, matrix in held:
-            total = cost[:, None] + matrix
-            back.append(total.argmin(axis=0))
-            cost = np.minimum(_FAR, total.min(axis=0))
+            least, before = matrix.through(cost[None, :])
+            back.append(before[0])
+            cost = least[0]
         state = int((cost + endings(costs)).argmin())
         ways = []
         for i in range(len(held) - 1, -1, -1):
@@ -191,7 +234,7 @@ def boundaries(stretches: list[tuple[int, int | None, int, bytes]], costs: Costs
         rows = 0
         for i, ((part, turns, matrix), (a, b)) in enumerate(zip(held, reversed(ways))):
             out[part, conv] = (a, b, rows, i == len(held) - 1)
-            rows += turns + int(matrix[a, b] % _ONE)
+            rows += turns + int(matrix.cost[a, b] % _ONE)
     return out
 
 
@@ -239,16 +282,20 @@ def _repaired(shared, costs: Costs, template: Template):
     return run
 
 
-def format_chats(conversations: DataFrame, costs: Costs = Costs(), template: Template = Template(), part_bytes: int = 16 << 20) -> DataFrame:
-    """``conv_id, pos, turn, role, action, rendered``: one row a turn of the repaired conversations, inserted ones with a null ``turn``."""
+def format_chats(conversations: DataFrame, costs: Costs = Costs(), template: Template = Template(), part_bytes: int = PART_BYTES) -> DataFrame:
+    """``conv_id, pos, turn, role, action, rendered``: one row a turn of the repaired conversations, inserted ones with a null ``turn``.
+
+    The result depends on the rows alone, not on how they are cut.  The driver sees two rows of 300 bytes a partition.
+    """
     spark = conversations.sparkSession
     turns = conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")
     )
-    n_parts = pieces(text_bytes(turns)[1], part_bytes, shuffle_width(spark))
-    keys = ["conv_id", "turn", "role", F.xxhash64("text"), "nth"]
+    n_bytes = text_bytes(turns)[1]
+    n_parts = pieces(n_bytes, max(part_bytes, min(MOST_PART_BYTES, n_bytes // MANY_PARTS)), shuffle_width(spark))
+    keys = ["conv_id", "turn", "role", F.sha2("text", 256), "nth"]
     laid = checkpointed(
-        turns.withColumn("nth", F.monotonically_increasing_id())  # splits repeated rows
+        turns.withColumn("nth", F.monotonically_increasing_id())  # splits repeated rows, which are alike
         .repartitionByRange(n_parts, *keys)
         .sortWithinPartitions(*keys)
         .select(F.spark_partition_id().alias("part"), "conv_id", "turn", "role", "text")

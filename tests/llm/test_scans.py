@@ -194,6 +194,50 @@ def test_chat_costs(spark, costs):
         assert body == ["user", "assistant"] * (len(body) // 2) and body
 
 
+def colex_best(roles, costs):
+    """The cheapest way by trying all; of equal ones that with the earliest states from the end on."""
+    table, ends = chat.transitions(costs), chat.endings(costs)
+    ways = itertools.product(chat.ROLES, repeat=len(roles))
+    total = lambda w: sum(int(table[r, p, q]) for r, p, q in zip(roles, (chat.START, *w[:-1]), w)) + int(ends[w[-1]])
+    return list(min(ways, key=lambda w: (total(w), w[::-1])))
+
+
+@pytest.mark.parametrize("costs", [chat.Costs(), chat.Costs(merge=2, insert=1, relabel=2, relabel_unknown=0)])
+def test_chat_ties_do_not_depend_on_cuts(costs):
+    rnd = random.Random(11)
+    table, ends = chat.transitions(costs), chat.endings(costs)
+    for trial in range(1000):
+        roles = [rnd.randrange(4) for _ in range(rnd.randint(2, 6) if trial % 2 else rnd.randint(20, 60))]
+        whole = chat.trace(roles, chat.START, ends, table)
+        if len(roles) <= 6:
+            assert whole == colex_best(roles, costs)
+        cuts = sorted(rnd.sample(range(1, len(roles)), rnd.randint(1, min(5, len(roles) - 1))))
+        pieces = [roles[a:b] for a, b in zip([0, *cuts], [*cuts, len(roles)])]
+        stretches = []
+        for part, piece in enumerate(pieces):
+            held = chat.Stretch.empty()
+            for role in piece:
+                held = held.then(chat.Stretch.of_turn(table[role]))
+            stretches.append((part, 7, len(piece), held.dumps()))
+        found, got = chat.boundaries(stretches, costs), []
+        for part, piece in enumerate(pieces):
+            start, stop, _, _ = found[part, 7]
+            end = [chat._FAR] * 4
+            end[stop] = 0
+            got += chat.trace(piece, start, chat.np.array(end), table)
+        assert got == whole, roles
+
+
+def test_chat_layouts(spark):
+    rnd = random.Random(12)
+    names = [*chat.SPELLINGS, "tool"]
+    rows = [(c, t % 30, rnd.choice(names), f"t{rnd.randrange(3)}") for c in range(120) for t in range(rnd.randint(20, 40))]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    whole = sorted(map(str, chat.format_chats(table).collect()))
+    for part_bytes in (60, 900):
+        assert whole == sorted(map(str, chat.format_chats(table.repartition(3), part_bytes=part_bytes).collect()))
+
+
 def test_chat_awkward(spark):
     rows = [(None, 1, "user", "no id"), (1, None, "user", "first"), (1, 1, "user", "same"), (1, 1, "user", "same"), (2, 1, None, None), (3, 5, "assistant", "")]
     table = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, pos int")
