@@ -1,13 +1,15 @@
 """Vectorised word splitting and hashing over Arrow string columns.
 
 A whole batch of documents is handled as one byte array: a table folds each
-byte, another says which bytes belong to words, and a polynomial prefix sum
-gives the 64-bit hash of every word without a Python object per word.  Words
-never cross document borders.
+byte, another says which bytes belong to words, and a word's bytes are taken eight at
+a time and mixed in by bijections, for all words at once.  Words longer than that pays
+for get a BLAKE2 digest.  A word has two independent 64-bit hashes: the first does
+for candidates, and both together where equality is decided.  Words never cross document borders.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,9 +17,10 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-_BASE = 0x5851F42D4C957F2D  # odd, so it has an inverse modulo 2**64
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _CHUNK = 1 << 20
+#: Words of up to this many bytes are hashed in lanes of eight, longer ones one by one.
+_LANED = 32
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=U64)
 
 
 @dataclass(frozen=True)
@@ -58,22 +61,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.ones(n, dtype=U64)
-    out[1:] = U64(base)
-    return np.multiply.accumulate(out)
-
-
-_tables: dict[str, np.ndarray] = {}
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_tables.get("up", ())) < n:
-        size = max(n, _CHUNK + 1)
-        _tables["up"], _tables["down"] = _powers(_BASE, size), _powers(_BASE_INVERSE, size)
-    return _tables["up"], _tables["down"]
-
-
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and the offsets of its rows; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -103,7 +90,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], limit: int = 8 << 20, column:
 
 
 def split_words(raw: np.ndarray, bounds: np.ndarray, kind: WordClass) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word starts and ends (byte offsets) and their 64-bit hashes."""
+    """Word starts and ends (byte offsets), and the folded bytes they stand in."""
     folded = kind.fold[raw]
     member = kind.member[folded]
     n = len(raw)
@@ -114,30 +101,51 @@ def split_words(raw: np.ndarray, bounds: np.ndarray, kind: WordClass) -> tuple[n
         cuts = bounds[(bounds > 0) & (bounds < n)]
         before[cuts] = False
         after[cuts - 1] = False
-    starts = np.flatnonzero(member & ~before)
-    ends = np.flatnonzero(member & ~after) + 1
-    up, down = _power_tables(n + 1)
-    total = np.zeros(n + 1, dtype=U64)
-    np.cumsum((folded.astype(U64) + U64(1)) * up[:n], out=total[1:])
-    return starts, ends, mix((total[ends] - total[starts]) * down[starts])
-
-
-def word_hashes(column: pa.Array | pa.ChunkedArray, kind: WordClass) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of all rows, and the offsets of each row's words."""
+    return np.flatnonzero(member & ~before), np.flatnonzero(member & ~after) + 1, folded
+
+
+def _hashed(folded: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each word."""
+    sizes = ends - starts
+    padded = np.concatenate((folded, np.zeros(8, np.uint8)))
+    lanes = np.ndarray((len(folded) + 1,), "<u8", padded, strides=(1,))
+    one = mix(sizes.astype(U64) * U64(0x9E3779B97F4A7C15))
+    two = mix(sizes.astype(U64) * U64(0xD6E8FEB86659FD93) + U64(1))
+    at = np.flatnonzero(sizes <= _LANED)
+    for offset in range(0, _LANED, 8):
+        at = at[sizes[at] > offset]
+        if not len(at):
+            break
+        lane = lanes[starts[at] + offset] & _MASKS[np.minimum(sizes[at] - offset, 8)]
+        one[at] = mix(one[at] ^ lane)
+        two[at] = mix((two[at] + U64(0xA0761D6478BD642F)) * U64(0xE7037ED1A0B428DB) + lane)
+    for i in np.flatnonzero(sizes > _LANED):
+        one[i], two[i] = np.frombuffer(hashlib.blake2b(folded[starts[i] : ends[i]].tobytes(), digest_size=16).digest(), U64)
+    return one, two
+
+
+def wide_hashes(column: pa.Array | pa.ChunkedArray, kind: WordClass) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Both hashes of all words of all rows, and the offsets of each row's words."""
     raw, bounds = utf8(column)
-    hashes, counts, row, n = [], [], 0, len(bounds) - 1
+    parts, counts, row, n = [], [], 0, len(bounds) - 1
     while row < n:
         stop = max(row + 1, int(np.searchsorted(bounds, bounds[row] + _CHUNK, side="right")) - 1)
         local = bounds[row : stop + 1] - bounds[row]
-        starts, _, hashed = split_words(raw[bounds[row] : bounds[stop]], local, kind)
-        hashes.append(hashed)
+        starts, ends, folded = split_words(raw[bounds[row] : bounds[stop]], local, kind)
+        parts.append(_hashed(folded, starts, ends))
         counts.append(np.diff(np.searchsorted(starts, local)))
         row = stop
-    words = np.concatenate(hashes) if hashes else np.zeros(0, U64)
+    one, two = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, U64), np.zeros(0, U64))
     at = np.zeros(n + 1, np.int64)
     if counts:
         np.cumsum(np.concatenate(counts), out=at[1:])
-    return words, at
+    return one, two, at
+
+
+def word_hashes(column: pa.Array | pa.ChunkedArray, kind: WordClass) -> tuple[np.ndarray, np.ndarray]:
+    """The first hash of all words of all rows, and the offsets of each row's words."""
+    one, _, at = wide_hashes(column, kind)
+    return one, at
 
 
 def _weights(k: int) -> np.ndarray:

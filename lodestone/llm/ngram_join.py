@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm._spark import checkpointed, pieces, shuffle_width
-from lodestone.llm._words import SPACED_LOWER, U64, WordClass, text_slices, window_hashes, word_hashes
+from lodestone.llm._words import SPACED_LOWER, U64, WordClass, text_slices, wide_hashes, window_hashes
 from lodestone.llm.components import connected_components
 
 LEAD = 0.1
@@ -69,9 +69,9 @@ def shingle_sets(words: np.ndarray, bounds: np.ndarray, n: int) -> list[np.ndarr
     return out
 
 
-def _digest(words: np.ndarray) -> tuple[int, int]:
-    """A 128-bit digest of a word sequence as two signed longs."""
-    raw = hashlib.blake2b(words.tobytes(), digest_size=16).digest()
+def _digest(one: np.ndarray, two: np.ndarray) -> tuple[int, int]:
+    """A 128-bit digest of a word sequence, from both hashes of its words, as two signed longs."""
+    raw = hashlib.blake2b(one.tobytes() + two.tobytes(), digest_size=16).digest()
     return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
 
 
@@ -79,8 +79,8 @@ def shingle_builder(n: int, kind: WordClass = SPACED_LOWER):
     """A function from a text column to each row's set and the digest of its word sequence."""
 
     def build(column: pa.Array) -> tuple[list[np.ndarray], list[tuple]]:
-        words, bounds = word_hashes(column, kind)
-        keys = [_digest(words[i:j]) if j > i else (None, None) for i, j in zip(bounds[:-1], bounds[1:])]
+        words, seconds, bounds = wide_hashes(column, kind)
+        keys = [_digest(words[i:j], seconds[i:j]) if j > i else (None, None) for i, j in zip(bounds[:-1], bounds[1:])]
         return shingle_sets(words, bounds, n), keys
 
     return build

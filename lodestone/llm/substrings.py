@@ -16,6 +16,9 @@ the same place within them (that is what the cover guarantees), so
 4. buckets answer with the windows that an earlier block's document holds,
 5. blocks remove the words those windows cover.
 
+An anchor's hash only proposes places.  A window is known by 128 bits, two independent hashes of its words, and
+what is removed is decided on all of them.
+
 Texts cross the network once: all three passes over them read one exchange.
 A hash is sent once a block, however often it occurs, so that a passage that
 a third of all documents share costs a bucket one entry a block.
@@ -35,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm._spark import pieces, shuffle_width, text_bytes
-from lodestone.llm._words import SPACED, U64, row_of, window_hashes, windows_at, word_hashes
+from lodestone.llm._words import SPACED, U64, row_of, wide_hashes, window_hashes, windows_at, word_hashes
 
 #: Difference covers: for any two remainders there is a shift that moves both into the cover.
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9)}
@@ -77,6 +80,28 @@ def _within(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
 
 
+def _pair_starts(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Where the value changes in a row of 128-bit values."""
+    return np.concatenate(([True], (one[1:] != one[:-1]) | (two[1:] != two[:-1]))) if len(one) else np.zeros(0, bool)
+
+
+def _pairs_within(one: np.ndarray, two: np.ndarray, known_one: np.ndarray, known_two: np.ndarray) -> np.ndarray:
+    """Which 128-bit values occur among the known ones, which are sorted by their first half."""
+    found = np.zeros(len(one), bool)
+    if not len(known_one):
+        return found
+    at = np.searchsorted(known_one, one)
+    left = np.arange(len(one))
+    while len(left):
+        left = left[at[left] < len(known_one)]
+        left = left[known_one[at[left]] == one[left]]
+        same = known_two[at[left]] == two[left]
+        found[left[same]] = True
+        left = left[~same]
+        at[left] += 1
+    return found
+
+
 class _Anchors:
     """Anchor positions of a block and their keys: the bucket above, 32 bits of the hash below."""
 
@@ -148,11 +173,11 @@ def _answer_anchors(table: pa.Table) -> pa.Table:
 
 def _send_windows(window: int, n_buckets: int):
     def send(_key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
-        out: dict[str, list] = {"bucket": [], "block": [], "entries": [], "smallest": []}
+        out: dict[str, list] = {"bucket": [], "block": [], "entries": [], "checks": [], "smallest": []}
         if docs.num_rows:
             docs = _ordered(docs)
             ids = _ids(docs["doc_id"])
-            words, bounds = word_hashes(docs["text"], SPACED)
+            words, seconds, bounds = wide_hashes(docs["text"], SPACED)
             anchors = _Anchors(words, bounds, window, n_buckets)
             ordered = np.sort(anchors.keys)
             keys = _distinct(ordered)
@@ -162,65 +187,63 @@ def _send_windows(window: int, n_buckets: int):
                 elsewhere[i:j] = np.unpackbits(np.frombuffer(replies[bucket], np.uint8), count=j - i).astype(bool)
             shared = np.sort(np.concatenate((keys[elsewhere], _repeated(ordered))))
             starts = anchors.candidates(_within(anchors.keys, shared), window)
-            hashes = windows_at(words, starts, window)
-            order = np.argsort(hashes, kind="stable")  # of equal windows, that of the smallest document comes first
-            hashes = hashes[order]
-            first = np.concatenate(([True], hashes[1:] != hashes[:-1])) if len(hashes) else np.zeros(0, bool)
+            one, two = windows_at(words, starts, window), windows_at(seconds, starts, window)
+            order = np.lexsort((two, one))  # of equal windows, that of the smallest document comes first
+            one, two = one[order], two[order]
+            first = _pair_starts(one, two)
             owner = ids[row_of(bounds)[starts[order[first]]]]
-            hashes = hashes[first]
-            buckets = _bucket(hashes, n_buckets).astype(np.int64)
+            one, two = one[first], two[first]
+            buckets = _bucket(one, n_buckets).astype(np.int64)
             edges = np.flatnonzero(np.concatenate(([True], buckets[1:] != buckets[:-1]))) if len(buckets) else []
             for i, j in zip(edges, [*edges[1:], len(buckets)]):
                 out["bucket"].append(int(buckets[i]))
                 out["block"].append(_block_of(docs))
-                out["entries"].append(hashes[i:j].tobytes())
+                out["entries"].append(one[i:j].tobytes())
+                out["checks"].append(two[i:j].tobytes())
                 out["smallest"].append(owner[i:j].tobytes())
-        return pa.table(
-            {
-                "bucket": pa.array(out["bucket"], pa.int32()),
-                "block": pa.array(out["block"], pa.int32()),
-                "entries": pa.array(out["entries"], pa.binary()),
-                "smallest": pa.array(out["smallest"], pa.binary()),
-            }
-        )
+        kinds = {"bucket": pa.int32(), "block": pa.int32()}
+        return pa.table({k: pa.array(v, kinds.get(k, pa.binary())) for k, v in out.items()})
 
     return send
 
 
 def _answer_windows(table: pa.Table) -> pa.Table:
     """For each block the windows that a document smaller than all of the block's own holds."""
-    hashes = [np.frombuffer(x.as_buffer(), U64) for x in table["entries"]]
-    owners = [np.frombuffer(x.as_buffer(), np.int64) for x in table["smallest"]]
-    repeated = _repeated(np.sort(np.concatenate(hashes)))
-    least = np.full(len(repeated), np.iinfo(np.int64).max)
-    found = [_within(x, repeated) for x in hashes]
-    for x, owner, hit in zip(hashes, owners, found):
-        np.minimum.at(least, np.searchsorted(repeated, x[hit]), owner[hit])
-    sent = []
-    for x, owner, hit in zip(hashes, owners, found):
-        mine = x[hit]
-        sent.append(mine[least[np.searchsorted(repeated, mine)] < owner[hit]].tobytes())
-    return pa.table({"block": table["block"], "bucket": table["bucket"], "entries": pa.array(sent, pa.binary())})
-
-
-def removed_words(ids: np.ndarray, words: np.ndarray, bounds: np.ndarray, elsewhere: np.ndarray, window: int) -> np.ndarray:
-    """Which words of a block go; rows come in the order of their ids."""
-    n = len(words)
+    read = lambda name, kind: [np.frombuffer(x.as_buffer(), kind) for x in table[name]]
+    firsts, seconds, owners = read("entries", U64), read("checks", U64), read("smallest", np.int64)
+    one, two, owner = (np.concatenate(x) for x in (firsts, seconds, owners))
+    row = np.repeat(np.arange(table.num_rows), [len(x) for x in firsts])
+    again = np.flatnonzero(_within(one, _repeated(np.sort(one))))
+    order = again[np.lexsort((owner[again], two[again], one[again]))]
+    first = _pair_starts(one[order], two[order])
+    least = owner[order[first]][np.cumsum(first) - 1] if len(order) else np.zeros(0, np.int64)
+    late = order[owner[order] > least]
+    late = late[np.argsort(row[late], kind="stable")]
+    cuts = np.searchsorted(row[late], np.arange(table.num_rows + 1))
+    sent = lambda values: pa.array([values[late[i:j]].tobytes() for i, j in zip(cuts[:-1], cuts[1:])], pa.binary())
+    return pa.table({"block": table["block"], "bucket": table["bucket"], "entries": sent(one), "checks": sent(two)})
+
+
+def removed_words(ids: np.ndarray, words: tuple[np.ndarray, np.ndarray], bounds: np.ndarray, elsewhere: tuple[np.ndarray, np.ndarray], window: int) -> np.ndarray:
+    """Which words of a block go; rows come in the order of their ids, and ``elsewhere`` in that of its first half."""
+    n = len(words[0])
     cover = np.zeros(n + 1, np.int32)
-    hashes = window_hashes(words, window)
-    if len(hashes):
+    one = window_hashes(words[0], window)
+    if len(one):
         n_words = np.diff(bounds)
         left = np.repeat(bounds[1:], n_words) - np.arange(n)
-        valid = left[: len(hashes)] >= window
-        starts = np.flatnonzero(valid)
-        hashes = hashes[starts]
-        gone = _within(hashes, elsewhere)
-        again = np.flatnonzero(_within(hashes, _repeated(np.sort(hashes))))
-        order = again[np.argsort(hashes[again], kind="stable")]
+        starts = np.flatnonzero(left[: len(one)] >= window)
+        one = one[starts]
+        here = _within(one, _repeated(np.sort(one)))
+        near = np.flatnonzero(here | _within(one, elsewhere[0]))
+        starts, one, here = starts[near], one[near], here[near]
+        two = windows_at(words[1], starts, window)
+        gone = _pairs_within(one, two, *elsewhere)
+        again = np.flatnonzero(here)
+        order = again[np.lexsort((two[again], one[again]))]
         if len(order):
             owner = ids[row_of(bounds)[starts[order]]]
-            value = hashes[order]
-            first = np.concatenate(([True], value[1:] != value[:-1]))
+            first = _pair_starts(one[order], two[order])
             least = owner[np.flatnonzero(first)][np.cumsum(first) - 1]
             gone[order[owner > least]] = True
         np.add.at(cover, starts[gone], 1)
@@ -232,10 +255,11 @@ def _finish(window: int):
     def finish(_key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
         docs = _ordered(docs)
         ids = _ids(docs["doc_id"])
-        words, bounds = word_hashes(docs["text"], SPACED)
-        blobs = [np.frombuffer(x, U64) for x in answers["entries"].to_pylist()]
-        elsewhere = np.sort(np.concatenate(blobs)) if blobs else np.zeros(0, U64)
-        gone = removed_words(ids, words, bounds, elsewhere, window)
+        *words, bounds = wide_hashes(docs["text"], SPACED)
+        read = lambda name: np.concatenate([np.zeros(0, U64), *(np.frombuffer(x.as_buffer(), U64) for x in answers[name])])
+        one, two = read("entries"), read("checks")
+        order = np.argsort(one, kind="stable")
+        gone = removed_words(ids, words, bounds, (one[order], two[order]), window)
         total = np.concatenate(([0], np.cumsum(gone)))
         n_removed = total[bounds[1:]] - total[bounds[:-1]]
         kept = []
@@ -289,7 +313,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, block_bytes: int = BLOCK_B
     n_buckets = max(width, n_blocks // 4)
     blocks = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        .withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).cast("int"))
+        .withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int"))  # by both: an id may repeat
         .repartition(min(n_blocks, max(width, MANY_BLOCKS)), "block")
     )
     anchors = blocks.groupBy("block").applyInArrow(_send_anchors(window, n_buckets), "bucket int, block int, entries binary")
@@ -297,9 +321,9 @@ def remove_repeats(docs: DataFrame, window: int = 13, block_bytes: int = BLOCK_B
     windows = (
         blocks.groupBy("block")
         .cogroup(answers.groupBy("block"))
-        .applyInArrow(_send_windows(window, n_buckets), "bucket int, block int, entries binary, smallest binary")
+        .applyInArrow(_send_windows(window, n_buckets), "bucket int, block int, entries binary, checks binary, smallest binary")
     )
-    earlier = windows.groupBy("bucket").applyInArrow(_answer_windows, "block int, bucket int, entries binary")
+    earlier = windows.groupBy("bucket").applyInArrow(_answer_windows, "block int, bucket int, entries binary, checks binary")
     finish = _finish(window)
     kept, name = (_kept_text(finish), "kept_text") if texts else (_digest(finish), "kept_sha256")
     return (

@@ -145,6 +145,46 @@ def test_substrings_awkward(documents, awkward):
     assert remove_repeats(documents([])).count() == 0
 
 
+def colliding():
+    """Two words of 1,024 characters that every polynomial hash modulo 2 ** 64 takes for one."""
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_equality_is_not_a_polynomial_hash(documents):
+    a, b = colliding()
+    assert {r["doc_id"]: r["component_id"] for r in ngram_components(documents([(1, a), (2, b)])).collect()} == {1: 1, 2: 2}
+    few = " ".join(f"w{i}" for i in range(12))
+    rows = [(1, f"{few} {a}"), (2, f"{few} {b}"), (3, f"{few} {a}")]
+    assert sorted(map(tuple, remove_repeats(documents(rows), texts=False).collect()), key=str) == brute_removal(rows)
+
+
+def test_word_hashes():
+    import numpy as np
+    import pyarrow as pa
+
+    from lodestone.llm._words import SPACED, wide_hashes
+
+    rnd = random.Random(4)
+    words = {"".join(rnd.choice("ab\0é") for _ in range(rnd.randint(1, 60))) for _ in range(5000)} | set(colliding())
+    words = sorted(words)
+    one, two, at = wide_hashes(pa.array([" ".join(words[:2000]), None, " ".join(words[2000:]), ""]), SPACED)
+    assert list(at) == [0, 2000, 2000, len(words), len(words)] and len(np.unique(one)) == len(np.unique(two)) == len(words)
+    again, _, _ = wide_hashes(pa.array(["x", *words[::-1]]), SPACED)
+    assert list(again[1:]) == list(one[::-1])
+
+
+def test_pairs_of_halves():
+    import numpy as np
+
+    from lodestone.llm.substrings import _pairs_within
+
+    known = np.array([(1, 5), (1, 6), (1, 9), (4, 1)], np.uint64)
+    asked = np.array([(1, 5), (1, 9), (1, 7), (4, 1), (4, 2), (0, 0), (9, 9)], np.uint64)
+    assert list(_pairs_within(asked[:, 0], asked[:, 1], known[:, 0], known[:, 1])) == [True, True, False, True, False, False, False]
+    assert not _pairs_within(asked[:, 0], asked[:, 1], known[:0, 0], known[:0, 1]).any()
+
+
 def test_fingerprints(documents, awkward):
     rows = near_copies() + awkward
     docs = documents(rows).withColumn("part", F.lit(9)).withColumn("order", F.lit("o"))
