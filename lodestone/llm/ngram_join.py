@@ -1,41 +1,46 @@
-"""Jaccard self-join of documents on their word n-grams, with lengthened multi-match prefixes.
+"""Jaccard self-join of documents on their word n-grams, with adaptive multi-match prefixes.
 
 A document's set holds its distinct ``n``-word shingles.  Two documents link
 when ``100 * intersection >= percent * union``; the result names each document's
 connected component.
 
 1. *Digests.*  One pass gives each text its set size and a 128-bit digest of
-   its word sequence (equal sequences are one class from here on), and the
-   shingles that are frequent within a batch.
-2. *Prefixes.*  All tokens have one global order: by hash, tokens frequent
-   in the whole corpus last.  A set of ``n`` tokens that must share ``t`` of them with
-   any partner sends its first ``n - t + l`` tokens, and partners must have
-   ``l`` of those in common: a longer prefix, but one common passage no longer makes a
-   candidate.  ``l`` is ``lead`` of the set, a fixed share:
-   it isn't chosen by what a document's candidates would cost.
+   its word sequence (equal sequences are one class from here on), and counts the
+   shingles that several texts of a batch hold.  The most frequent ones of the corpus, with these
+   counts, go to all workers.
+2. *Prefixes.*  All tokens have one global order: tokens without a count by hash,
+   then those with one by it.  A set of ``n`` tokens that must share ``t`` of them with
+   any partner sends its first ``n - t + l`` tokens, and partners whose
+   leads are ``l`` and ``m`` must have ``min(l, m)`` of those in common.  Each set's lead is
+   chosen for it: from the counts of its tokens follows, for every lead, how many tokens its
+   prefix is matched with and how many candidates can be left to verify, and the cheapest lead is taken (``leads``).
+   A set of rare tokens sends a short prefix, one whose tokens many texts hold a longer one
+   that asks more of its candidates.
 3. *Runs.*  Tokens of up to ``run`` documents count their pairs.  Dearer tokens
    count none: they only tell each document how many of its prefix tokens are
-   dear, and lower by that what its pairs must show.  Documents whose prefix holds
-   too many dear tokens for that ("unsafe": copies of much copied texts) get an
-   edge to each of those tokens instead of pairs.
+   dear, and lower by that what its pairs must show.  A document that holds as many dear
+   tokens as its lead gets an edge to each of those instead of pairs, and so do
+   the documents that could be its partners through them.
 4. *Candidate groups.*  The components of those edges.  Every candidate's whole
    set travels once, to its group's task, where exact intersections are
-   counted.  Groups beyond ``group_tokens`` are matched block by block.
+   counted.  Groups beyond ``group_tokens`` or ``group_rows`` are matched block by block.
 
-Nothing is dropped: frequent tokens change the order and the route, not the result.
-Only broadcast: the corpus-frequent tokens, at most ``max_frequent``, and the candidates'
+Nothing is dropped: counts change the order, the leads and the route, not the result.
+Only broadcast: the counted tokens, at most ``max_frequent``, and the candidates'
 ids where they number at most ``max_broadcast_rows``; beyond that they are joined.
 
 Defined results: a null or blank text has an empty set and links with nothing; a
 text of fewer words than ``n`` has one shingle, its whole sequence; rows without an id link
 with nothing and get a null component; of a repeated id every text takes part, and its rows get
-the smallest component that any of them reaches.
+the smallest component that any of them reaches.  Shingles are compared as 64-bit hashes within a pair of documents,
+equality of texts by 128 bits.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -43,17 +48,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm._spark import checkpointed, pieces, shuffle_width
-from lodestone.llm._words import SPACED_LOWER, U64, WordClass, text_slices, wide_hashes, window_hashes
+from lodestone.llm._words import SPACED_LOWER, U64, WordClass, mix, text_slices, wide_hashes, window_hashes
 from lodestone.llm.components import connected_components
 
-LEAD = 0.1
 RUN = 32
-GROUP_TOKENS = 4_000_000
-MAX_FREQUENT = 100_000
+GROUP_TOKENS, GROUP_ROWS = 4_000_000, 250
+MAX_FREQUENT = 200_000
+#: How often a batch must hold a token for it to be counted.
+REPEATED = 4
 #: Prefix tokens a bucket holds: the first as long as buckets number no more than ``MANY_BUCKETS``, then up to the second.
 BUCKET_BYTES, MOST_BUCKET_BYTES, MANY_BUCKETS = 8 << 20, 128 << 20, 32_768
 MAX_BROADCAST_ROWS = 500_000
 _PIVOTS = 16
+_BLOCK_PIVOTS = 8
 
 
 def shingle_sets(words: np.ndarray, bounds: np.ndarray, n: int) -> list[np.ndarray]:
@@ -91,8 +98,34 @@ def least_overlap(size: int, percent: int) -> int:
     return (percent * size + 99) // 100
 
 
-def lead_of(size: int, lead: float) -> int:
-    return max(1, int(np.ceil(lead * size)))
+@dataclass(frozen=True)
+class CostModel:
+    """What decides a lead, in units of one prefix token sent and matched.
+
+    ``rare``: texts besides itself that hold a token without a count, on average.  ``verify``: cost of one token of a
+    candidate's set.  ``most``: the longest lead, as a share of the set.
+    """
+
+    rare: float = 0.02
+    verify: float = 0.1
+    most: float = 0.4
+
+
+def leads(counts: np.ndarray, percent: int, model: CostModel, run: int) -> tuple[int, float]:
+    """The cheapest lead of a set and its estimated cost, from the counts of its tokens in the global order (0: none known).
+
+    A prefix of ``w`` tokens is sent and matched with all their holders (dear tokens, of more than ``run``, match with none).
+    Of those, at most a share of one in ``lead`` can show ``lead`` tokens and is verified, whole sets of about this size.
+    """
+    size = len(counts)
+    base = size - least_overlap(size, percent)
+    most = max(1, min(size - base, int(np.ceil(model.most * size))))
+    others = np.where(counts > run, 0.0, np.where(counts > 1, counts - 1.0, model.rare))
+    held = np.cumsum(others)[base : base + most]
+    lead = np.arange(1, most + 1)
+    cost = base + lead + held + model.verify * size * held / lead
+    best = int(np.argmin(cost))
+    return best + 1, float(cost[best])
 
 
 def _runs(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -101,24 +134,25 @@ def _runs(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.diff(np.append(first, len(ordered)))
 
 
-def _digests(build, share: float):
-    """Rows of documents (token null) and of tokens frequent in a batch (token set, size its count)."""
+def _digests(build):
+    """Rows of documents (token null) and of tokens that several classes of a batch hold (token set, size its count)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
             sets, keys = build(batch.column("text"))
             rows = len(sets)
-            tokens = np.sort(np.concatenate(sets)) if sets else np.zeros(0, U64)
+            classes = list({k: s for k, s in zip(keys, sets)}.values())
+            tokens = np.sort(np.concatenate(classes)) if classes else np.zeros(0, U64)
             first, length = _runs(tokens)
-            frequent = length >= max(8, share * rows)
-            found = tokens[first[frequent]].view(np.int64)
+            repeated = length >= REPEATED
+            found = tokens[first[repeated]].view(np.int64)
             none = [None] * len(found)
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": pa.concat_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(none, pa.int64())]),
                     "k1": pa.array([k[0] for k in keys] + none, pa.int64()),
                     "k2": pa.array([k[1] for k in keys] + none, pa.int64()),
-                    "size": pa.array(np.concatenate(([len(s) for s in sets], length[frequent])).astype(np.int64)),
+                    "size": pa.array(np.concatenate(([len(s) for s in sets], length[repeated])).astype(np.int64)),
                     "token": pa.concat_arrays([pa.nulls(rows, pa.int64()), pa.array(found, pa.int64())]),
                 }
             )
@@ -130,30 +164,38 @@ def _bucket(tokens: np.ndarray, n: int) -> np.ndarray:
     return (((tokens & U64(0xFFFFFFFF)) * U64(n)) >> U64(32)).astype(np.int64)
 
 
-def _prefixes(build, percent: int, lead: float, n_buckets: int, frequent):
-    """Each batch's prefix tokens, one row a bucket: the tokens' upper halves, and of each set the node, size and count."""
+def _counts_of(tokens: np.ndarray, known: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The known count of each token, else 0."""
+    if not len(known):
+        return np.zeros(len(tokens), np.int64)
+    at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
+    return np.where(known[at] == tokens, counts[at], 0)
+
+
+def _prefixes(build, percent: int, model: CostModel, run_limit: int, n_buckets: int, frequent):
+    """Each batch's prefix tokens, one row a bucket: the tokens' upper halves, and of each set the node, size, lead and count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = np.frombuffer(frequent.value, U64)
+        known, counts = (np.frombuffer(x, k) for x, k in zip(frequent.value, (U64, np.int64)))
         for batch in text_slices(batches):
             sets, keys = build(batch.column("text"))
-            known = batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
-            seen: set[int] = set()
-            nodes, sizes, picked = [], [], []
+            valid = batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
+            seen: set[tuple] = set()
+            nodes, sizes, lead, picked = [], [], [], []
             for row, tokens in enumerate(sets):
-                node = keys[row][0]
-                if not len(tokens) or not known[row] or node in seen:
+                if not len(tokens) or not valid[row] or keys[row] in seen:
                     continue
-                seen.add(node)
+                seen.add(keys[row])
+                held = _counts_of(tokens, known, counts)
+                if held.any():
+                    order = np.argsort(held, kind="stable")
+                    tokens, held = tokens[order], held[order]
                 size = len(tokens)
-                width = min(size, size - least_overlap(size, percent) + lead_of(size, lead))
-                if len(last):
-                    late = last[np.minimum(np.searchsorted(last, tokens), len(last) - 1)] == tokens
-                    if late.any():
-                        tokens = np.concatenate((tokens[~late], tokens[late]))
-                nodes.append(node)
+                own, _ = leads(held, percent, model, run_limit)
+                nodes.append(keys[row][0])
                 sizes.append(size)
-                picked.append(tokens[:width])
+                lead.append(own)
+                picked.append(tokens[: size - least_overlap(size, percent) + own])
             if not nodes:
                 continue
             tokens = np.concatenate(picked)
@@ -161,8 +203,8 @@ def _prefixes(build, percent: int, lead: float, n_buckets: int, frequent):
             bucket = _bucket(tokens, n_buckets)
             order = np.argsort(bucket, kind="stable")
             tokens, owner, bucket = (tokens[order] >> U64(32)).astype(np.uint32), owner[order], bucket[order]
-            node_of, size_of = np.array(nodes, np.int64), np.array(sizes, np.int32)
-            out: dict[str, list] = {"bucket": [], "tokens": [], "nodes": [], "sizes": [], "counts": []}
+            node_of, size_of, lead_of = np.array(nodes, np.int64), np.array(sizes, np.int32), np.array(lead, np.int32)
+            out: dict[str, list] = {"bucket": [], "tokens": [], "nodes": [], "sizes": [], "leads": [], "counts": []}
             for i, m in zip(*_runs(bucket)):
                 own = owner[i : i + m]
                 first, length = _runs(own)
@@ -170,6 +212,7 @@ def _prefixes(build, percent: int, lead: float, n_buckets: int, frequent):
                 out["tokens"].append(tokens[i : i + m].tobytes())
                 out["nodes"].append(node_of[own[first]].tobytes())
                 out["sizes"].append(size_of[own[first]].tobytes())
+                out["leads"].append(lead_of[own[first]].tobytes())
                 out["counts"].append(length.astype(np.int32).tobytes())
             yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int32() if k == "bucket" else pa.binary()) for k, v in out.items()})
 
@@ -180,15 +223,32 @@ def _joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
     return np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in column])
 
 
+def _once(tokens: np.ndarray, nodes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Which records of a bucket stay: a class sends the same tokens from every batch that holds it.
+
+    Records are compared by node and tokens, so that two classes of one node both stay.
+    """
+    starts = np.concatenate(([0], np.cumsum(counts)[:-1]))
+    mark = np.add.reduceat(mix(tokens.astype(U64) + U64(1)), starts) if len(counts) else np.zeros(0, U64)
+    order = np.lexsort((mark, nodes))
+    same = np.zeros(len(nodes), bool)
+    same[1:] = (nodes[order][1:] == nodes[order][:-1]) & (mark[order][1:] == mark[order][:-1])
+    keep = np.ones(len(nodes), bool)
+    keep[order[same]] = False
+    return keep
+
+
 def _count_runs(percent: int, limit: int):
-    """Pairs and their common tokens of the short runs; of the long ones (node, token) rows with a null ``n_b``."""
+    """Pairs, their common tokens and lesser lead, of the short runs; of the long ones (node, token) rows with a null ``common``."""
 
     def run(table: pa.Table) -> pa.Table:
         bucket = table["bucket"][0].as_py()
         tokens = _joined(table["tokens"], np.uint32)
         counts = _joined(table["counts"], np.int32)
-        node = np.repeat(_joined(table["nodes"], np.int64), counts)
-        size = np.repeat(_joined(table["sizes"], np.int32), counts)
+        per_node = [_joined(table[c], k) for c, k in (("nodes", np.int64), ("sizes", np.int32), ("leads", np.int32))]
+        keep = _once(tokens, per_node[0], counts)
+        tokens = tokens[np.repeat(keep, counts)]
+        node, size, lead = (np.repeat(x[keep], counts[keep]) for x in per_node)
         ordered = np.sort(tokens)
         first, length = _runs(ordered)
         repeated = ordered[first[length > 1]]
@@ -196,31 +256,26 @@ def _count_runs(percent: int, limit: int):
             again = repeated[np.minimum(np.searchsorted(repeated, tokens), len(repeated) - 1)] == tokens
         else:
             again = np.zeros(len(tokens), bool)
-        tokens, node, size = tokens[again], node[again], size[again]
+        tokens, node, size, lead = tokens[again], node[again], size[again], lead[again]
         order = np.lexsort((node, size, tokens))
-        tokens, node, size = tokens[order], node[order], size[order]
-        if len(tokens):  # one class of equal texts counts once, whichever batches it came from
-            keep = np.concatenate(([True], (tokens[1:] != tokens[:-1]) | (node[1:] != node[:-1])))
-            tokens, node, size = tokens[keep], node[keep], size[keep]
+        tokens, node, size, lead = tokens[order], node[order], size[order], lead[order]
         first, length = _runs(tokens)
         long = np.repeat(length > limit, length)
-        a, b, n_a, n_b = [], [], [], []
-        few_t, few_n, few_s = tokens[~long], node[~long], size[~long].astype(np.int64)
+        a, b, least = [], [], []
+        few_t, few_n, few_s, few_l = tokens[~long], node[~long], size[~long].astype(np.int64), lead[~long].astype(np.int64)
         for step in range(1, min(limit, int(length.max(initial=0)))):
             if step >= len(few_t):
                 break
-            hit = (few_t[step:] == few_t[:-step]) & (100 * few_s[:-step] >= percent * few_s[step:])
+            hit = (few_t[step:] == few_t[:-step]) & (100 * few_s[:-step] >= percent * few_s[step:]) & (few_n[step:] != few_n[:-step])
             i = np.flatnonzero(hit)
             a.append(few_n[i])
             b.append(few_n[i + step])
-            n_a.append(few_s[i])
-            n_b.append(few_s[i + step])
+            least.append(np.minimum(few_l[i], few_l[i + step]))
         empty = np.zeros(0, np.int64)
-        a, b, n_a, n_b = (np.concatenate(x) if x else empty for x in (a, b, n_a, n_b))
-        swap = a > b
-        a, b, n_a, n_b = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, n_b, n_a), np.where(swap, n_a, n_b)
-        order = np.lexsort((b, a))
-        a, b, n_a, n_b = a[order], b[order], n_a[order], n_b[order]
+        a, b, least = (np.concatenate(x) if x else empty for x in (a, b, least))
+        a, b = np.minimum(a, b), np.maximum(a, b)
+        order = np.lexsort((least, b, a))
+        a, b, least = a[order], b[order], least[order]
         new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.zeros(0, bool)
         at = np.flatnonzero(new)
         common = np.diff(np.append(at, len(a)))
@@ -229,9 +284,8 @@ def _count_runs(percent: int, limit: int):
             {
                 "a": pa.array(np.concatenate((a[at], node[long]))),
                 "b": pa.array(np.concatenate((b[at], dear))),
-                "n_a": pa.array(np.concatenate((n_a[at], size[long])).astype(np.int64)),
-                "n_b": pa.concat_arrays([pa.array(n_b[at].astype(np.int64)), pa.nulls(int(long.sum()), pa.int64())]),
-                "common": pa.array(np.concatenate((common, np.ones(int(long.sum()), np.int64))).astype(np.int64)),
+                "lead": pa.array(np.concatenate((least[at], lead[long].astype(np.int64)))),
+                "common": pa.concat_arrays([pa.array(common.astype(np.int64)), pa.nulls(int(long.sum()), pa.int64())]),
             }
         )
 
@@ -384,14 +438,14 @@ def _match(queries: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     return left.groupBy("part", "q", "d").cogroup(right.groupBy("part", "q", "d")).applyInArrow(_link_blocks(percent), "a long, b long")
 
 
-def _link_large(sets: DataFrame, percent: int, group_tokens: int) -> DataFrame:
+def _link_large(sets: DataFrame, percent: int, group_tokens: int, group_rows: int) -> DataFrame:
     """``rep, root`` of groups too large for one task: a few pivots against all blocks, then what they left unconnected."""
     half = max(1, group_tokens // 2)
     sets = sets.withColumn("size", F.octet_length("tokens") / 8)
-    blocks = sets.groupBy("part").agg(F.ceil(F.sum("size") / half).alias("n_blocks"))
+    blocks = sets.groupBy("part").agg(F.greatest(F.ceil(F.sum("size") / half), F.ceil(F.count(F.lit(1)) / max(1, group_rows // 2))).alias("n_blocks"))
     sets = checkpointed(sets.join(blocks, "part").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int")))
-    pivots = sets.groupBy("part").agg(F.min_by("rep", F.struct(F.xxhash64("rep"), "rep")).alias("x"), F.min("rep").alias("y"))
-    pivots = pivots.select("part", F.explode(F.array_distinct(F.array("x", "y"))).alias("rep"))
+    # Pivots: the smallest of each of a few classes of a hash, so any aggregation of them is bounded.
+    pivots = sets.groupBy("part", F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(_BLOCK_PIVOTS)).alias("nth")).agg(F.min("rep").alias("rep")).drop("nth")
     queries = sets.join(pivots, ["part", "rep"], "left_semi").withColumn("block", F.lit(0))
     first = checkpointed(_match(queries, sets, percent))
     roots = connected_components(first)
@@ -413,62 +467,53 @@ def set_components(
     docs: DataFrame,
     build,
     percent: int,
-    lead: float = LEAD,
+    model: CostModel = CostModel(),
     run: int = RUN,
     group_tokens: int = GROUP_TOKENS,
+    group_rows: int = GROUP_ROWS,
     max_frequent: int = MAX_FREQUENT,
     max_broadcast_rows: int = MAX_BROADCAST_ROWS,
-    share: float = 0.005,
 ) -> DataFrame:
     """``doc_id, size, component_id``: the self-join of the sets that ``build`` makes of the texts.
 
-    ``lead``: how much of a set its prefix is lengthened by, and so how much of it partners must share there.
-    ``run``: documents a token may have for its pairs to be counted.  ``share``: the part of a batch, and of all
-    documents, from which a token goes to the end of the order.  None of these changes the result.
+    ``model``: what leads are chosen by.  ``run``: documents a token may have for its pairs to be counted.
+    ``max_frequent``: how many tokens have a count.  None of these changes the result.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = checkpointed(docs.mapInArrow(_digests(build, share), "doc_id long, k1 long, k2 long, size long, token long"))
+    found = checkpointed(docs.mapInArrow(_digests(build), "doc_id long, k1 long, k2 long, size long, token long"))
     digests = found.filter("token is null").drop("token")
-    n_docs, n_tokens = digests.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
-    often = (
-        found.filter("token is not null")
-        .groupBy("token")
-        .agg(F.sum("size").alias("count"))
-        .filter(F.col("count") >= max(run, share * n_docs / 2))
-        .orderBy(F.desc("count"), "token")
-        .limit(max_frequent)
-    )
-    frequent = np.sort(np.array([r["token"] for r in often.select("token").collect()], np.int64).view(U64))
-    frequent = spark.sparkContext.broadcast(frequent.tobytes())
+    n_tokens = digests.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    often = found.filter("token is not null").groupBy("token").agg(F.sum("size").alias("count")).orderBy(F.desc("count"), "token").limit(max_frequent).toArrow()
+    tokens = often["token"].to_numpy().astype(np.int64).view(U64)
+    order = np.argsort(tokens)
+    frequent = spark.sparkContext.broadcast((tokens[order].tobytes(), often["count"].to_numpy().astype(np.int64)[order].tobytes()))
 
     # A batch sends each bucket one row, so on very large inputs buckets grow in size rather than in number.
     each = max(BUCKET_BYTES, min(MOST_BUCKET_BYTES, n_tokens * 4 // MANY_BUCKETS))
     n_buckets = pieces(n_tokens * 4, each, shuffle_width(spark))
     prefixes = docs.mapInArrow(
-        _prefixes(build, percent, lead, n_buckets, frequent), "bucket int, tokens binary, nodes binary, sizes binary, counts binary"
-    )
-    counted = checkpointed(
-        prefixes.repartition(n_buckets, "bucket").groupBy("bucket").applyInArrow(_count_runs(percent, run), "a long, b long, n_a long, n_b long, common long")
+        _prefixes(build, percent, model, run, n_buckets, frequent), "bucket int, tokens binary, nodes binary, sizes binary, leads binary, counts binary"
     )
-    # What a set's partners of any size must share at least, so that fewer dear tokens than that can't hide a link.
-    ceiling = lambda c: F.greatest(F.lit(1), F.ceil(F.lit(lead) * c))
-    dear = counted.filter("n_b is null")
-    held = dear.groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("dear"), F.max("n_a").alias("size"))
-    held = checkpointed(held)
-    unsafe = held.filter(F.col("dear") >= ceiling(F.ceil(F.col("size") * percent / 100)))
-    pairs = counted.filter("n_b is not null").groupBy("a", "b").agg(F.sum("common").alias("common"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"))
+    counted = checkpointed(prefixes.repartition(n_buckets, "bucket").groupBy("bucket").applyInArrow(_count_runs(percent, run), "a long, b long, lead long, common long"))
+    dear = counted.filter("common is null").select(F.col("a").alias("node"), F.col("b").alias("token"), "lead")
+    held = checkpointed(dear.groupBy("node").agg(F.count(F.lit(1)).alias("dear"), F.min("lead").alias("lead")))
+    pairs = counted.filter("common is not null").groupBy("a", "b").agg(F.sum("common").alias("common"), F.min("lead").alias("lead"))
     for side in ("a", "b"):
         pairs = pairs.join(held.select(F.col("node").alias(side), F.col("dear").alias(f"dear_{side}")), side, "left")
-    shown = F.least(ceiling(F.col("n_a")), ceiling(F.col("n_b"))) - F.least(F.coalesce("dear_a", F.lit(0)), F.coalesce("dear_b", F.lit(0)))
+    shown = F.col("lead") - F.least(F.coalesce("dear_a", F.lit(0)), F.coalesce("dear_b", F.lit(0)))
     pairs = pairs.filter(F.col("common") >= F.greatest(F.lit(1), shown))
-    edges = pairs.select("a", "b").unionByName(dear.join(unsafe, F.col("a") == F.col("node"), "left_semi").select("a", "b"))
-    groups = connected_components(edges)
-
+    # A link whose common prefix tokens are all dear has an end with as many dear ones as its lead; the other end has as many as that lead too.
+    placed = checkpointed(dear.select("node", "token").join(held, "node"))
+    floors = placed.filter("dear >= lead").groupBy("token").agg(F.min("lead").alias("floor"))
+    attached = placed.join(floors, "token").filter("dear >= floor").select(F.col("node").alias("a"), F.col("token").alias("b"))
     classes = checkpointed(digests.filter("size > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("size").alias("size")))
+    twins = classes.groupBy("k1").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("k1").alias("a"), F.col("k1").alias("b"))  # classes that share a node
+    groups = connected_components(pairs.select("a", "b").unionByName(attached).unionByName(twins))
+
     members = checkpointed(groups.join(classes, F.col("node") == F.col("k1")).select(F.col("root").alias("part"), "rep", "k1", "k2", "size"))
     wide = members.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("tokens")).filter("n > 1")
-    members = checkpointed(members.join(wide.select("part", (F.col("tokens") > group_tokens).alias("large")), "part"))
+    members = checkpointed(members.join(wide.select("part", ((F.col("tokens") > group_tokens) | (F.col("n") > group_rows)).alias("large")), "part"))
     n_members, any_large = members.agg(F.count(F.lit(1)), F.coalesce(F.max("large"), F.lit(False))).first()
     asked = F.broadcast(members) if n_members <= max_broadcast_rows else members
     sets = docs.join(asked, F.col("doc_id") == F.col("rep")).select("text", "rep", "k1", "k2", "part", "large")
@@ -478,7 +523,7 @@ def set_components(
 
     linked = whole(False).repartition("part").sortWithinPartitions("part", "rep").mapInArrow(_link_parts(percent), "rep long, root long")
     if any_large:
-        linked = linked.unionByName(_link_large(whole(True).dropDuplicates(), percent, group_tokens))
+        linked = linked.unionByName(_link_large(whole(True).dropDuplicates(), percent, group_tokens, group_rows))
     linked = checkpointed(linked.groupBy("rep").agg(F.min("root").alias("root")))
     roots = classes.select("k1", "k2", "rep").join(linked, "rep", "left").select("k1", "k2", F.coalesce("root", "rep").alias("root"))
     return (

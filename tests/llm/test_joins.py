@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.llm.components import connected_components
-from lodestone.llm.ngram_join import keep_one_of_each, ngram_components
+from lodestone.llm.ngram_join import CostModel, keep_one_of_each, leads, least_overlap, ngram_components
 from lodestone.llm.spotsigs import edited, fingerprint_edits, likeness, spot_components
 from lodestone.llm.substrings import remove_repeats
 
@@ -57,13 +57,50 @@ def brute_components(rows):
     return {i: (len(sets[i][0]), root(i)) for i in ids}
 
 
-@pytest.mark.parametrize("settings", [{}, {"run": 2, "share": 0.01}, {"run": 3, "group_tokens": 300, "max_broadcast_rows": 1}, {"lead": 0.3, "max_frequent": 1}])
+@pytest.mark.parametrize(
+    "settings",
+    [{}, {"run": 2}, {"run": 3, "group_tokens": 300, "max_broadcast_rows": 1}, {"model": CostModel(verify=5.0), "max_frequent": 1}, {"run": 2, "group_rows": 3}, {"model": CostModel(most=0.0), "run": 4}],
+)
 def test_ngram_components(documents, settings):
     rows = near_copies()
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_components(documents(rows), **settings).collect()}
     assert got == brute_components(rows)
 
 
+def test_leads_follow_estimated_cost():
+    import numpy as np
+
+    model, n = CostModel(), 300
+    rare = np.zeros(n, np.int64)
+    shared = np.full(n, 20)
+    dear = np.full(n, 5000)
+    few, many, none = (leads(x, 80, model, 32) for x in (rare, shared, dear))
+    assert few[0] < many[0] and few[1] < many[1] and none[0] == 1  # dear tokens are matched with nothing
+    some = [leads(np.where(np.arange(n) < n - k, 0, 10), 80, model, 32)[0] for k in (0, 100, 250, 300)]
+    assert some == sorted(some) and some[0] < some[-1]
+    by_hand = []
+    for lead in range(1, 121):  # the least of the costs of all leads, one by one
+        width = n - least_overlap(n, 80) + lead
+        by_hand.append(width + 19.0 * width + model.verify * n * 19.0 * width / lead)
+    assert many[0] == 1 + int(np.argmin(by_hand)) and abs(many[1] - min(by_hand)) < 1e-6
+    assert all(1 <= leads(np.full(k, 9), 80, model, 32)[0] <= k for k in range(1, 40))
+
+
+def test_twin_classes_of_one_node(documents):
+    """Two classes whose digests share their first half are still held against one another and against others."""
+    from lodestone.llm.ngram_join import set_components, shingle_builder
+
+    build = shingle_builder(5)
+
+    def halved(column):
+        sets, keys = build(column)
+        return sets, [(1 if k[0] is not None else None, k[1]) for k in keys]
+
+    rows = near_copies()
+    got = {r["doc_id"]: (r["size"], r["component_id"]) for r in set_components(documents(rows), halved, 80, run=3).collect()}
+    assert got == brute_components(rows)
+
+
 def test_ngram_awkward(documents, awkward):
     got = ngram_components(documents(awkward)).collect()
     assert len(got) == len(awkward)
