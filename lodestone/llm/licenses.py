@@ -2,12 +2,13 @@
 
 A text is brought to words (A-Z lower-cased, runs of other ASCII characters one
 space), so that a signature is a regular expression over whole words.  Work is
-gated twice: one expression over the raw text says whether it can hold any
-signature at all, and a rule runs only where one of its family's keywords occurs.
+gated twice, both times over the words themselves: a text that holds none of ``GATE`` holds no
+signature, and a family's signatures run only where one of its keywords occurs.
 
-A rule has a label, a confidence and, by its place in ``rules()``, a priority.  All places of all rules
-that fit are intervals of words.  An interval inside another one is suppressed; of
-equal ones the rule with the better priority stays.  Intervals are sorted by start,
+A family has a label and signatures in order; their order and that of the families is their priority.  Its
+signatures are one expression, so a family's places are found in one scan, and at each place the first
+signature that fits counts.  All places of all families are intervals of words.  An interval inside another one is suppressed; of
+equal ones the signature with the better priority stays.  Intervals are sorted by start,
 longer ones first, and one scan that remembers the furthest end decides.
 
 ``BASE`` phrases are counted apart, at all their places, and their labels always stay.
@@ -32,15 +33,16 @@ BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2
 
 @dataclass(frozen=True)
 class Family:
-    """A license: its label, the keywords that gate its rules, how its name is written, and its identifiers.
+    """A license: its label, the keywords that gate its rules, how its name is written, its identifiers, and sentences of its text.
 
-    Keywords stand in one string, with bars between them; every name and identifier holds one of them.
+    Keywords stand in one string, with bars between them; every name, identifier and sentence holds one of them.
     """
 
     label: str
     keyword: str
-    names: tuple[str, ...]
+    names: tuple[str, ...] = ()
     ids: tuple[str, ...] = ()
+    texts: tuple[str, ...] = ()
 
 
 #: More specific licenses come first.
@@ -64,13 +66,11 @@ FAMILIES = (
     Family("mit-0", "no attribution|mit 0", (r"mit no attribution(?: licen[cs]e)?",), (r"mit 0",)),
     Family("mit", "mit", (r"mit(?: x11)? licen[cs]e",), (r"mit",)),
     Family("mit", "expat", (r"expat(?: mit)? licen[cs]e",)),
-    Family("mit", "permission is hereby granted", (r"permission is hereby granted free of charge to any person obtaining a copy",)),
     Family("bsd-4", "bsd", (r"(?:bsd 4 clause|4 clause bsd|four clause bsd|original bsd)(?: licen[cs]e)?",), (r"bsd 4 clause",)),
     Family("bsd-3", "bsd", (r"(?:bsd 3 clause|3 clause bsd|three clause bsd|(?:new|modified|revised) bsd)(?: licen[cs]e)?",), (r"bsd 3 clause",)),
     Family("bsd-2", "bsd", (r"(?:bsd 2 clause|2 clause bsd|two clause bsd|simplified bsd|freebsd)(?: licen[cs]e)?",), (r"bsd 2 clause",)),
     Family("bsd-0", "bsd", (r"(?:0bsd|zero clause bsd)(?: licen[cs]e)?",), (r"0bsd",)),
     Family("bsd", "bsd", (r"bsd(?: style)? licen[cs]e",)),
-    Family("bsd", "redistribution", (r"redistribution and use in source and binary forms with or without modification are permitted",)),
     Family("isc", "isc", (r"isc licen[cs]e",), (r"isc",)),
     Family("mpl-2", "mozilla", (r"mozilla public licen[cs]e(?: version| v)? ?2(?: 0)?",)),
     Family("mpl-1", "mozilla", (r"mozilla public licen[cs]e(?: version| v)? ?1(?: [01])?",)),
@@ -89,7 +89,7 @@ FAMILIES = (
     Family("python", "python|psf", (r"python software foundation licen[cs]e", r"psf licen[cs]e"), (r"psf 2 0",)),
     Family("ofl", "open font|ofl", (r"(?:sil )?open font licen[cs]e(?: version)?(?: 1(?: [01])?)?",), (r"ofl 1 [01]",)),
     Family("odbl", "open database|odbl", (r"open (?:data commons )?open database licen[cs]e(?: odbl)?", r"open database licen[cs]e"), (r"odbl 1 0",)),
-    Family("openrail", "rail", (r"(?:creativeml |bigscience )?open ?rail(?: [ms]+)?(?: licen[cs]e)?",)),
+    Family("openrail", "rail", (r"(?:creativeml |bigscience )?open ?rail(?: [ms]{1,2})?(?: licen[cs]e)?",)),
     Family("llama", "llama", (r"llama(?: [23])?(?: [123])? community licen[cs]e",)),
     Family("cc0", "cc0", (r"cc0(?: 1(?: 0)?)?(?: universal)?",), (r"cc0 1 0",)),
     Family("cc0", "creative commons", (r"creative commons (?:zero|cc0|public domain dedication)(?: licen[cs]e)?",)),
@@ -110,6 +110,110 @@ FAMILIES = (
     Family("all-rights-reserved", "all rights reserved", (r"all rights reserved",)),
     Family("proprietary", "proprietary", (r"proprietary and confidential", r"proprietary licen[cs]e")),
     Family("non-commercial", "commercial", (r"for non ?commercial use only", r"commercial use (?:is )?(?:prohibited|not permitted)")),
+    # Sentences of the licenses themselves.
+    Family(
+        "boost",
+        "person or organization obtaining a copy",
+        texts=(r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation",),
+    ),
+    Family(
+        "mit",
+        "hereby granted free|permission notice",
+        texts=(
+            r"permission is hereby granted free of charge to any person obtaining a copy(?: of this software and associated documentation files the software)?",
+            r"(?:the )?above copyright notice and this permission notice shall be included in all copies(?: or substantial portions of the software)?",
+        ),
+    ),
+    Family(
+        "isc",
+        "for any purpose with or without fee",
+        texts=(r"permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted",),
+    ),
+    Family("bsd-4", "advertising materials", texts=(r"all advertising materials mentioning features or use of this software must display",)),
+    Family(
+        "bsd-3",
+        "used to endorse or promote",
+        texts=(
+            r"neither the names? of the (?:copyright holder|author|organization|company) nor the names of (?:its|the) contributors may be used to endorse or promote products",
+            r"may be used to endorse or promote products derived from this software without specific prior written permission",
+        ),
+    ),
+    Family(
+        "bsd",
+        "redistribution",
+        texts=(
+            r"redistribution and use in source and binary forms with or without modification are permitted",
+            r"redistributions of source code must retain the above copyright notice",
+            r"redistributions in binary form must reproduce the above copyright notice",
+        ),
+    ),
+    Family(
+        "apache-2",
+        "in compliance with the license|agreed to in writing software",
+        texts=(
+            r"you may not use this file except in compliance with the license",
+            r"unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis",
+        ),
+    ),
+    Family(
+        "agpl-3",
+        "gnu affero",
+        texts=(r"under the terms of the gnu affero general public license as published by the free software foundation(?: either version 3)?",),
+    ),
+    Family(
+        "lgpl",
+        "gnu lesser general public license|gnu library general public license",
+        texts=(r"under the terms of the gnu (?:lesser|library) general public license as published by the free software foundation",),
+    ),
+    Family("gpl-3", "either version 3", texts=(r"gnu general public license as published by the free software foundation either version 3",)),
+    Family("gpl-2", "either version 2", texts=(r"gnu general public license as published by the free software foundation either version 2",)),
+    Family(
+        "gpl",
+        "gnu general public license",
+        texts=(
+            r"under the terms of the gnu general public license as published by the free software foundation",
+            r"you should have received a copy of the gnu general public license along with this (?:program|library|file)",
+        ),
+    ),
+    Family("mpl-2", "mozilla public license", texts=(r"this source code form is subject to the terms of the mozilla public license(?: v ?2 0)?",)),
+    Family(
+        "epl",
+        "accompanying materials",
+        texts=(r"this program and the accompanying materials are made available under the terms of the eclipse public license",),
+    ),
+    Family("zlib", "authors be held liable", texts=(r"in no event will the authors be held liable for any damages arising from the use of this software",)),
+    Family("unlicense", "unencumbered", texts=(r"this is free and unencumbered software released into the public domain",)),
+    Family("wtfpl", "do what the", texts=(r"do what the fuck you want to public license",)),
+    Family("ofl", "font software", texts=(r"this font software is licensed under the sil open font license",)),
+    Family("python", "psf is making", texts=(r"psf is making python available to licensee on an as is basis",)),
+    Family("artistic", "package may be copied", texts=(r"the intent of this document is to state the conditions under which a package may be copied",)),
+    Family(
+        "cc0",
+        "associated a work",
+        texts=(r"the person who associated a work with this deed has dedicated the work to the public domain",),
+    ),
+    Family(
+        "public-domain",
+        "public domain",
+        texts=(r"this (?:work|file|text|software) is in the public domain", r"no copyright is claimed and the (?:work|text) is in the public domain"),
+    ),
+    Family(
+        "proprietary",
+        "may be reproduced|unauthorized",
+        texts=(
+            r"no part of this (?:publication|document|work|book|site) may be reproduced",
+            r"unauthorized (?:copying|reproduction|distribution|use)(?: of this (?:file|document|software|work))?(?: via any medium)? is strictly prohibited",
+        ),
+    ),
+    Family(
+        "non-commercial",
+        "commercial purposes|research purposes",
+        texts=(
+            r"(?:may|must|can) not be used for commercial purposes",
+            r"not for commercial purposes",
+            r"for (?:academic|non ?commercial) research purposes only",
+        ),
+    ),
 )
 #: What stands around a license's name, and how sure it makes the detection.
 GRANTS = (
@@ -120,29 +224,40 @@ GRANTS = (
     (r"{name}", 0.6),
 )
 IDENTIFIERS = ((r"spdx licen[cs]e identifier {name}", 0.98), (r"licen[cs]e {name}", 0.75))
-#: The gate over raw texts: every rule needs one of these.
+TEXT_SURE = 0.9
+#: Every signature holds one of these within its words, as every base phrase does.
 GATE = (
-    r"(?i)licen[cs]e|general[^0-9a-z]+public|affero|[al]?gpl|apache|creative[^0-9a-z]+commons|cc[^0-9a-z]+by|cc0|(?<![0-9a-z])bsd|0bsd|freebsd|(?<![0-9a-z])mpl|"
-    r"public[^0-9a-z]+domain|all[^0-9a-z]+rights[^0-9a-z]+reserved|hereby[^0-9a-z]+granted|redistribution|proprietary|commercial[^0-9a-z]+use|wtfpl|unlicense|rail(?![0-9a-z])|no[^0-9a-z]+attribution"
-)
+    "licen", "gpl", "agpl", "affero", "general public", "apache 2", "bsd", "mpl", "cc0", "cc by", "creative commons", "open rail", "openrail", "public domain",
+    "all rights reserved", "proprietary and", "commercial use", "commercial purposes", "research purposes", "hereby granted", "permission notice", "advertising materials",
+    "endorse or promote", "redistribution", "held liable", "wtfpl", "font software", "psf is making", "package may be copied", "may be reproduced", "is strictly prohibited", "no attribution",
+)
+
+
+def signatures(family: Family) -> list[tuple[str, float]]:
+    """A family's signatures in their order, each with how sure it is."""
+    either = lambda found: f"(?:{'|'.join(found)})"
+    out = [(text, TEXT_SURE) for text in family.texts]
+    out += [(t.replace("{name}", either(family.names)), sure) for t, sure in GRANTS if family.names]
+    return out + [(t.replace("{name}", either(family.ids)), sure) for t, sure in IDENTIFIERS if family.ids]
 
 
-def rules() -> list[dict]:
-    """All signature rules in their order, family by family."""
+def families() -> list[dict]:
+    """All families in their order: label, keywords, the one expression of all signatures, and each signature with its confidence and rank."""
     out = []
     for family in FAMILIES:
-        held = [(t.replace("{name}", n), sure) for n in family.names for t, sure in GRANTS]
-        held += [(t.replace("{name}", n), sure) for n in family.ids for t, sure in IDENTIFIERS]
+        held = signatures(family)
         out.append(
             {
+                "label": family.label,
                 "keywords": family.keyword.split("|"),
-                "rules": [{"label": family.label, "sure": sure, "rank": len(out) * 100 + i, "pattern": f" (?:{p})(?= )"} for i, (p, sure) in enumerate(held)],
+                "pattern": f" (?:{'|'.join(p for p, _ in held)})(?= )",
+                "rules": [{"whole": f"^ (?:{p})$", "sure": sure, "rank": len(out) * 100 + i} for i, (p, sure) in enumerate(held)],
             }
         )
     return out
 
 
-_RULES = "array<struct<keywords: array<string>, rules: array<struct<label: string, sure: double, rank: int, pattern: string>>>>"
+_FAMILIES = "array<struct<label: string, pattern: string, rules: array<struct<whole: string, sure: double, rank: int>>>>"
 
 
 def normal_line(text: Column) -> Column:
@@ -154,24 +269,38 @@ def _spaces(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(" ")))
 
 
-def _places(rule: Column, line: Column) -> Column:
-    """The word intervals of a rule: spaces before a match count the words before it."""
-    between = F.transform(F.split(line, rule["pattern"]), _spaces)
-    lengths = F.transform(F.regexp_extract_all(line, F.concat(F.lit("("), rule["pattern"], F.lit(")")), F.lit(1)), _spaces)
-    steps = F.zip_with(F.slice(between, F.lit(1), F.size(lengths)), lengths, lambda gap, words: F.struct(gap.alias("gap"), words.alias("words")))
+def _matched(line: Column, known: list[dict]) -> Column:
+    """For each family whose keywords and signatures occur: its number and the texts that match, in order."""
+    none = F.array().cast("array<string>")
+    held = []
+    for number, family in enumerate(known):
+        keyword = F.contains(line, F.lit(family["keywords"][0]))
+        for other in family["keywords"][1:]:
+            keyword = keyword | F.contains(line, F.lit(other))
+        texts = F.when(keyword, F.regexp_extract_all(line, F.lit(f"({family['pattern']})"), F.lit(1))).otherwise(none)
+        held.append(F.struct(F.lit(number).alias("family"), texts.alias("texts")))
+    return F.filter(F.array(*held), lambda h: F.size(h["texts"]) > 0)
+
+
+def _places(hit: Column, line: Column, table: Column) -> Column:
+    """The word intervals of a family: spaces before a match count the words before it."""
+    family = F.element_at(table, hit["family"] + 1)
+    between = F.transform(F.split(line, family["pattern"]), _spaces)
+    steps = F.zip_with(F.slice(between, F.lit(1), F.size(hit["texts"])), hit["texts"], lambda gap, text: F.struct(gap.alias("gap"), _spaces(text).alias("words"), text.alias("text")))
     walked = F.aggregate(
         steps,
-        F.struct(F.lit(0).alias("at"), F.from_json(F.lit("[]"), "array<struct<start: int, stop: int>>").alias("found")),
+        F.struct(F.lit(0).alias("at"), F.from_json(F.lit("[]"), "array<struct<start: int, stop: int, text: string>>").alias("found")),
         lambda a, s: F.struct(
             (a["at"] + s["gap"] + s["words"]).alias("at"),
-            F.array_append(a["found"], F.struct((a["at"] + s["gap"]).alias("start"), (a["at"] + s["gap"] + s["words"]).alias("stop"))).alias("found"),
+            F.array_append(a["found"], F.struct((a["at"] + s["gap"]).alias("start"), (a["at"] + s["gap"] + s["words"]).alias("stop"), s["text"].alias("text"))).alias("found"),
         ),
         lambda a: a["found"],
     )
+    first = lambda p: F.element_at(F.filter(family["rules"], lambda r: F.regexp_like(p["text"], r["whole"])), 1)
     return F.transform(
         walked,
         lambda p: F.struct(
-            p["start"].alias("start"), (-p["stop"]).alias("back"), rule["rank"].alias("rank"), rule["label"].alias("label"), rule["sure"].alias("sure")
+            p["start"].alias("start"), (-p["stop"]).alias("back"), first(p)["rank"].alias("rank"), family["label"].alias("label"), first(p)["sure"].alias("sure")
         ),
     )
 
@@ -201,33 +330,37 @@ def _base(phrase: str) -> tuple[Column, Column, Column]:
 
 def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, n_words, n_base, first_word, last_word, base_labels, labels, score`` for every row."""
-    raw = F.col("text")
-    rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    words = F.coalesce(F.regexp_count(raw, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)).cast("long")
-    rows = rows.select("key", words.alias("n_words"), F.when(F.coalesce(raw.rlike(GATE), F.lit(False)), normal_line(raw)).alias("line"))
+    line, known = F.col("line"), families()
+    rows = docs.select(F.col(key).alias("key"), normal_line(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("line"))
+    gate = F.contains(line, F.lit(GATE[0]))
+    for word in GATE[1:]:
+        gate = gate | F.contains(line, F.lit(word))
+    n_words = F.when(F.trim(line) == "", 0).otherwise(_spaces(line) - 1).cast("long")
+    rows = rows.select("key", n_words.alias("n_words"), F.when(gate, line).alias("line"))
     base = [_base(phrase) for phrase, _ in BASE]
     n_base = sum((n for n, _, _ in base[1:]), base[0][0])
     held = F.filter(F.array(*(F.when(n > 0, F.lit(label)) for (n, _, _), (_, label) in zip(base, BASE))), lambda x: x.isNotNull())
-    families = F.filter(F.from_json(F.lit(json.dumps(rules())), _RULES), lambda f: F.exists(f["keywords"], lambda k: F.contains(F.col("line"), k)))
-    active = F.flatten(F.transform(families, lambda f: f["rules"]))
-    found = F.flatten(F.transform(active, lambda r: _places(r, F.col("line"))))
-    some = F.col("line").isNotNull()
+    some = line.isNotNull()
     rows = rows.select(
         "key",
         "n_words",
+        "line",
         F.when(some, F.struct(n_base.alias("n"), F.least(*(f for _, f, _ in base)).alias("first"), F.greatest(*(x for _, _, x in base)).alias("last"), held.alias("labels"))).alias("base"),
-        F.when(some, _resolved(found)).alias("own"),
+        F.when(some, _matched(line, known)).alias("hits"),
     )
+    table = F.from_json(F.lit(json.dumps(known)), _FAMILIES)
+    found = F.flatten(F.transform("hits", lambda h: _places(h, line, table)))
+    rows = rows.select("key", "n_words", "base", F.when(F.size("hits") > 0, _resolved(found)).alias("own"))
     none = F.array().cast("array<string>")
     joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
-    known = F.coalesce("base.labels", none)
+    base_labels = F.coalesce("base.labels", none)
     return rows.select(
         F.col("key").alias(key),
         "n_words",
         F.coalesce("base.n", F.lit(0)).cast("long").alias("n_base"),
         F.col("base.first").alias("first_word"),
         F.col("base.last").alias("last_word"),
-        joined(known).alias("base_labels"),
-        joined(F.array_union(known, F.coalesce("own.labels", none))).alias("labels"),
+        joined(base_labels).alias("base_labels"),
+        joined(F.array_union(base_labels, F.coalesce("own.labels", none))).alias("labels"),
         F.when(F.col("base.n") > 0, F.lit(1.0)).otherwise(F.coalesce("own.sure", F.lit(0.0))).alias("score"),
     )

@@ -125,7 +125,7 @@ def test_licenses(documents, awkward):
     assert own[20] == ("mit", 1.0) and own[21] == ("apache-2,cc-by-nc", 1.0) and own[22][0] == "gpl-3" and own[23] == ("", 0.0)
     assert own[25] == ("bsd-3", 0.98) and own[26][0] == "all-rights-reserved,cc-by-sa" and own[28][0] == "apache" and own[1] == ("", 0.0)
     assert all(0 <= r["score"] <= 1 for r in got)
-    assert sum(len(f["rules"]) for f in licenses.rules()) > 300
+    assert sum(len(f["rules"]) for f in licenses.families()) > 300
     assert licenses.scan_licenses(documents([])).count() == 0
 
 
