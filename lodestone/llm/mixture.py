@@ -42,7 +42,9 @@ def domain_of(source: Column, n: int = 4) -> Column:
 
 
 def token_count(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    """Words between ASCII white space: the spaces that are left when each run of it is one, and none stands outside."""
+    line = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " "))
+    return F.when(line == "", F.lit(0)).otherwise(F.length(line) - F.length(F.replace(line, F.lit(" "))) + 1).cast("long")
 
 
 def order_key(seed: int, epoch: Column, doc_id: Column) -> Column:
