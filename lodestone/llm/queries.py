@@ -16,7 +16,7 @@ from lodestone.llm.sharding import shard_records
 from lodestone.llm.spotsigs import fingerprint_edits
 from lodestone.llm.substrings import remove_repeats
 from lodestone.llm.toxicity import toxicity
-from lodestone.llm.url_rules import judge_urls
+from lodestone.llm.url_rules import PATTERN_RULES, judge_urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,7 +92,10 @@ t AS (SELECT *, whole + CASE WHEN rest > 0 AND through <= rest THEN 1 ELSE 0 END
 SELECT doc_id, domain, lang, source, CAST(unnest(range(0, times)) AS BIGINT) AS epoch, CAST(tokens AS BIGINT) AS n_tokens FROM t
 """
 
-_OP5 = r"""
+#: Every pattern rule against every url, with no index.
+_PATTERNS = ", ".join(f"({i}, '{r.name}', '{r.verdict}', '{r.host}', '{r.path}')" for i, r in enumerate(PATTERN_RULES))
+
+_OP5 = rf"""
 WITH p AS (SELECT page_id, coalesce(substr(url, CASE WHEN instr(url, '://') > 0 THEN instr(url, '://') + 3 ELSE length(url) + 1 END), '') AS rest FROM pages),
 q AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
              regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
@@ -100,16 +103,12 @@ r(rule, h, pre, verdict) AS (VALUES ('com/en/', 'com', '/en/', 'block'), ('examp
                                     ('example.net/de/8', 'example.net', '/de/8', 'block'), ('org/es/', 'org', '/es/', 'block')),
 f AS (SELECT q.*, r.rule, r.verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(r.rule) DESC NULLS LAST) AS k
       FROM q LEFT JOIN r ON (q.host = r.h OR ends_with(q.host, '.' || r.h)) AND starts_with(q.path, r.pre)),
-m AS (SELECT *, CASE WHEN regexp_matches(host, '^(.*\.)?spam-farm\.') THEN 'spam-farm'
-                     WHEN regexp_matches(host, '^(.*\.)?adult(-[a-z0-9]+)?\.') THEN 'adult'
-                     WHEN regexp_matches(host, '^(.*\.)?cheap-pills\.') THEN 'pills'
-                     WHEN regexp_matches(host, '^(.*\.)?free-bets\.') THEN 'bets'
-                     WHEN regexp_matches(host, '^(.*\.)?ads?-track(er|ing)?\.') THEN 'ad-tracker'
-                     WHEN regexp_matches(host, '^(.*\.)?casino(-[a-z0-9]+)*\.') THEN 'casino'
-                     WHEN regexp_matches(path, '^/(.*/)?torrents?/') THEN 'torrent'
-                     WHEN regexp_matches(path, '^/(.*/)?login(/|$)') THEN 'login' END AS named FROM f WHERE k = 1)
-SELECT page_id, host, path, rule, CASE WHEN rule IS NOT NULL THEN verdict WHEN named IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict,
-       CASE WHEN rule IS NULL THEN named END AS pattern_rule FROM m
+w(nth, name, ruling, h, pre) AS (VALUES {_PATTERNS}),
+s AS (SELECT DISTINCT host, path FROM f WHERE k = 1 AND rule IS NULL),
+m AS (SELECT host, path, min_by(name, nth) AS name, min_by(ruling, nth) AS ruling FROM s JOIN w
+      ON (w.h = '' OR regexp_matches(s.host, w.h)) AND (w.pre = '' OR regexp_matches(s.path, w.pre)) GROUP BY host, path)
+SELECT f.page_id, f.host, f.path, f.rule, coalesce(f.verdict, m.ruling, 'allow') AS verdict, CASE WHEN f.rule IS NULL THEN m.name END AS pattern_rule
+FROM f LEFT JOIN m ON f.rule IS NULL AND m.host = f.host AND m.path = f.path WHERE f.k = 1
 """
 
 _OP6 = r"""

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lodestone.llm import chat, licenses
 from lodestone.llm.decontaminate import contamination, drop_contaminated
 from lodestone.llm.toxicity import drop_toxic, toxicity
-from lodestone.llm.url_rules import PatternRule, SiteRule, judge_urls
+from lodestone.llm.url_rules import PATTERN_RULES, PatternRule, SiteRule, judge_urls
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -160,13 +160,47 @@ def test_urls(spark):
     assert got[2][2:4] == ("com/en/", "block") and got[3][2:4] == ("com/en/", "block") and got[4] == got[5] == got[12] == ("", "", None, "allow", None)
     assert got[6] == ("x.net", "/de/1", "net/de/", "allow", None) and got[7][2:4] == ("example.net/de/8", "block")
     assert got[8][3:] == ("block", "spam-farm") and got[9] == ("b.org", "", None, "allow", None) and got[10][2:4] == (None, "allow")
-    assert got[11][:3] == ("org", "/es/", "org/es/") and got[13][4] == "login" and got[14][2] is None
+    assert got[11][:3] == ("org", "/es/", "org/es/") and got[13][4] == "account-path:login" and got[14][2] is None
     assert judge_urls(pages).count() == len(rows) and judge_urls(pages.limit(0)).count() == 0
     many = tuple(SiteRule(f"h{i}.org/p{i}/", "block") for i in range(500))
-    hit = judge_urls(spark.createDataFrame([(1, "http://a.h77.org/p77/x"), (2, "http://h77.org/p78/")], "page_id long, url string"), site_rules=many, pattern_rules=(PatternRule("any", "p78", "block"),))
+    hit = judge_urls(spark.createDataFrame([(1, "http://a.h77.org/p77/x"), (2, "http://h77.org/p78/")], "page_id long, url string"), site_rules=many, pattern_rules=(PatternRule("any", "block", path="p78"),))
     assert [(r["rule"], r["pattern_rule"]) for r in hit.orderBy("page_id").collect()] == [("h77.org/p77/", None), (None, "any")]
 
 
+def test_urls_with_line_breaks(spark):
+    rows = [(1, "http://a\nb.com/en/1"), (2, "http://com\n/en/"), (3, "http://x.com/e\nn/"), (4, "http://x\ny.net/de/\n"), (5, "http://a\n.casino.fr/x"), (6, "http://x.fr/a\nb/login")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    got = {r["page_id"]: (r["rule"], r["verdict"], r["pattern_rule"]) for r in judge_urls(pages).collect()}
+    assert got[1] == ("com/en/", "block", None) and got[2] == (None, "allow", None) and got[3] == (None, "allow", None) and got[4][:2] == ("net/de/", "allow")
+    assert got[5] == (None, "block", "gambling-host:casino") and got[6] == (None, "block", "account-path:login")
+
+
+def test_many_rules_and_every_rule(spark):
+    """The joined way gives what the constant table gives, and every rule of the bank catches its own url and not a longer word."""
+    assert len(PATTERN_RULES) > 200
+    rows, expected = [], {}
+    for rule in PATTERN_RULES[4:]:
+        word = rule.name.partition(":")[2]
+        urls = (f"http://www.my-{word}-24.fr/", f"https://{word}s1.fr/a") if rule.host else (f"http://x.fr/a/{word}/b", f"http://x.fr/{word}x/")
+        for url in urls:
+            rows.append((len(rows), url))
+        expected[len(rows) - 2] = rule.name
+    rows += [(100_000 + i, u) for i, u in enumerate(["http://a.com/en/1", None, "", "http://ad-tracking.fr", "http://a.spam-farm.fr"])]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    seen = [{r["page_id"]: tuple(r) for r in judge_urls(pages, max_table_rules=n).collect()} for n in (20_000, 0)]
+    assert seen[0] == seen[1] and len(seen[0]) == len(rows)
+    assert {i: seen[0][i][5] for i in expected} == expected
+    assert not [i for i in seen[0] if i < 100_000 and i not in expected and seen[0][i][5]]
+    assert judge_urls(pages, site_rules=(), pattern_rules=()).filter("verdict <> 'allow'").count() == 0
+    assert judge_urls(pages.limit(0), max_table_rules=0).count() == 0
+
+
+def test_very_long_url(spark):
+    pages = spark.createDataFrame([(1, "http://h.com/en/" + "a/" * 100_000 + "login"), (2, "http://" + "x." * 50_000 + "casino.fr/"), (3, "http://casino" + "-x" * 50_000 + ".fr/")], "page_id long, url string")
+    got = {r["page_id"]: (r["rule"], r["pattern_rule"]) for r in judge_urls(pages).collect()}
+    assert got == {1: ("com/en/", None), 2: (None, "gambling-host:casino"), 3: (None, "gambling-host:casino")}
+
+
 def least_cost(roles, costs):
     table, ends = chat.transitions(costs), chat.endings(costs)
     ways = itertools.product(chat.ROLES, repeat=len(roles))
