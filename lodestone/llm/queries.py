@@ -35,8 +35,12 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_records(_table(spark, sf_dir, "documents"), n_shards=24, carry=["doc_id"])
 
 
+#: Target weights of the mixture's tree; what isn't named has weight 1.
+WEIGHTS = {"domain": {"domain0": 4.0, "domain2": 2.0}, "lang": {"en": 3.0, "de": 1.5}, "source": {"src0": 0.5, "src1": 2.0}}
+
+
 def op4_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mix_sources(_table(spark, sf_dir, "documents"))
+    mixed = mix_sources(_table(spark, sf_dir, "documents"), weights=WEIGHTS)
     return mixed.select(
         "doc_id", F.col("mix_domain").alias("domain"), "lang", "source", F.col("mix_epoch").alias("epoch"), token_count(F.col("text")).alias("n_tokens")
     )
@@ -66,12 +70,14 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_chats(_table(spark, sf_dir, "conversations"))
 
 
-def _dealt(name: str, nodes: str, parent: str) -> str:
+def _dealt(name: str, level: str, nodes: str, parent: str) -> str:
     """One level of budgets: nodes with ``room`` and ``budget`` in, with ``given`` out."""
+    weight = "".join(f" WHEN node = '{n}' THEN {w}::DOUBLE" for n, w in WEIGHTS[level].items())
     return f"""
-{name}_l AS (SELECT *, (budget - coalesce(sum(room) OVER (PARTITION BY {parent} ORDER BY room, node ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
-               / sum(1.0::DOUBLE) OVER (PARTITION BY {parent} ORDER BY room, node ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM {nodes}),
-{name} AS (SELECT *, least(room, coalesce(max(CASE WHEN level <= room THEN level END) OVER (PARTITION BY {parent}), 'infinity'::DOUBLE)) AS given FROM {name}_l)"""
+{name}_w AS (SELECT *, CASE{weight} ELSE 1.0::DOUBLE END AS weight FROM {nodes}),
+{name}_l AS (SELECT *, (budget - coalesce(sum(room) OVER (PARTITION BY {parent} ORDER BY room / weight, node ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
+               / sum(weight) OVER (PARTITION BY {parent} ORDER BY room / weight, node ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM {name}_w),
+{name} AS (SELECT *, least(room, coalesce(max(CASE WHEN level * weight <= room THEN level END) OVER (PARTITION BY {parent}), 'infinity'::DOUBLE) * weight) AS given FROM {name}_l)"""
 
 
 _OP4 = rf"""
@@ -79,11 +85,11 @@ WITH d AS (SELECT doc_id, lang, source, 'domain' || CAST(('0x' || substr(md5(coa
              coalesce(lang, '') AS l, coalesce(source, '') AS s, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS tokens FROM documents),
 leaf AS (SELECT domain, l, s, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(tokens) * 2 AS DOUBLE) AS room FROM d GROUP BY ALL),
 n1 AS (SELECT 0 AS root, domain AS node, domain, sum(room) AS room, (SELECT CAST(sum(tokens) AS DOUBLE) FROM leaf) AS budget FROM leaf GROUP BY domain),
-{_dealt("g1", "n1", "root")},
+{_dealt("g1", "domain", "n1", "root")},
 n2 AS (SELECT leaf.domain, l, l AS node, sum(leaf.room) AS room, any_value(given) AS budget FROM leaf JOIN g1 USING (domain) GROUP BY leaf.domain, l),
-{_dealt("g2", "n2", "domain")},
+{_dealt("g2", "lang", "n2", "domain")},
 n3 AS (SELECT leaf.domain, leaf.l, s, s AS node, tokens, leaf.room, given AS budget FROM leaf JOIN g2 ON g2.domain = leaf.domain AND g2.l = leaf.l),
-{_dealt("g3", "n3", "domain, l")},
+{_dealt("g3", "source", "n3", "domain, l")},
 p AS (SELECT domain, l, s, goal // tokens AS whole, goal % tokens AS rest
       FROM (SELECT *, CAST(floor(given + 1e-6) AS BIGINT) AS goal FROM g3 WHERE tokens > 0)),
 k AS (SELECT d.*, whole, rest, md5('23|' || whole || '|' || doc_id) AS key FROM d JOIN p USING (domain, l, s)),
