@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from lodestone.llm._spark import pieces
+from lodestone.llm._spark import free_names, pieces
 
 BLOCK_BYTES = 4 << 20
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 0x80 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -140,7 +140,7 @@ def _item_blocks(items: DataFrame, block_bytes: int) -> Iterator[list[tuple[str,
 def scan_documents(docs: DataFrame, items: DataFrame, window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` with ``hit_words`` (words of the text), ``hit_spans`` (word intervals) and ``hit_items`` appended.
 
-    Columns of ``docs`` keep their order, names and values, also where those three names occur among them already.
+    Columns of ``docs`` keep their order, names and values; where one of those three names is taken, the appended column gets an underscore.
     """
     spark = docs.sparkSession
     at = docs.columns.index("text")
@@ -156,7 +156,7 @@ def scan_documents(docs: DataFrame, items: DataFrame, window: int = 10, block_by
         name = hashlib.sha256(repr(block).encode()).hexdigest()
         state = state.mapInArrow(_scan(spark.sparkContext.broadcast((name, block)), window, width, number == 0), schema)
     back = [f"c{order.index(i)}" for i in range(width)]
-    return state.select(*back, *(f"c{width + i}" for i in range(3))).toDF(*docs.columns, "hit_words", "hit_spans", "hit_items")
+    return state.select(*back, *(f"c{width + i}" for i in range(3))).toDF(*docs.columns, *free_names(docs.columns, ["hit_words", "hit_spans", "hit_items"]))
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 10, block_bytes: int = BLOCK_BYTES, offsets: bool = True) -> DataFrame:

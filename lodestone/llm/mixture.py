@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestone.llm._spark import checkpointed
+from lodestone.llm._spark import checkpointed, free_names
 
 LEVELS = ("domain", "lang", "source")
 MAX_BROADCAST_ROWS = 20_000
@@ -102,7 +102,7 @@ def mix_sources(
     domain: Column | None = None,
     max_broadcast_rows: int = MAX_BROADCAST_ROWS,
 ) -> DataFrame:
-    """``docs`` with ``mix_domain`` and ``mix_epoch`` appended: a row for each epoch that selects the document."""
+    """``docs`` with ``mix_domain`` and ``mix_epoch`` appended (with underscores where names are taken): a row for each epoch that selects the document."""
     if any(w <= 0 for level in (weights or {}).values() for w in level.values()):
         raise ValueError("weights must be positive; leave a source out of the documents to give it nothing")
     names = docs.columns
@@ -143,4 +143,4 @@ def mix_sources(
     placed = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), *leaf, F.col("doc_id").alias("id"))
     chosen = with_plan(placed, cuts).withColumn("times", F.col("whole") + (order_key(seed, F.col("whole"), F.col("id")) <= F.col("last")).cast("long"))
     epochs = chosen.filter("times > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)))
-    return epochs.select("row.*", "domain", "epoch").toDF(*names, "mix_domain", "mix_epoch")
+    return epochs.select("row.*", "domain", "epoch").toDF(*names, *free_names(names, ["mix_domain", "mix_epoch"]))

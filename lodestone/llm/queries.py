@@ -59,7 +59,8 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=10, offsets=False)
+    """With the places of the hit words in the original texts."""
+    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=10)
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

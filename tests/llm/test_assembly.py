@@ -119,6 +119,38 @@ def test_sharding(spark, documents, awkward, tmp_path):
     assert len(list((tmp_path / "out").glob("shard=*"))) == 3
 
 
+def test_clashing_names_and_maps_can_be_written(spark, documents, awkward, tmp_path):
+    """Added columns never take a name that is there already, and maps are carried; the results are written, not only collected."""
+    from lodestone.llm.chat import format_chats
+    from lodestone.llm.decontaminate import drop_contaminated, scan_documents
+    from lodestone.llm.ngram_join import keep_one_of_each
+    from lodestone.llm.toxicity import drop_toxic
+
+    docs = documents(awkward)
+    for name in ("size", "Shard", "slot", "law", "mix_epoch", "hit_words", "hit_spans", "toxicity_score", "dropped_id", "label", "bucket", "key", "c0", "body", "row"):
+        docs = docs.withColumn(name, F.lit("mine"))
+    docs = docs.withColumn("tags", F.create_map(F.lit("a"), F.col("text"))).withColumn("more", F.array(F.struct(F.create_map(F.col("lang"), F.lit(1)).alias("m"))))
+    items = spark.createDataFrame([("i", "one two three four")], "item_id string, text string")
+    labels = spark.createDataFrame([(i, 0) for i in range(12)], "doc_id long, toxic int")
+    made = {
+        "shards": shard_records(docs, n_shards=3), "mixed": mix_sources(docs), "scanned": scan_documents(docs, items), "clean": drop_contaminated(docs, items),
+        "distinct": keep_one_of_each(docs), "mild": drop_toxic(docs, labels),
+    }
+    for name, df in made.items():
+        df.write.parquet(str(tmp_path / name))
+        back = spark.read.parquet(str(tmp_path / name))
+        assert back.columns[: len(docs.columns)] == docs.columns, name
+        assert {r["size"] for r in back.collect()} == {"mine"}, name
+        assert back.filter("not (tags['a'] <=> text)").count() == 0 and back.filter("more[0].m['en'] <> 1").count() == 0
+    assert spark.read.parquet(str(tmp_path / "shards")).count() == len(awkward)
+    check = {r["doc_id"] for r in made["clean"].collect()}
+    assert 5 not in check and 4 in check
+    for df in (shard_records(docs.limit(0)), mix_sources(docs.limit(0)), drop_contaminated(docs.limit(0), items), keep_one_of_each(docs.limit(0)), drop_toxic(docs.limit(0), labels)):
+        assert df.count() == 0 and df.columns[: len(docs.columns)] == docs.columns
+    long = spark.createDataFrame([(1, 1, "user", "word " * 200_000), (1, 2, "user", "x" * 1_000_000)], "conv_id long, turn long, role string, text string")
+    assert sum(len(r["rendered"]) for r in format_chats(long).collect()) > 2_000_000
+
+
 def test_queries_and_sql():
     assert set(registered.oracle_sql()) <= set(registered.queries())
     assert {int(n[2:].split("_")[0]) for n in registered.queries()} == set(range(1, 11))
