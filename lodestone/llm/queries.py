@@ -59,8 +59,9 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With the places of the hit words in the original texts."""
-    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=10)
+    """With the places of the hit words in the original texts, in code points: ``12-80,95-140``."""
+    found = contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=10)
+    return found.withColumn("spans", F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ","))
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,12 +144,19 @@ k AS (SELECT DISTINCT k FROM iw),
 dw AS (SELECT doc_id, k, s, array_to_string(ws[s:s + k - 1], ' ') AS t
        FROM (SELECT doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS s FROM d, k WHERE len(ws) >= k)),
 h AS (SELECT doc_id, item_id, s, dw.k AS k FROM dw JOIN iw ON dw.k = iw.k AND dw.t = iw.t),
-p AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + k)) AS p FROM h) GROUP BY doc_id),
+hp AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(s, s + k)) AS p FROM h)),
+p AS (SELECT doc_id, count(*) AS n_hit FROM hp GROUP BY doc_id),
+o AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda w: length(w)) AS wl,
+             list_transform(regexp_split_to_array(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda g: length(g)) AS gl
+      FROM documents WHERE doc_id IN (SELECT doc_id FROM hp)),
+run AS (SELECT doc_id, min(p) AS a, max(p) AS b FROM (SELECT doc_id, p, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS run FROM hp) GROUP BY doc_id, run),
+sp AS (SELECT doc_id, string_agg(CAST(list_sum(gl[1:a]) + coalesce(list_sum(wl[1:a - 1]), 0) AS BIGINT) || '-' || CAST(list_sum(gl[1:b]) + list_sum(wl[1:b]) AS BIGINT), ',' ORDER BY a) AS spans
+       FROM run JOIN o USING (doc_id) GROUP BY doc_id),
 q AS (SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids
       FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY doc_id)
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN p USING (doc_id) LEFT JOIN q USING (doc_id)
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(spans, '') AS spans
+FROM d LEFT JOIN p USING (doc_id) LEFT JOIN q USING (doc_id) LEFT JOIN sp USING (doc_id)
 """
 
 _OP9 = r"""
