@@ -172,8 +172,24 @@ def _counts_of(tokens: np.ndarray, known: np.ndarray, counts: np.ndarray) -> np.
     return np.where(known[at] == tokens, counts[at], 0)
 
 
-def _prefixes(build, percent: int, model: CostModel, run_limit: int, n_buckets: int, frequent):
+def band_limits(percent: int, longest: int = 1 << 40) -> np.ndarray:
+    """Where bands of set sizes start: partners of a set in one band lie in it or the next."""
+    starts = [1]
+    while starts[-1] < longest:
+        starts.append(starts[-1] * 100 // percent + 1)
+    return np.array(starts, np.int64)
+
+
+def banded(tokens: np.ndarray, size: int, percent: int, limits: np.ndarray) -> np.ndarray:
+    """A set's tokens as they stand in its own band of sizes and, if it can have partners there, in the next."""
+    band = int(np.searchsorted(limits, size, side="right")) - 1
+    bands = [band, band + 1] if size * 100 // percent >= limits[band + 1] else [band]
+    return np.concatenate([mix(tokens + U64((b + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) for b in bands])
+
+
+def _prefixes(build, percent: int, model: CostModel, run_limit: int, n_buckets: int, by_size: bool, frequent):
     """Each batch's prefix tokens, one row a bucket: the tokens' upper halves, and of each set the node, size, lead and count."""
+    limits = band_limits(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = (np.frombuffer(x, k) for x, k in zip(frequent.value, (U64, np.int64)))
@@ -195,7 +211,8 @@ def _prefixes(build, percent: int, model: CostModel, run_limit: int, n_buckets:
                 nodes.append(keys[row][0])
                 sizes.append(size)
                 lead.append(own)
-                picked.append(tokens[: size - least_overlap(size, percent) + own])
+                tokens = tokens[: size - least_overlap(size, percent) + own]
+                picked.append(banded(tokens, size, percent, limits) if by_size else tokens)
             if not nodes:
                 continue
             tokens = np.concatenate(picked)
@@ -473,11 +490,13 @@ def set_components(
     group_rows: int = GROUP_ROWS,
     max_frequent: int = MAX_FREQUENT,
     max_broadcast_rows: int = MAX_BROADCAST_ROWS,
+    by_size: bool = False,
 ) -> DataFrame:
     """``doc_id, size, component_id``: the self-join of the sets that ``build`` makes of the texts.
 
     ``model``: what leads are chosen by.  ``run``: documents a token may have for its pairs to be counted.
-    ``max_frequent``: how many tokens have a count.  None of these changes the result.
+    ``max_frequent``: how many tokens have a count.  ``by_size``: sets meet only in partitions by their size, each in
+    its own and as a guest in the next.  None of these changes the result.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -493,7 +512,7 @@ def set_components(
     each = max(BUCKET_BYTES, min(MOST_BUCKET_BYTES, n_tokens * 4 // MANY_BUCKETS))
     n_buckets = pieces(n_tokens * 4, each, shuffle_width(spark))
     prefixes = docs.mapInArrow(
-        _prefixes(build, percent, model, run, n_buckets, frequent), "bucket int, tokens binary, nodes binary, sizes binary, leads binary, counts binary"
+        _prefixes(build, percent, model, run, n_buckets, by_size, frequent), "bucket int, tokens binary, nodes binary, sizes binary, leads binary, counts binary"
     )
     counted = checkpointed(prefixes.repartition(n_buckets, "bucket").groupBy("bucket").applyInArrow(_count_runs(percent, run), "a long, b long, lead long, common long"))
     dear = counted.filter("common is null").select(F.col("a").alias("node"), F.col("b").alias("token"), "lead")

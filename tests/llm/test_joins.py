@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -223,7 +224,8 @@ def test_pairs_of_halves():
 
 
 def test_fingerprints(documents, awkward):
-    rows = near_copies() + awkward
+    prose = "the boat was slow and the river is wide where a bend of the valley that is green was seen by an old farmer"
+    rows = near_copies() + [(i, t) for i, t in awkward if i not in (9,)] + [(2000 + i, " ".join([prose, *(f"the stone{j} is heavy" for j in range(20 + i))])) for i in range(8)]
     docs = documents(rows).withColumn("part", F.lit(9)).withColumn("order", F.lit("o"))
     one = sorted(map(str, fingerprint_edits(docs).collect()))
     assert one == sorted(map(str, fingerprint_edits(docs.repartition(3), part_bytes=5000).collect()))
@@ -234,15 +236,69 @@ def test_fingerprints(documents, awkward):
     for (_, t, i), (_, f, _) in zip(order, order[1:] + order[:1]):
         expected.append((i, len(t), hashlib.sha256(edited(t, f).encode()).hexdigest()))
     assert sorted((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got if r["doc_id"] is not None) == sorted(e for e in expected if e[0] is not None)
-    by_text = {}
-    for r in got:
-        assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
-        by_text.setdefault(r["doc_id"], set()).add(r["fingerprint"])
-    assert by_text[1] == by_text[2] == {""} and by_text[1000] == by_text[1] - {""} or by_text[1000]
+    # Likeness, fingerprints and components by the definition, one text at a time.
+    prints = {t: brute_signatures(t) for t in {t or "" for _, t in rows}}
+    hexed = lambda found: "".join(f"{x:08x}" for x in sorted(found))
+    share = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    wanted = []
+    for (_, t, i), (_, f, _) in zip(order, order[1:] + order[:1]):
+        changed = brute_signatures(edited(t, f))
+        wanted.append((i, hexed(prints[t]), hexed(changed), round(share(prints[t], changed), 9), round(share(prints[t], prints[f]), 9)))
+    seen = [(r["doc_id"], r["fingerprint"], r["edited_fingerprint"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in got]
+    assert sorted(seen, key=str) == sorted(wanted, key=str)
+    up = {i: i for _, _, i in order if i is not None}
+    for _ in range(len(up)):
+        before = dict(up)
+        for _, t, i in order:
+            for _, f, j in order:
+                if i is not None and j is not None and prints[t] and prints[f] and 100 * len(prints[t] & prints[f]) >= 80 * len(prints[t] | prints[f]):
+                    up[i] = up[j] = min(up[i], up[j])
+        if up == before:
+            break
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {*up.items(), (None, None)}
+    by_text = {r["doc_id"]: r["fingerprint"] for r in got}
+    assert by_text[2] == "" and by_text[1000] == {t: hexed(p) for t, p in prints.items()}[dict(near_copies())[1000]] != ""
     assert fingerprint_edits(documents([])).count() == 0
     assert fingerprint_edits(documents([(4, "only one")])).first()["near_next"] == 1.0
 
 
+def brute_signatures(text, chain=3):
+    """Upper halves of the hashes of the signatures of one text, word by word."""
+    import pyarrow as pa
+
+    from lodestone.llm import spotsigs
+    from lodestone.llm._words import PLAIN_LOWER, word_hashes
+
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate({c: c + 32 for c in range(65, 91)}))
+    if not words:
+        return {int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little") >> 32} if text else set()
+    limit, mixed = 2**64 - 1, {}
+
+    def mix(x):
+        x ^= x >> 30
+        x = x * 0xBF58476D1CE4E5B9 & limit
+        x ^= x >> 27
+        x = x * 0x94D049BB133111EB & limit
+        return x ^ x >> 31
+
+    code = dict(zip(sorted(set(words)), word_hashes(pa.array(sorted(set(words))), PLAIN_LOWER)[0].tolist()))
+    out = set()
+    for at, word in enumerate(words):
+        if word not in spotsigs.ANCHORS:
+            continue
+        follow = [w for w in words[at + 1 :] if w not in spotsigs.ANCHORS and w not in spotsigs.COMMON][:chain]
+        total = mix(code[word])
+        for step in range(chain):
+            total = mix((total * 0x9E3779B97F4A7C15 + (code[follow[step]] if step < len(follow) else 0)) & limit)
+        if follow:
+            out.add(total >> 32)
+    if out:
+        return out
+    size = min(chain, len(words))
+    weights = [mix(j * 0x9E3779B97F4A7C15 & limit) | 1 for j in range(1, size + 1)]
+    return {mix((sum(code[words[i + j]] * weights[j] for j in range(size)) + size) & limit) >> 32 for i in range(len(words) - size + 1)}
+
+
 def test_spot_components(documents):
     base = "The river is wide and the boat was slow when it crossed the bend of a valley that is green. " * 3
     extra = " ".join(f"the thing{i} was seen by person{i}" for i in range(40))
@@ -251,6 +307,25 @@ def test_spot_components(documents):
     assert got[4] == 1 and got[2] == 1 and got[3] == 3 and got[5] == 5 and got[6] == 6
 
 
+def test_bands():
+    import numpy as np
+
+    from lodestone.llm.ngram_join import band_limits, banded
+
+    tokens = np.arange(5, dtype=np.uint64)
+    for percent in (50, 80, 100):
+        limits = band_limits(percent, 10_000)
+        sets = {n: set(banded(tokens, n, percent, limits).tolist()) for n in range(1, 400)}
+        assert all(sets[a] & sets[b] for a in sets for b in range(a, min(399, a * 100 // percent) + 1))
+        assert not sets[1] & sets[399]
+
+
+def test_spots_by_size(documents):
+    rows = [(i, t) for i, t in near_copies(seed=6, n=30)]
+    one, two = ({tuple(r) for r in spot_components(documents(rows), percent=p, run=run).collect()} for p, run in ((60, 32), (60, 2)))
+    assert one == two
+
+
 def test_likeness():
     import numpy as np
 
