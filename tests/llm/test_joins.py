@@ -122,10 +122,11 @@ def test_keep_one(documents):
     assert {r["doc_id"] for r in kept.collect()} == {root for _, root in brute_components(rows).values()}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("in_task", [0, 1_000_000])
+def test_components(spark, in_task):
     rnd = random.Random(2)
     edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1200)] + [(5000, 5000), (None, 3)]
-    got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(edges, "a long, b long"), in_task).collect()}
     up = {}
 
     def root(x):
@@ -138,7 +139,7 @@ def test_components(spark):
             p, q = root(a), root(b)
             up[max(p, q)] = min(p, q)
     assert got == {x: root(x) for x in up}
-    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert connected_components(spark.createDataFrame([], "a long, b long"), in_task).count() == 0
 
 
 def brute_removal(rows, window=13):
