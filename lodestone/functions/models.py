@@ -44,6 +44,7 @@ class HashingEmbedder:
     """Signed hashing of lower-cased words, scaled to length 1."""
 
     dimension: int = 64
+    truncate_dim: int | None = None
 
     def embed(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dimension), np.float32)
@@ -66,6 +67,19 @@ class ExtractiveModel:
         return " ".join(context.split()[: min(max_tokens, 60)])
 
 
+def embedding_dimension(embedder: Embedder) -> int:
+    """Of the vectors that are kept: ``truncate_dim`` wins, then what the embedder states, else what it makes of a probe."""
+    for name in ("truncate_dim", "dimension"):
+        size = getattr(embedder, name, None)
+        if size:
+            return int(size)
+    return int(np.asarray(embedder.embed(["probe"])).shape[1])
+
+
+def truncated(embedding: Column, dimension: int) -> Column:
+    return F.slice(embedding, 1, dimension)
+
+
 def embedded(text: Column, embedder: Embedder, batch: int = 16) -> Column:
     """``array<float>`` of each text; the embedder is loaded once a worker and sees ``batch`` texts at a time, in order."""
 
@@ -76,7 +90,7 @@ def embedded(text: Column, embedder: Embedder, batch: int = 16) -> Column:
             rows = [r for i in range(0, len(held), batch) for r in embedder.embed(held[i : i + batch])]
             yield pd.Series(rows, index=texts.index, dtype=object)
 
-    return embed(embed_input(text))
+    return truncated(embed(embed_input(text)), embedding_dimension(embedder))
 
 
 def generated(prompt: Column, model: LanguageModel, max_tokens: int = 512) -> Column:
@@ -87,8 +101,11 @@ def generated(prompt: Column, model: LanguageModel, max_tokens: int = 512) -> Co
         for prompts in batches:
             rows = []
             for p in prompts:
+                if p is None:  # not asked
+                    rows.append((None, None))
+                    continue
                 try:
-                    rows.append((model.generate(p or "", max_tokens=max_tokens), None))
+                    rows.append((model.generate(p, max_tokens=max_tokens), None))
                 except Exception as error:  # any model's errors are answers here
                     rows.append((f"LLM Error: {error}", str(error)))
             yield pd.DataFrame(rows, columns=["response", "error"])

@@ -17,6 +17,8 @@ TEMPLATE_OVERHEAD, MIN_RESERVATION, RESERVED_PART = 50, 200, 16
 TOO_LONG_SLACK = 15
 NO_HITS = "Could not find relevant information."
 NO_CONTEXT = "Error: Could not build context from selected chunks."
+EMPTY_RESPONSE = "Error: The model returned an empty response."
+CANCELLED = "LLM generation cancelled during shutdown."
 
 
 def too_similar(a: str, b: str, threshold: float = SIMILARITY) -> bool:
@@ -96,3 +98,26 @@ def result_status(n_hits: Column, n_context: Column, prompt_tokens: Column, cont
         .when(prompt_too_long(context_length, prompt_tokens), F.lit("prompt_too_long"))
         .otherwise(F.lit("ok"))
     )
+
+
+def answer_status(status: Column, response: Column, error: Column, cancelled: bool = False) -> Column:
+    """The state of a query once the model has run: what stood in its way before, else how the model ended."""
+    ran = status == "ok"
+    return (
+        F.when(~ran, status)
+        .when(F.lit(cancelled), F.lit("cancelled"))
+        .when(error.isNotNull(), F.lit("llm_error"))
+        .when(F.trim(F.coalesce(response, F.lit(""))) == "", F.lit("empty_response"))
+        .otherwise(F.lit("ok"))
+    )
+
+
+def answer_text(status: Column, response: Column) -> Column:
+    """What a query's asker reads, by its state."""
+    return (
+        F.when(status == "no_hits", F.lit(NO_HITS))
+        .when(status == "cancelled", F.lit(CANCELLED))
+        .when(status == "empty_response", F.lit(EMPTY_RESPONSE))
+        .when(status.isin("ok", "llm_error"), response)
+        .otherwise(F.lit(NO_CONTEXT))
+    )

@@ -13,6 +13,8 @@ from lodestone.operators.chunking import MIN_CHUNK_CHARS, chunk_documents
 from lodestone.sources import files as files_in
 from lodestone.sources.store import ChunkStore
 
+DERIVED = ("embedding", "tokens")  # what a chunk's text is searched by
+
 PROMPT = """Answer the question from the context alone, in one clear sentence and a short explanation.
 If the context lacks the answer, say so.
 
@@ -38,13 +40,27 @@ def retrieve(chunks: DataFrame, queries: DataFrame, k: int, embedder: M.Embedder
     asked = queries.select("query_id", M.embedded(F.col("text"), embedder).alias("embedding"))
     keyed = chunks.select(F.xxhash64("chunk_id").alias("vec_id"), "chunk_id", "embedding")
     near = vector.nearest(keyed.select("vec_id", "embedding"), asked, n_vector).join(keyed.select("vec_id", "chunk_id"), "vec_id")
-    words = bm25.top_k(bm25.bm25_scores(chunks.select("chunk_id", "text"), queries, mode=mode), n_bm25)
+    texts = "tokens" if "tokens" in chunks.columns else "text"
+    words = bm25.top_k(bm25.bm25_scores(chunks.select("chunk_id", texts), queries, mode=mode), n_bm25)
     return fusion.candidates(fusion.fuse(near, words), k)
 
 
 def hydrated(candidates: DataFrame, chunks: DataFrame) -> DataFrame:
     """Candidates with their chunks' rows and whole texts; blank ones go."""
-    return candidates.join(chunks.drop("embedding"), "chunk_id").filter(F.trim("text") != "")
+    return candidates.join(chunks.drop(*DERIVED), "chunk_id").filter(F.trim("text") != "")
+
+
+def query_counters(candidates: DataFrame, chosen: DataFrame, queries: DataFrame) -> DataFrame:
+    """Per query: hits of either leg among the candidates, distinct candidates, how many were skipped as similar, and how many were selected.
+
+    ``chosen`` are the candidates with their place among the distinct ones in ``selected``.
+    """
+    legs = candidates.groupBy("query_id").agg(
+        F.count("vector_rank").alias("vector_results"), F.count("bm25_rank").alias("bm25_results"), F.count(F.lit(1)).alias("combined_results")
+    )
+    picked = chosen.groupBy("query_id").agg(F.count("selected").alias("selected_chunks"), F.count_if(F.col("selected").isNull()).alias("skipped_chunks"))
+    rows = queries.select("query_id").join(legs, "query_id", "left").join(picked, "query_id", "left")
+    return rows.na.fill(0)
 
 
 def assemble(candidates: DataFrame, chunks: DataFrame, queries: DataFrame, k: int, context_length: int) -> DataFrame:
@@ -86,6 +102,14 @@ def assemble(candidates: DataFrame, chunks: DataFrame, queries: DataFrame, k: in
     )
 
 
+def answered(rows: DataFrame, model: M.LanguageModel, max_tokens: int = 512, cancelled: bool = False) -> DataFrame:
+    """Assembled rows with ``response``, their ``status`` after it; the model runs only where there is a context, and not at all once cancelled."""
+    ready = (F.col("status") == "ok") & F.lit(not cancelled)
+    made = rows.withColumn("made", F.when(ready, M.generated(F.when(ready, F.col("prompt")), model, max_tokens)))
+    made = made.withColumn("status", selection.answer_status(F.col("status"), F.col("made.response"), F.col("made.error"), cancelled))
+    return made.withColumn("response", selection.answer_text(F.col("status"), F.col("made.response"))).drop("made")
+
+
 class SearchEngine:
     """Sources in, answers out: the chunk table, its maintenance, and batched search."""
 
@@ -111,7 +135,9 @@ class SearchEngine:
         return self.add_files(found), False
 
     def add_files(self, files: DataFrame) -> int:
-        return self.store.replace_sources(chunk_documents(files, *self.chunking))
+        """New chunks are embedded and analysed once, here; searches read both from the store."""
+        chunks = chunk_documents(files, *self.chunking)
+        return self.store.replace_sources(chunks.withColumns({"embedding": M.embedded(F.col("text"), self.embedder), "tokens": bm25.analyzed(F.col("text"))}))
 
     def remove_source(self, source: str) -> bool:
         return self.store.remove_source(source)
@@ -124,9 +150,6 @@ class SearchEngine:
         if isinstance(queries, str):
             queries = self.spark.createDataFrame([(1, queries)], "query_id long, text string")
         chunks = self.store.read()
-        chunks = chunks.withColumn("embedding", M.embedded(F.col("text"), self.embedder))
         length = self.model.info.context_length
         rows = assemble(retrieve(chunks, queries, self.max_results, self.embedder), chunks, queries, self.max_results, length)
-        answer = F.when(F.col("status") == "ok", M.generated(F.col("prompt"), self.model, selection.max_generated(length, max_new_tokens))["response"])
-        fixed = F.when(F.col("status") == "no_hits", F.lit(selection.NO_HITS)).otherwise(F.lit(selection.NO_CONTEXT))
-        return rows.withColumn("response", F.coalesce(answer, fixed))
+        return answered(rows, self.model, selection.max_generated(length, max_new_tokens))
