@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import shlex
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,6 +45,19 @@ _SCHEME = r"^([a-zA-Z][a-zA-Z0-9+.-]*):"
 _PARTS = r"^(?i:(https?)):(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 
 
+def is_web_url(url: Column) -> Column:
+    """What may be typed in as a crawl's root."""
+    return F.startswith(url, F.lit("http://")) | F.startswith(url, F.lit("https://"))
+
+
+def parsed_keywords(typed: str) -> list[str]:
+    """Keywords as a command line splits them: blanks separate, quotes keep together; with an open quote, blanks alone."""
+    try:
+        return shlex.split(typed)
+    except ValueError:
+        return typed.split()
+
+
 def page_key(url: Column) -> Column:
     return F.substring(F.sha2(url, 256), 1, 16)
 
@@ -106,7 +121,9 @@ def file_slug(text: Column, max_length: int = 40) -> Column:
 
 def keyword_hits(text: Column, keywords: tuple[str, ...] = RELEVANCE_KEYWORDS) -> Column:
     words = F.array(*(F.lit(k) for k in keywords))
-    return F.aggregate(words, F.lit(0), lambda total, word: total + count_of(text, word))
+    # The text is bound first: inside the inner function it would be made anew for every keyword.
+    hits = F.transform(F.array(text), lambda t: F.aggregate(words, F.lit(0), lambda total, word: total + count_of(t, word)))
+    return F.element_at(hits, 1)
 
 
 def link_priority(url: Column, text: Column, keywords: tuple[str, ...] = RELEVANCE_KEYWORDS) -> Column:

@@ -86,7 +86,8 @@ class _Pieces:
         return piece
 
     def all(self) -> DataFrame:
-        return reduce(DataFrame.unionByName, self.held)
+        # Renewed columns: a checkpoint may keep constraints on columns that it has not, on which a union trips.
+        return reduce(DataFrame.unionByName, [p.select(*(F.col(c).alias(c) for c in p.columns)) for p in self.held])
 
 
 def crawl(

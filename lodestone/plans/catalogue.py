@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions import models as M
@@ -230,18 +231,6 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@_register(
-    "J03_reverse_lookup",
-    r"""WITH k AS (SELECT min(page_id) AS page_id, url, substr(sha256(url), 1, 16) AS page_key FROM pages GROUP BY url)
-        SELECT p.page_id, substr(sha256(p.url), 1, 16) || '.md' AS filename, k.url AS original_url FROM pages p LEFT JOIN k ON k.page_key = substr(sha256(p.url), 1, 16) AND k.page_id % 2 = 0""",
-)
-def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _table(spark, sf_dir, "pages")
-    lookup = pages.groupBy("url").agg(F.min("page_id").alias("page_id")).filter("page_id % 2 = 0").select(U.page_key(F.col("url")).alias("page_key"), "url")
-    files = pages.select("page_id", F.concat(U.page_key(F.col("url")), F.lit(".md")).alias("filename"), F.lit(None).cast("string").alias("original_url"))
-    return files_in.with_urls(files, lookup).select("page_id", "filename", "original_url")
-
-
 @_register(
     "J03_reverse_lookup_all",
     r"""WITH f AS (SELECT 'page' || page_id AS file, url FROM pages UNION ALL SELECT 'doc' || doc_id, 'https://example.org/doc/' || doc_id FROM documents),
@@ -260,14 +249,14 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register(
     "S04_F10_F11_input_guards",
-    r"""SELECT page_id, starts_with(url, 'http://') OR starts_with(url, 'https://') AS is_web, regexp_matches(p, '(^|/)\.') AS is_hidden, starts_with(p, '/en/1') AS is_managed
-        FROM (SELECT page_id, url, replace(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), '/7', '/.7') AS p FROM pages)""",
+    r"""SELECT page_id, starts_with(u, 'http://') OR starts_with(u, 'https://') AS is_web, regexp_matches(p, '(^|/)\.') AS is_hidden, starts_with(p, '/en/') AS is_managed
+        FROM (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN replace(url, 'http', 'ftp') ELSE url END AS u, replace(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), '/7', '/.7') AS p FROM pages)""",
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.replace(U.url_part(F.col("url"), 3), F.lit("/7"), F.lit("/.7"))
-    web = F.startswith("url", F.lit("http://")) | F.startswith("url", F.lit("https://"))
-    rows = _table(spark, sf_dir, "pages").select("page_id", web.alias("is_web"), path.alias("p"))
-    return rows.select("page_id", "is_web", files_in.is_hidden(F.col("p")).alias("is_hidden"), F.startswith("p", F.lit("/en/1")).alias("is_managed"))
+    typed = F.when(F.col("page_id") % 3 == 0, F.replace("url", F.lit("http"), F.lit("ftp"))).otherwise(F.col("url"))
+    rows = _table(spark, sf_dir, "pages").select("page_id", U.is_web_url(typed).alias("is_web"), path.alias("p"))
+    return rows.select("page_id", "is_web", files_in.is_hidden(F.col("p")).alias("is_hidden"), files_in.is_managed(F.col("p"), "/en/").alias("is_managed"))
 
 
 # Pages and chunks
@@ -310,22 +299,24 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_register(
-    "F04_C04_page_acceptance",
-    r"""SELECT CASE WHEN length(trim(substr(text, 1, doc_id % 30))) <= 10 THEN 'too_short' ELSE 'accepted' END AS outcome, count(*) AS n FROM documents GROUP BY 1""",
+    "F04_C04_page_acceptance_whole",
+    r"""SELECT CASE WHEN text IS NULL THEN 'fetch_error' WHEN length(trim(text)) <= 10 THEN 'too_short' ELSE 'accepted' END AS outcome, count(*) AS n FROM documents GROUP BY 1""",
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.expr("substring(text, 1, cast(doc_id % 30 as int))")
-    reason = F.coalesce(crawl.failure_reason(F.col("text"), text), F.lit("accepted"))
+    reason = F.coalesce(crawl.failure_reason(F.col("text"), F.col("text")), F.lit("accepted"))
     return _table(spark, sf_dir, "documents").groupBy(reason.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @_register(
-    "F04_C04_page_acceptance_whole",
-    r"""SELECT CASE WHEN text IS NULL THEN 'fetch_error' WHEN length(trim(text)) <= 10 THEN 'too_short' ELSE 'accepted' END AS outcome, count(*) AS n FROM documents GROUP BY 1""",
+    "C04_failure_reasons",
+    r"""SELECT conv_id, turn, CASE WHEN role = 'system' THEN 'write_error' WHEN turn % 7 = 6 THEN 'not_success' WHEN text IS NULL THEN 'fetch_error'
+          WHEN length(trim(text)) <= 10 THEN 'too_short' WHEN role NOT IN ('user', 'assistant') THEN 'unknown' END AS reason FROM conversations""",
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reason = F.coalesce(crawl.failure_reason(F.col("text"), F.col("text")), F.lit("accepted"))
-    return _table(spark, sf_dir, "documents").groupBy(reason.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+    """Turns as fetched pages: the step that failed, the fetcher's word and the caller's verdict come from role and number."""
+    role, text = F.col("role"), F.col("text")
+    reason = crawl.failure_reason(text, text, F.col("turn") % 7 != 6, F.when(role == "system", F.lit("write_error")), role.isin("user", "assistant"))
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", reason.alias("reason"))
 
 
 # Keyword search
@@ -334,7 +325,7 @@ _TOKENS = r"""list_filter(regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]+(?:\
 _STOP = ", ".join(f"'{w}'" for w in bm25.STOP_WORDS)
 _BM25_CTE = f"""
 d AS (SELECT doc_id, {_TOKENS.format("text", _STOP)} AS ts FROM documents),
-q AS (SELECT item_id AS query_id, unnest(list_distinct({_TOKENS.format("array_to_string(string_split(text, ' ')[1:3], ' ')", _STOP)})) AS term FROM benchmark),
+q AS (SELECT item_id AS query_id, unnest(list_distinct({_TOKENS.format("text", _STOP)})) AS term FROM benchmark),
 st AS (SELECT count(*) AS n, avg(len(ts)) AS a FROM d),
 tf AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(ts) AS dl, unnest(ts) AS term FROM d) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
@@ -342,20 +333,10 @@ s AS (SELECT q.query_id, tf.doc_id, count(*) AS hits, sum((ln(n / (df + 1)) + 1)
       FROM tf JOIN q USING (term) JOIN df USING (term), st GROUP BY ALL)"""
 
 
-#: The same for the items' whole texts.
-_BM25_WHOLE_CTE = _BM25_CTE.replace("array_to_string(string_split(text, ' ')[1:3], ' ')", "text")
-
-
 def _whole_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
-def _keyword_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first three words of each item, as the SQL of the two queries that use them has it; the rest search for whole texts."""
-    words = F.array_join(F.slice(F.split("text", " "), 1, 3), " ")
-    return _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), words.alias("text"))
-
-
 @_register(
     "A05_D10_term_statistics",
     f"""WITH {_BM25_CTE} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM tf GROUP BY term""",
@@ -372,30 +353,9 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25.corpus_stats(_table(spark, sf_dir, "documents")).select("n_docs", F.round("avgdl", 6).alias("avgdl"))
 
 
-@_register(
-    "T02_J05_F07_bm25_any",
-    f"""WITH {_BM25_CTE} SELECT query_id, doc_id, round(score, 6) AS score, CAST(k AS INTEGER) AS rank FROM
-        (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS k FROM s) WHERE k <= 10""",
-)
-def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = bm25.bm25_scores(_table(spark, sf_dir, "documents"), _keyword_queries(spark, sf_dir), "doc_id", mode="or")
-    return bm25.top_k(scores, 10, "doc_id").select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
-
-
-@_register(
-    "T02_J05_bm25_all",
-    f"""WITH {_BM25_CTE}, nt AS (SELECT query_id, count(*) AS need FROM q GROUP BY query_id)
-        SELECT query_id, doc_id, round(score, 6) AS score, CAST(k AS INTEGER) AS rank FROM
-        (SELECT s.*, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS k FROM s JOIN nt USING (query_id) WHERE hits = need) WHERE k <= 10""",
-)
-def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = bm25.bm25_scores(_table(spark, sf_dir, "documents"), _keyword_queries(spark, sf_dir), "doc_id", mode="and")
-    return bm25.top_k(scores, 10, "doc_id").select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
-
-
 @_register(
     "T02_J05_F07_bm25_any_whole",
-    f"""WITH {_BM25_WHOLE_CTE} SELECT query_id, doc_id, round(score, 6) AS score, CAST(k AS INTEGER) AS rank FROM
+    f"""WITH {_BM25_CTE} SELECT query_id, doc_id, round(score, 6) AS score, CAST(k AS INTEGER) AS rank FROM
         (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS k FROM s) WHERE k <= 10""",
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -405,7 +365,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register(
     "T02_J05_bm25_all_whole",
-    f"""WITH {_BM25_WHOLE_CTE}, nt AS (SELECT query_id, count(*) AS need FROM q GROUP BY query_id)
+    f"""WITH {_BM25_CTE}, nt AS (SELECT query_id, count(*) AS need FROM q GROUP BY query_id)
         SELECT query_id, doc_id, round(score, 6) AS score, CAST(k AS INTEGER) AS rank FROM
         (SELECT s.*, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS k FROM s JOIN nt USING (query_id) WHERE hits = need) WHERE k <= 10""",
 )
@@ -436,7 +396,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT vec_id, len(embedding[1:16]) AS dimension, round(list_sum(list_transform(embedding[1:16], lambda x: x::DOUBLE * x::DOUBLE)), 5) AS squared FROM embeddings",
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = F.slice("embedding", 1, 16)
+    cut = M.truncated(F.col("embedding"), M.embedding_dimension(M.HashingEmbedder(dimension=64, truncate_dim=16)))
     squared = F.aggregate(cut, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     return _table(spark, sf_dir, "embeddings").select("vec_id", F.size(cut).cast("long").alias("dimension"), F.round(squared, 5).alias("squared"))
 
@@ -472,33 +432,34 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_register(
-    "J02_F08_hydrated_candidates",
-    f"""WITH {_FUSE_CTE} SELECT query_id, id, CAST(rank AS INTEGER) AS rank, substr(text, 1, 40) AS head FROM r JOIN documents ON doc_id = id
-        WHERE rank <= 9 AND trim(text) <> ''""",
+    "J02_F08_hydrated_texts",
+    f"""WITH {_FUSE_CTE} SELECT query_id, id, CAST(rank AS INTEGER) AS rank, text FROM r JOIN documents ON doc_id = id WHERE rank <= 9 AND trim(text) <> ''""",
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fusion.candidates(fusion.fuse(*_two_legs(spark, sf_dir), "id"), 3, "id").select("query_id", "id", "rank")
     texts = _table(spark, sf_dir, "documents").filter(F.trim("text") != "").select(F.col("doc_id").alias("id"), "text")
-    return found.join(texts, "id").select("query_id", "id", "rank", F.substring("text", 1, 40).alias("head"))
+    return found.join(texts, "id").select("query_id", "id", "rank", "text")
 
 
 @_register(
-    "J02_F08_hydrated_texts",
-    f"""WITH {_FUSE_CTE} SELECT query_id, id, CAST(rank AS INTEGER) AS rank, text FROM r JOIN documents ON doc_id = id WHERE rank <= 9 AND trim(text) <> ''""",
+    "A09_query_counters",
+    f"""WITH {_FUSE_CTE} SELECT query_id, count(vr) AS vector_results, count(br) AS bm25_results, count(*) AS combined_results,
+        count(*) FILTER (WHERE rank <= 3) AS selected_chunks, count(*) FILTER (WHERE rank > 3) AS skipped_chunks FROM r WHERE rank <= 9 GROUP BY query_id""",
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = fusion.candidates(fusion.fuse(*_two_legs(spark, sf_dir), "id"), 3, "id").select("query_id", "id", "rank")
-    texts = _table(spark, sf_dir, "documents").filter(F.trim("text") != "").select(F.col("doc_id").alias("id"), "text")
-    return found.join(texts, "id").select("query_id", "id", "rank", "text")
+    """The library's counters, for candidates of which the first three are selected."""
+    found = fusion.candidates(fusion.fuse(*_two_legs(spark, sf_dir), "id"), 3, "id")
+    chosen = found.withColumn("selected", F.when(F.col("rank") <= 3, F.col("rank")))
+    return search.query_counters(found, chosen, _vector_queries(spark, sf_dir))
 
 
 # Selection
 
 
 def _index(spark: SparkSession, sf_dir: str, embedder: M.Embedder) -> DataFrame:
-    """All chunks of all documents with their vectors, written once."""
+    """All chunks of all documents with their vectors and tokens, written once."""
     chunks = chunk_documents(document_files(_table(spark, sf_dir, "documents"))).dropDuplicates(["chunk_id"])
-    return saved(chunks.withColumn("embedding", M.embedded(F.col("text"), embedder)))
+    return saved(chunks.withColumns({"embedding": M.embedded(F.col("text"), embedder), "tokens": bm25.analyzed(F.col("text"))}))
 
 
 @_register(
@@ -522,15 +483,21 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_register(
-    "R02_R04_result_status",
-    r"""SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'no_hits' WHEN doc_id % 4 = 1 THEN 'no_context' WHEN t + 50 >= 4096 - 256 + 15 THEN 'prompt_too_long' ELSE 'ok' END AS status,
-        CAST(greatest(0, 4096 - 50 - 256 - t) AS INTEGER) AS budget FROM (SELECT doc_id, CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, length(text) // 4) END AS t FROM documents)""",
+    "R02_R04_result_states",
+    r"""SELECT conv_id, turn, greatest(0, 4096 - 50 - 256 - t) AS budget,
+          CASE WHEN hits = 0 THEN 'no_hits' WHEN context = 0 THEN 'no_context' WHEN t + 50 >= 4096 - 256 + 15 THEN 'prompt_too_long' WHEN role = 'system' THEN 'llm_error'
+               WHEN trim(text) = '' THEN 'empty_response' ELSE 'ok' END AS status
+        FROM (SELECT c.*, count(*) OVER (PARTITION BY conv_id) - 1 AS hits, count(*) FILTER (WHERE role = 'user') OVER (PARTITION BY conv_id) AS context,
+                CAST(CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, length(text) // 4) END AS INTEGER) AS t FROM conversations c)""",
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = X.estimated_tokens(F.col("text"))
-    kind = F.col("doc_id") % 4
-    status = selection.result_status(F.when(kind != 0, 1), F.when(kind > 1, 1), tokens, 4096)
-    return _table(spark, sf_dir, "documents").select("doc_id", status.alias("status"), selection.context_budget(4096, tokens).cast("int").alias("budget"))
+    """Turns as answers: hits are a conversation's other turns, its context the user's, and a system turn stands for a model that failed."""
+    whole = W.partitionBy("conv_id")
+    rows = _table(spark, sf_dir, "conversations").withColumn("hits", F.count(F.lit(1)).over(whole) - 1).withColumn("context", F.count_if(F.col("role") == "user").over(whole))
+    tokens = X.estimated_tokens(F.col("text")).cast("int")
+    before = selection.result_status(F.col("hits"), F.col("context"), tokens, 4096)
+    after = selection.answer_status(before, F.col("text"), F.when(F.col("role") == "system", F.lit("failed")))
+    return rows.select("conv_id", "turn", selection.context_budget(4096, tokens).cast("int").alias("budget"), after.alias("status"))
 
 
 # Store
@@ -555,18 +522,6 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.source_rollup(chunks)
 
 
-@_register(
-    "M02_M03_upsert",
-    r"""WITH a AS (SELECT doc_id, lang, 1 AS version FROM documents WHERE doc_id % 5 <> 0 UNION ALL SELECT doc_id, 'new', 2 FROM documents WHERE doc_id % 3 = 0)
-        SELECT doc_id, arg_max(lang, version) AS lang, CAST(max(version) AS INTEGER) AS version FROM a GROUP BY doc_id""",
-)
-def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    old = docs.filter("doc_id % 5 <> 0").select("doc_id", "lang", F.lit(1).alias("version"))
-    new = docs.filter("doc_id % 3 = 0").select("doc_id", F.lit("new").alias("lang"), F.lit(2).alias("version"))
-    return store.upserted(old, new, "doc_id")
-
-
 @_register(
     "M02_M03_upsert_all",
     r"""WITH a AS (SELECT doc_id, lang, 1 AS version FROM documents UNION ALL SELECT doc_id, 'new', 2 FROM labels)
@@ -601,15 +556,6 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files_in.changed_files(moved, stored).select("source_path", "mtime")
 
 
-@_register(
-    "A08_A09_scan_counters",
-    "SELECT source, count(*) AS processed, count(*) FILTER (WHERE n_chars < 100) AS skipped, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY source",
-)
-def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    return docs.groupBy("source").agg(F.count(F.lit(1)).alias("processed"), F.count_if(F.col("n_chars") < 100).alias("skipped"), F.sum("n_chars").alias("chars"))
-
-
 @_register(
     "S11_S12_log_projection",
     r"""SELECT conv_id, turn, CASE WHEN length(text) > 150 THEN substr(text, 1, 150) || '...' ELSE text END AS text_preview, role AS source_path,
@@ -626,11 +572,70 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logged.select("conv_id", "turn", "c.text_preview", "c.source_path", "c.original_chunk_index", "n_debug")
 
 
+@_register(
+    "A08_scan_counters",
+    r"""SELECT source AS folder, count(*) AS processed, count(*) FILTER (WHERE l.doc_id IS NOT NULL) AS skipped, count(*) FILTER (WHERE l.doc_id IS NULL AND trim(text) = '') AS failed,
+          CAST(count(*) FILTER (WHERE l.doc_id IS NULL AND trim(text) <> '') AS BIGINT) AS changed FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id) GROUP BY source""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folders of documents, of which the labelled ones are stored already."""
+    docs = _table(spark, sf_dir, "documents")
+    stored = document_files(docs.join(_table(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id", "left_semi"))
+    found = files_in.scan_counters(document_files(docs), stored)
+    return found.withColumn("folder", F.element_at(F.split("folder", "/"), -1))
+
+
 # Graphs and streams
 
 
+_TRADE = r"""WITH RECURSIVE d AS (SELECT 'r/' || n_regionkey AS src, 'n/' || n_nationkey AS dst FROM nation UNION ALL SELECT 'n/' || s_nationkey, 's/' || s_suppkey FROM supplier
+  UNION ALL SELECT 'n/' || c_nationkey, 'c/' || c_custkey FROM customer),
+e AS (SELECT src, dst FROM d UNION SELECT dst, src FROM d),
+r(node, level) AS (SELECT 'r/1', 1 UNION SELECT e.dst, r.level + 1 FROM r JOIN e ON e.src = r.node WHERE r.level < 4),
+n AS (SELECT node, min(level) AS level FROM r GROUP BY node)"""
+
+
+def _trade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A web of trade: a page a region, nation, supplier and customer, linked up and down, each also to a page that isn't there."""
+    levels = (("nation", "r/", "n_regionkey", "n/", "n_nationkey"), ("supplier", "n/", "s_nationkey", "s/", "s_suppkey"), ("customer", "n/", "c_nationkey", "c/", "c_custkey"))
+    named = lambda kind, key: F.concat(F.lit(kind), F.col(key).cast("string"))
+    down = [_table(spark, sf_dir, t).select(named(k1, c1).alias("src"), named(k2, c2).alias("dst")) for t, k1, c1, k2, c2 in levels]
+    pairs = down[0].unionByName(down[1]).unionByName(down[2])
+    edges = pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    anchor = lambda node: F.concat(F.lit('<a href="/'), node, F.lit('/">'), node, F.lit("</a> "))
+    held = edges.groupBy("src").agg(F.array_join(F.array_sort(F.collect_set(anchor(F.col("dst")))), "").alias("links"))
+    html = F.concat(F.lit("<body><p>A page of the trade register about "), "src", F.lit("</p>"), anchor(F.concat(F.lit("gone/"), F.col("src"))), "links", F.lit("</body>"))
+    return saved(held.select(F.concat(F.lit("https://trade.example/"), "src", F.lit("/")).alias("url"), html.alias("html")))
+
+
+@_register(
+    "C01_C02_F05_F06_J08_U02_T09_crawl",
+    rf"""{_TRADE} SELECT 'https://trade.example/' || node || '/' AS url, 'accepted' AS outcome, CAST(level AS INTEGER) AS level FROM n
+         UNION ALL SELECT 'https://trade.example/gone/' || node || '/', 'fetch_error', NULL FROM n WHERE level <= 3""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The crawl from one region's page, links followed from three levels."""
+    pages = _trade(spark, sf_dir)
+    roots = spark.range(1).select(F.lit("https://trade.example/r/1").alias("url"))
+    done, failed = crawl.crawl(crawl.table_fetcher(pages), roots, target=1 << 30, max_depth=3, batch=1 << 30)
+    good = done.select("url", F.lit("accepted").alias("outcome"), "level")
+    return good.unionByName(failed.select("url", F.col("reason").alias("outcome"), F.lit(None).cast("int").alias("level")))
+
+
 @_register(
-    "C01_F05_F06_J08_U02_T09_reachable",
+    "T08_U03_best_first_crawl",
+    rf"""{_TRADE}, b AS (SELECT 'https://trade.example/' || node || '/' AS url, level FROM n WHERE level = 2 ORDER BY url LIMIT 4)
+         SELECT 'https://trade.example/r/1/' AS url, 1 AS level UNION ALL SELECT url, CAST(level AS INTEGER) FROM b""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five pages in best-first order, a few a round: of links of equal priority, those of the lower level and the smaller url."""
+    roots = spark.range(1).select(F.lit("https://trade.example/r/1").alias("url"))
+    done, _ = crawl.crawl(crawl.table_fetcher(_trade(spark, sf_dir)), roots, target=5, max_depth=3, batch=2, accept=~F.contains("url", F.lit("/gone/")))
+    return done.select("url", "level")
+
+
+@_register(
+    "J08_reachable",
     r"""WITH RECURSIVE e AS (SELECT DISTINCT 'p' || l_partkey AS src, 's' || l_suppkey AS dst FROM lineitem UNION SELECT DISTINCT 's' || l_suppkey, 'p' || l_partkey FROM lineitem),
         r(node, level) AS (SELECT 's1', 0 UNION SELECT e.dst, r.level + 1 FROM r JOIN e ON e.src = r.node WHERE r.level < 3)
         SELECT node, CAST(min(level) AS INTEGER) AS level FROM r GROUP BY node""",
@@ -644,14 +649,6 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl.reachable(edges, seeds, 3)
 
 
-@_register("C01_C02_crawl")
-def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _table(spark, sf_dir, "pages")
-    done, failed = crawl.crawl(crawl.table_fetcher(pages), pages.select("url"), target=1 << 30, max_depth=1, batch=1 << 30)
-    good = done.select("url", F.lit("accepted").alias("outcome"), "level")
-    return good.unionByName(failed.select("url", F.col("reason").alias("outcome"), F.lit(None).cast("int").alias("level")))
-
-
 @_register(
     "streaming_activity_windows",
     "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n_events, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
@@ -676,7 +673,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries = _whole_queries(spark, sf_dir)
     found = saved(search.retrieve(chunks, queries, 3, embedder, mode="or"))  # used twice
     rows = search.assemble(found, chunks, queries, 3, model.info.context_length)
-    return rows.withColumn("response", F.when(F.col("status") == "ok", M.generated(F.col("prompt"), model)["response"]))
+    return search.answered(rows, model)
 
 
 def queries() -> dict[str, Query]:

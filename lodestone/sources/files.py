@@ -65,3 +65,14 @@ def changed_files(files: DataFrame, chunks: DataFrame) -> DataFrame:
     stored = chunks.select(F.coalesce("original_url", "source_path").alias("stored_id"), F.col("mtime").alias("stored_mtime")).distinct()
     same = (F.coalesce("original_url", "source_path") == F.col("stored_id")) & (F.abs(F.col("mtime") - F.col("stored_mtime")) < MTIME_TOLERANCE)
     return files.join(stored, same, "left_anti")
+
+
+def scan_counters(files: DataFrame, stored: DataFrame) -> DataFrame:
+    """Per folder: files seen, those skipped because the store holds them unchanged, those that failed (no text), and those left to chunk."""
+    number = files.withColumn("folder", F.regexp_replace("source_path", "/[^/]*$", ""))
+    new = changed_files(files, stored).select("source_path", F.lit(True).alias("is_new")).distinct()
+    rows = number.join(new, "source_path", "left")
+    fresh, blank = F.coalesce("is_new", F.lit(False)), F.trim(F.coalesce("text", F.lit(""))) == ""
+    return rows.groupBy("folder").agg(
+        F.count(F.lit(1)).alias("processed"), F.count_if(~fresh).alias("skipped"), F.count_if(fresh & blank).alias("failed"), F.count_if(fresh & ~blank).alias("changed")
+    )

@@ -177,3 +177,88 @@ def test_streams(spark, tmp_path):
     events = spark.createDataFrame([("2024-01-01 00:10:00", "a", 1.0), ("2024-01-01 00:20:00", "a", 2.0)], "ts string, event_type string, value double")
     events = events.withColumn("ts", F.to_timestamp("ts"))
     assert [(r["n_events"], r["total"]) for r in activity_windows(events).collect()] == [(2, 3.0)]
+
+
+def test_store_versions(spark, tmp_path):
+    """A reader's version stays whole while others write; the second of two writers starts again; unreadable manifests are passed over."""
+    text = "A text that is long enough to be kept as one chunk, number "
+    engine = SearchEngine(spark, str(tmp_path / "store"))
+    chunks = lambda *names: engine_chunks(engine, files_of(spark, [(n, text + n) for n in names]))
+    engine.store.replace_sources(chunks("a.md", "b.md"))
+    before = engine.store.read()
+    other = store.ChunkStore(spark, str(tmp_path / "store"))
+    publish, lost = other._publish, []
+
+    def overtaken(version, manifest):
+        if not lost:  # somebody else commits between the read and the commit of this writer
+            lost.append(engine.store.replace_sources(chunks("c.md")))
+        return publish(version, manifest)
+
+    other._publish = overtaken
+    other.replace_sources(chunks("d.md"))
+    assert {r["filename"] for r in engine.store.read().collect()} == {"a.md", "b.md", "c.md", "d.md"}
+    assert {r["filename"] for r in before.collect()} == {"a.md", "b.md"}
+    (tmp_path / "store" / "manifests" / "000000000099").write_text("{broken")
+    assert engine.store.count() == 4 and engine.remove_source("/docs/a.md" if before.filter("source_path = '/docs/a.md'").count() else before.first()["source_path"])
+    assert engine.store.count() == 3 and not engine.remove_source("/nowhere.md")
+    assert engine.store.vacuum(keep=1) > 0 and engine.store.count() == 3
+
+
+def engine_chunks(engine, files):
+    from lodestone.functions import models
+
+    return chunk_documents(files, *engine.chunking).withColumns({"embedding": models.embedded(F.col("text"), engine.embedder), "tokens": bm25.analyzed(F.col("text"))})
+
+
+def test_search_reads_stored_vectors(spark, tmp_path):
+    engine = SearchEngine(spark, str(tmp_path / "store"))
+    engine.add_files(files_of(spark, [("a.md", "Stored vectors and tokens are read, so that no chunk is embedded again."), ("b.md", "Nothing but filler is written here, at some length.")]))
+    plan = engine.store.read()._jdf.queryExecution().toString()
+    assert "ArrowEvalPython" not in plan and {"embedding", "tokens"} <= set(engine.store.read().columns)
+    assert all(len(r["embedding"]) == engine.embedder.dimension and r["tokens"] for r in engine.store.read().collect())
+    found = engine.search("stored vectors").first()
+    assert found["status"] == "ok" and "Stored vectors" in found["response"]
+
+
+def test_answer_states(spark):
+    from lodestone.functions import models
+    from lodestone.plans.search import answered
+
+    class Broken:
+        info = models.ExtractiveModel().info
+
+        def generate(self, prompt, max_tokens=512, **settings):
+            if "fail" in prompt:
+                raise RuntimeError("no memory")
+            return "" if "empty" in prompt else prompt
+
+    rows = spark.createDataFrame([(1, "ok", "x"), (2, "ok", "fail"), (3, "ok", "empty"), (4, "no_hits", "fail"), (5, "no_context", ""), (6, "prompt_too_long", "")], "query_id int, status string, prompt string")
+    got = {r["query_id"]: (r["status"], r["response"]) for r in answered(rows, Broken()).collect()}
+    assert got[1] == ("ok", "x") and got[2] == ("llm_error", "LLM Error: no memory") and got[3] == ("empty_response", selection.EMPTY_RESPONSE)
+    assert got[4] == ("no_hits", selection.NO_HITS) and got[5] == ("no_context", selection.NO_CONTEXT) and got[6][0] == "prompt_too_long"
+    stopped = {r["query_id"]: r["status"] for r in answered(rows, Broken(), cancelled=True).collect()}
+    assert [stopped[i] for i in range(1, 5)] == ["cancelled", "cancelled", "cancelled", "no_hits"]
+
+
+def test_crawl_ends(spark):
+    page = "<body><p>enough text on this page</p><a href='/x'>x</a></body>".replace("'", '"')
+    pages = spark.createDataFrame([("http://r.org/", page)], "url string, html string")
+    roots, why = pages.select("url"), []
+    crawl.crawl(crawl.table_fetcher(pages), roots, target=1, ended=why.append)
+    done, failed = crawl.crawl(crawl.table_fetcher(pages), roots, target=5, ended=why.append)
+    assert done.count() == 1 and [r["reason"] for r in failed.collect()] == ["fetch_error"]
+    assert crawl.crawl(crawl.table_fetcher(pages), roots, target=5, abort=lambda: True, ended=why.append)[0].count() == 0
+    assert crawl.crawl(crawl.table_fetcher(pages), roots, target=5, time_limit=-1.0, ended=why.append)[0].count() == 0
+    assert why == ["target", "empty", "abort", "time_limit"]
+
+
+def test_dimensions_and_keywords():
+    from lodestone.functions import models
+    from lodestone.functions.urls import parsed_keywords
+
+    class Probed:
+        def embed(self, texts):
+            return np.zeros((len(texts), 7), np.float32)
+
+    assert models.embedding_dimension(HashingEmbedder(32)) == 32 and models.embedding_dimension(HashingEmbedder(32, 8)) == 8 and models.embedding_dimension(Probed()) == 7
+    assert parsed_keywords('api "user guide" x') == ["api", "user guide", "x"] and parsed_keywords('open "quote') == ["open", '"quote']
