@@ -152,6 +152,11 @@ def token_counts(parts: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.join(wanted, "token").groupBy("token").agg(F.count(F.lit(1)).alias("count"))
 
 
+def _listed(beside: DataFrame, values: list, kind: str, name: str) -> DataFrame:
+    """A table with a row a value of a list, made by the JVM from one literal."""
+    return beside.sparkSession.range(1).select(F.explode(F.from_json(F.lit(json.dumps(values)), kind)).alias(name))
+
+
 def _rarest(tokens: list[str], counts: dict[str, int]) -> str | None:
     return min(tokens, key=lambda t: (counts.get(t, 0), t)) if tokens else None
 
@@ -197,10 +202,7 @@ def _by_join(parts: DataFrame, entries: list[dict]) -> DataFrame:
 
     A token that a third of all urls hold meets few rules, since rules are filed under their rarest token; adaptive execution splits what is skewed.
     """
-    spark = parts.sparkSession
-    names = ["token", "kind", "rank", "name", "verdict", "host", "path"]
-    bank = spark.createDataFrame([tuple(e[n] for n in names) for e in entries], "token string, kind string, rank int, name string, verdict string, rule_host string, rule_path string")
-    bank = bank.select("token", F.struct("token", "kind", "rank", "name", "verdict", F.col("rule_host").alias("host"), F.col("rule_path").alias("path")).alias("rule"))
+    bank = _listed(parts, entries, f"array<{_RULE}>", "rule").select("rule.token", "rule")
     always = F.from_json(F.lit(json.dumps([e for e in entries if e["token"] is None])), f"array<{_RULE}>")
     sites = parts.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"))
     asked = sites.select("host", "path", F.explode(url_tokens(F.col("host"), F.col("path"))).alias("token")).join(bank.filter("token is not null"), "token")
@@ -226,7 +228,7 @@ def judge_urls(
     wanted = sorted({t for _, r, _ in rules for t in r.tokens()})
     counts: dict[str, int] = {}
     if wanted:
-        asked = pages.sparkSession.createDataFrame([(t,) for t in wanted], "token string")
+        asked = _listed(pages, wanted, "array<string>", "token")
         counted = token_counts(parts, F.broadcast(asked) if few else asked)
         counts = {r["token"]: r["count"] for r in counted.collect()}  # a row a token of the rules, which the driver holds anyway
     entries = _entries(rules, counts)

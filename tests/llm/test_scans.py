@@ -280,3 +280,43 @@ def test_chat_awkward(spark):
     one = "".join(r["rendered"] for r in sorted((r for r in got if r["conv_id"] == 1), key=lambda r: r["pos"]))
     assert one == "<|im_start|>user\nfirst\nsame<|im_end|>\n<|im_start|>assistant\nsame<|im_end|>\n"  # as cheap as merging and inserting, with no insertion
     assert chat.format_chats(table.limit(0)).count() == 0
+
+
+def test_ftrl_against_a_plain_loop():
+    """Weights, bias and scores against FTRL-proximal written out one coordinate at a time."""
+    import math
+
+    import numpy as np
+
+    from lodestone.llm.toxicity import Model, Settings, _sigmoid, features, fit
+    from lodestone.llm._words import PLAIN_LOWER, word_hashes
+
+    rnd = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(40)] + ["vile", "nasty"]
+    texts = [" ".join(rnd.choice(vocabulary) for _ in range(rnd.randint(1, 25))) for _ in range(120)] + [""]
+    labels = [int("vile" in t or "nasty" in t) for t in texts]
+    words, bounds = word_hashes(chat.pa.array(texts), PLAIN_LOWER)
+    rows = [(features(words[i:j]), y) for i, j, y in zip(bounds[:-1], bounds[1:], labels)]
+    settings = Settings(alpha=0.5, beta=1.0, l1=0.3, l2=0.1, epochs=2)
+    z, n, bias_z, bias_n, bias = {}, {}, 0.0, 0.0, 0.0
+    weight = lambda i: 0.0 if abs(z.get(i, 0.0)) <= 0.3 else (math.copysign(0.3, z[i]) - z[i]) / ((1.0 + math.sqrt(n[i])) / 0.5 + 0.1)
+    for _ in range(2):
+        for at, label in rows:
+            held = {i: weight(i) for i in at.tolist()}
+            g = 1 / (1 + math.exp(-(sum(held.values()) + bias))) - label
+            for i, w in held.items():
+                before = n.get(i, 0.0)
+                n[i] = before + g * g
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(n[i]) - math.sqrt(before)) / 0.5 * w
+            before, bias_n = bias_n, bias_n + g * g
+            bias_z += g - (math.sqrt(bias_n) - math.sqrt(before)) / 0.5 * bias
+            bias = -bias_z / ((1.0 + math.sqrt(bias_n)) / 0.5)
+    expected = {i: weight(i) for i in z if weight(i)}
+    at, weights, found_bias = fit(rows, settings)
+    got = dict(zip(at.tolist(), weights.tolist()))
+    close = lambda a, b: abs(a - b) < 1e-3  # sums are kept in single precision
+    assert {i for i, w in expected.items() if abs(w) > 0.01} <= set(got) and len(got) < len(z) and close(bias, found_bias)
+    assert all(close(got.get(i, 0.0), w) for i, w in expected.items()) and all(close(expected.get(i, 0.0), w) for i, w in got.items())
+    model = Model(at.astype(np.int64), weights, found_bias)
+    for i, j in zip(bounds[:-1], bounds[1:]):
+        assert close(model.score(words[i:j]), _sigmoid(sum(expected.get(k, 0.0) for k in features(words[i:j]).tolist()) + bias))
