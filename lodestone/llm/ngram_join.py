@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._spark import checkpointed, pieces, shuffle_width
+from lodestone.llm._spark import checkpointed, free_names, pieces, shuffle_width
 from lodestone.llm._words import SPACED_LOWER, U64, WordClass, mix, text_slices, wide_hashes, window_hashes
 from lodestone.llm.components import connected_components
 
@@ -551,9 +551,49 @@ def set_components(
     )
 
 
+def _with_row_ids(docs: DataFrame, name: str, max_broadcast_rows: int) -> DataFrame:
+    """One row of each document, with an id of its own in the column ``name``.
+
+    Rows of one id and one text are one document; of those the row whose other columns hash lowest stands for it.  The first text
+    of an id, by digest, has the id itself.  Further texts of it, and texts without an id, get unused numbers.  Rows with
+    neither an id nor a word get null.  Tables whose ids are all there and all different are only counted.
+    """
+    number, digest, whole, row = free_names([*docs.columns, name], ["number", "digest", "whole", "row"])
+    key = F.col("doc_id").cast("long")
+    repeated = checkpointed(docs.groupBy(key.alias(number)).agg(F.count(F.lit(1)).alias("n")).filter(f"n > 1 or {number} is null").select(number))
+    n_repeated = repeated.count()
+    if not n_repeated:
+        return docs.withColumn(name, key)
+    side = repeated.filter(F.col(number).isNotNull())
+    side = F.broadcast(side) if n_repeated <= max_broadcast_rows else side
+    named, nameless = docs.filter(key.isNotNull()), docs.filter(key.isNull())
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    odd = named.join(side, key == F.col(number), "left_semi").unionByName(nameless.filter(worded))
+    others = F.sha2(F.to_json(F.struct(*(c for c in docs.columns if c not in ("doc_id", "text")), F.lit(0).alias(whole))), 256)
+    one = odd.groupBy(key.alias(number), F.sha2(F.coalesce("text", F.lit("")), 256).alias(digest), F.col("text").isNull().alias(whole)).agg(
+        F.min_by(F.struct(*docs.columns), others).alias(row)
+    )
+    one = checkpointed(one.withColumn(digest, F.when(F.col(whole), "").otherwise(F.col(digest))).withColumn(whole, F.monotonically_increasing_id()))
+    first = one.filter(F.col(number).isNotNull()).groupBy(F.col(number).alias(f"{number}_")).agg(F.min(digest).alias(f"{digest}_"))
+    low, high = docs.agg(F.coalesce(F.min(key), F.lit(0)), F.coalesce(F.max(key), F.lit(0))).first()
+    unused = F.lit(high + 1) + F.col(whole) if high < 1 << 62 else F.lit(low - 1) - F.col(whole)
+    own = F.when(F.col(digest) == F.col(f"{digest}_"), F.col(number)).otherwise(unused)
+    one = one.join(first, F.col(number) == F.col(f"{number}_"), "left").select(f"{row}.*", own.alias(name))
+    plain = named.join(side, key == F.col(number), "left_anti").withColumn(name, key)
+    blank = nameless.filter(~worded).withColumn(name, F.lit(None).cast("long"))
+    return plain.unionByName(one).unionByName(blank)
+
+
 def keep_one_of_each(docs: DataFrame, max_broadcast_rows: int = MAX_BROADCAST_ROWS, **settings) -> DataFrame:
-    """The documents whose id names their component: one of each group of near copies, and all others."""
-    found = ngram_components(docs, max_broadcast_rows=max_broadcast_rows, **settings)
-    dropped = checkpointed(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("dropped_id")).distinct())
+    """One row of each group of near copies, that of the smallest id, and all other documents.
+
+    It is decided by row: of rows that repeat an id and a text one stays, of an id with several texts each text is
+    judged by itself, and a text without an id stays only if no copy of it has one.  Rows without words all stay, but for
+    repeats of an id.
+    """
+    name, gone = free_names(docs.columns, ["row_id", "dropped_id"])
+    rows = _with_row_ids(docs, name, max_broadcast_rows)
+    found = ngram_components(rows.select(F.col(name).alias("doc_id"), "text"), max_broadcast_rows=max_broadcast_rows, **settings)
+    dropped = checkpointed(found.filter("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct())
     few = dropped.count() <= max_broadcast_rows
-    return docs.join(F.broadcast(dropped) if few else dropped, docs["doc_id"] == dropped["dropped_id"], "left_anti")
+    return rows.join(F.broadcast(dropped) if few else dropped, F.col(name) == F.col(gone), "left_anti").select(*docs.columns)

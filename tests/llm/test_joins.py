@@ -122,6 +122,17 @@ def test_keep_one(documents):
     assert {r["doc_id"] for r in kept.collect()} == {root for _, root in brute_components(rows).values()}
 
 
+@pytest.mark.parametrize("broadcast_rows", [0, 500_000])
+def test_keep_one_by_row(documents, broadcast_rows):
+    """Repeated rows, two texts of one id, and texts without an id."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(5, a), (5, a), (7, a + " end"), (8, b), (8, c), (9, b), (9, b), (None, c), (None, d), (None, d), (None, " "), (None, None), (10, None), (10, None), (11, None), (12, d + " x")]
+    kept = [(r["doc_id"], r["text"]) for r in keep_one_of_each(documents(rows), broadcast_rows).collect()]
+    sure = [(5, a), (8, b), (10, None), (11, None), (12, d + " x"), (None, " "), (None, None)]
+    assert all(kept.count(x) == 1 for x in sure)
+    assert len(kept) == len(sure) + 1 and sum(t == c for _, t in kept) == 1
+
+
 @pytest.mark.parametrize("in_task", [0, 1_000_000])
 def test_components(spark, in_task):
     rnd = random.Random(2)
