@@ -13,7 +13,8 @@ connected component.
    any partner sends its first ``n - t + l`` tokens, and partners whose
    leads are ``l`` and ``m`` must have ``min(l, m)`` of those in common.  Each set's lead is
    chosen for it: from the counts of its tokens follows, for every lead, how many tokens its
-   prefix is matched with and how many candidates can be left to verify, and the cheapest lead is taken (``leads``).
+   prefix is matched with and how many candidates can be left to verify, and the cheapest lead is taken (``leads``),
+   but none under a tenth of the set (``guarded``).
    A set of rare tokens sends a short prefix, one whose tokens many texts hold a longer one
    that asks more of its candidates.
 3. *Runs.*  Tokens of up to ``run`` documents count their pairs.  Dearer tokens
@@ -103,11 +104,12 @@ class CostModel:
     """What decides a lead, in units of one prefix token sent and matched.
 
     ``rare``: texts besides itself that hold a token without a count, on average.  ``verify``: cost of one token of a
-    candidate's set.  ``most``: the longest lead, as a share of the set.
+    candidate's set.  ``least``, ``most``: the shortest and the longest lead, as shares of the set.
     """
 
     rare: float = 0.02
     verify: float = 0.1
+    least: float = 0.1
     most: float = 0.4
 
 
@@ -128,6 +130,15 @@ def leads(counts: np.ndarray, percent: int, model: CostModel, run: int) -> tuple
     return best + 1, float(cost[best])
 
 
+def guarded(lead: int, size: int, percent: int, model: CostModel) -> int:
+    """A lead of at least the share ``least`` of the set.
+
+    Tokens without a count may be dear after all, and dear ones cost nothing in ``leads``.  A set with a short lead holds as
+    many dear tokens as that soon, and then all holders of any of them are its candidates.
+    """
+    return max(lead, min(least_overlap(size, percent), int(np.ceil(model.least * size))))
+
+
 def _runs(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First index and length of each run of equal values."""
     first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(ordered) else np.zeros(0, np.int64)
@@ -207,7 +218,7 @@ def _prefixes(build, percent: int, model: CostModel, run_limit: int, n_buckets:
                     order = np.argsort(held, kind="stable")
                     tokens, held = tokens[order], held[order]
                 size = len(tokens)
-                own, _ = leads(held, percent, model, run_limit)
+                own = guarded(leads(held, percent, model, run_limit)[0], size, percent, model)
                 nodes.append(keys[row][0])
                 sizes.append(size)
                 lead.append(own)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.llm.components import connected_components
-from lodestone.llm.ngram_join import CostModel, keep_one_of_each, leads, least_overlap, ngram_components
+from lodestone.llm.ngram_join import CostModel, guarded, keep_one_of_each, leads, least_overlap, ngram_components
 from lodestone.llm.spotsigs import edited, fingerprint_edits, likeness, spot_components
 from lodestone.llm.substrings import remove_repeats
 
@@ -87,6 +87,17 @@ def test_leads_follow_estimated_cost():
     assert all(1 <= leads(np.full(k, 9), 80, model, 32)[0] <= k for k in range(1, 40))
 
 
+def test_leads_are_guarded():
+    """No lead is under its share of the set, none is shortened, and none asks for more than any partner must share."""
+    model = CostModel()
+    for percent in (50, 80, 95):
+        for size in (1, 2, 9, 10, 11, 300, 5000):
+            for lead in sorted({1, min(2, least_overlap(size, percent)), least_overlap(size, percent)}):
+                own = guarded(lead, size, percent, model)
+                assert lead <= own <= least_overlap(size, percent) and (own == lead or own == -(-size // 10))
+                assert own >= min(-(-size // 10), least_overlap(size, percent))
+
+
 def test_twin_classes_of_one_node(documents):
     """Two classes whose digests share their first half are still held against one another and against others."""
     from lodestone.llm.ngram_join import set_components, shingle_builder
