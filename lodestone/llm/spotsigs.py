@@ -35,9 +35,10 @@ from pyspark.sql import functions as F
 
 from lodestone.llm._spark import pieces, shuffle_width, text_bytes
 from lodestone.llm._words import PLAIN_LOWER, U64, mix, utf8, window_hashes, word_hashes
-from lodestone.llm.ngram_join import set_components
+from lodestone.llm.ngram_join import CostModel, set_components
 
 CHAIN = 3
+MODEL = CostModel(least=0.0)  # sets are small: the cheapest lead is taken as it is
 GROUP_ROWS = 10_000  # signature sets are a fraction of the texts, so that many make a task
 COMPONENT, DOCUMENT, GUEST = range(3)  # kinds of rows in a range
 #: Text of a range of ids, and how many ranges there are at most (beyond that they hold more; a task reads its range in pieces of 1 MB).
@@ -123,7 +124,7 @@ def spot_builder(chain: int = CHAIN):
 
 def spot_components(docs: DataFrame, percent: int = 80, chain: int = CHAIN, **settings) -> DataFrame:
     """``doc_id, n_signatures, component_id``: documents whose signature sets have a Jaccard similarity of ``percent`` or more are linked."""
-    found = set_components(docs, spot_builder(chain), percent, by_size=True, **({"group_rows": GROUP_ROWS} | settings))
+    found = set_components(docs, spot_builder(chain), percent, by_size=True, **({"group_rows": GROUP_ROWS, "model": MODEL} | settings))
     return found.select("doc_id", F.col("size").alias("n_signatures"), "component_id")
 
 
