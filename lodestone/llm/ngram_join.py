@@ -53,6 +53,8 @@ from lodestone.llm._words import SPACED_LOWER, U64, WordClass, mix, text_slices,
 from lodestone.llm.components import connected_components
 
 RUN = 32
+#: As ``RUN``, for shingles: a row of a pair is as dear as that of a dear token, and a run of r tokens has r (r - 1) / 2 pairs.
+SHINGLE_RUN = 16
 GROUP_TOKENS, GROUP_ROWS = 4_000_000, 250
 MAX_FREQUENT = 200_000
 #: How often a batch must hold a token for it to be counted.
@@ -485,9 +487,9 @@ def _link_large(sets: DataFrame, percent: int, group_tokens: int, group_rows: in
     return connected_components(first.unionByName(second)).select(F.col("node").alias("rep"), "root")
 
 
-def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, **settings) -> DataFrame:
+def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, run: int = SHINGLE_RUN, **settings) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs``; settings as for ``set_components``."""
-    found = set_components(docs, shingle_builder(n), percent, **settings)
+    found = set_components(docs, shingle_builder(n), percent, run=run, **settings)
     return found.select("doc_id", F.col("size").alias("n_shingles"), "component_id")
 
 
