@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,9 +10,12 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.chat import format_chats
 from lodestone.llm.decontaminate import contamination
+from lodestone.llm.filter_audit import audit_filters
+from lodestone.llm.importance import importance_ranks
 from lodestone.llm.licenses import scan_licenses
 from lodestone.llm.mixture import mix_sources, token_count
 from lodestone.llm.ngram_join import ngram_components
+from lodestone.llm.onebit import nearest_vectors
 from lodestone.llm.sharding import shard_records
 from lodestone.llm.spotsigs import fingerprint_edits
 from lodestone.llm.substrings import remove_repeats
@@ -72,6 +76,18 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_chats(_table(spark, sf_dir, "conversations"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_ranks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), percent=5, least_words=20)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_vectors(_table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def _dealt(name: str, level: str, nodes: str, parent: str) -> str:
     """One level of budgets: nodes with ``room`` and ``budget`` in, with ``given`` out."""
     weight = "".join(f" WHEN node = '{n}' THEN {w}::DOUBLE" for n, w in WEIGHTS[level].items())
@@ -172,6 +188,57 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ps) AS BIGINT) AS n_
 FROM j
 """
 
+#: The registers that a byte leaves of CRC-32, from the CRCs of single bytes.
+_REGISTERS = ", ".join(str(zlib.crc32(bytes([i ^ 0xFF])) ^ 0xFF000000) for i in range(256))
+
+_OP11 = r"""
+WITH w AS (SELECT 'd' AS side, doc_id AS id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                   '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+      UNION ALL SELECT 't', NULL, -row_number() OVER (), regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                   '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+g AS (SELECT side, r, array_to_string(ws[i:i + k - 1], ' ') AS f FROM (SELECT side, r, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, (VALUES (1), (2), (3)) n(k) WHERE len(ws) >= k)),
+n AS MATERIALIZED (SELECT side, r, f, count(*) AS n FROM g GROUP BY ALL),
+b AS MATERIALIZED (SELECT f, xor(list_reduce(list_prepend(4294967295, list_transform(range(octet_length(encode(f))), lambda i: ('0x' || substr(hex(f), 2 * i + 1, 2))::BIGINT)),
+                                  lambda c, y: xor(c >> 8, [{registers}][(xor(c, y) & 255) + 1])), 4294967295) % 10000 AS bucket
+      FROM (SELECT DISTINCT f FROM n)),
+c AS (SELECT bucket, coalesce(sum(n) FILTER (side = 'd'), 0) AS s, coalesce(sum(n) FILTER (side = 't'), 0) AS t FROM n JOIN b USING (f) GROUP BY bucket),
+a AS (SELECT bucket, CAST(floor(1000 * ln((t + 1)::DOUBLE * ((sum(s) OVER ()) + 10000)::DOUBLE / ((s + 1)::DOUBLE * ((sum(t) OVER ()) + 10000)::DOUBLE))) AS BIGINT) AS gain FROM c),
+v AS (SELECT r, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * gain) AS BIGINT) AS weight FROM n JOIN b USING (f) JOIN a USING (bucket) WHERE side = 'd' GROUP BY r),
+z AS (SELECT id AS doc_id, len(ws) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+             coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || coalesce(CAST(id AS VARCHAR), '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+      FROM w LEFT JOIN v USING (r) WHERE side = 'd'),
+k AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS place, 5 * count(*) FILTER (n_words >= 20) OVER () // 100 AS drawn FROM z)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= drawn THEN place END AS rank FROM k
+""".replace("{registers}", _REGISTERS)
+
+#: Every document against every step of every order.
+_OP12 = r"""
+WITH RECURSIVE l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+f AS (SELECT t.doc_id, part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+        map {'A': len(ws) < 50, 'B': 100 * len(list_distinct(ws)) < 65 * len(ws), 'C': 100 * (length(x) - length(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 5 * length(x),
+             'D': regexp_matches(x, '[#$%&*|]'), 'E': coalesce(t.doc_id > min(t.doc_id) OVER (PARTITION BY x), false)} AS fails
+      FROM t LEFT JOIN l USING (doc_id)),
+o AS (SELECT '' AS o UNION ALL SELECT o || c FROM o, (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) v(c) WHERE instr(o, c) = 0),
+s AS (SELECT o AS filter_order, k AS step, substr(o, k, 1) AS c, string_split(substr(o, 1, k - 1), '') AS earlier, list_filter(['A', 'B', 'C', 'D', 'E'], lambda y: y <> substr(o, k, 1)) AS others
+      FROM o, range(1, 6) r(k) WHERE length(o) = 5),
+m AS (SELECT f.part, f.good, f.toxic, s.filter_order, s.step, s.c, f.fails[s.c] AS fail,
+             len(list_filter(s.earlier, lambda y: y <> '' AND f.fails[y])) > 0 AS gone, len(list_filter(s.others, lambda y: f.fails[y])) = 0 AS clean FROM f, s),
+g AS (SELECT part, filter_order, step, c, count(*) FILTER (NOT gone AND NOT fail) AS kept, count(*) FILTER (NOT gone AND fail) AS removed, count(*) FILTER (gone AND fail) AS redundant,
+             count(*) FILTER (fail AND clean) AS unique_fails, count(*) FILTER (NOT gone AND fail AND good = 1) AS good_lost, count(*) FILTER (NOT gone AND fail AND toxic = 1) AS toxic_lost
+      FROM m GROUP BY part, filter_order, step, c)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, c) AS BIGINT) AS shapley FROM g
+"""
+
+#: All pairs; the operator's result is that of the bound's chance of failing apart.
+_OP13 = r"""
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(c.e) = len(q.e) WHERE q.vec_id % 20 = 0),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
@@ -185,8 +252,20 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontamination": op8_decontamination,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_chat_format": op10_chat_format,
+        "op11_importance_resampling": op11_importance_resampling,
+        "op12_filter_audit": op12_filter_audit,
+        "op13_nearest_vectors": op13_nearest_vectors,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_source_mixture": _OP4, "op5_url_rules": _OP5, "op6_ngram_jaccard_join": _OP6, "op8_decontamination": _OP8, "op9_substring_dedup": _OP9}
+    return {
+        "op4_source_mixture": _OP4,
+        "op5_url_rules": _OP5,
+        "op6_ngram_jaccard_join": _OP6,
+        "op8_decontamination": _OP8,
+        "op9_substring_dedup": _OP9,
+        "op11_importance_resampling": _OP11,
+        "op12_filter_audit": _OP12,
+        "op13_nearest_vectors": _OP13,
+    }
