@@ -34,7 +34,8 @@ from pyspark.sql.types import DoubleType
 from lodestone.llm._spark import checkpointed, pieces, shuffle_width
 
 FIT_ROWS = 4096
-EPSILON = 3.0
+#: How many deviations the error bound is wide; an estimate fails it about once in 35 times, on one side.
+EPSILON = 1.9
 PART_BYTES = 64 << 20
 BLOCK_ROWS, MOST_BLOCK_ROWS = 512, 65_536
 _INDEX_ROWS = 4096
@@ -148,11 +149,13 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, blocks: list[tuple], cent
     dim = len(centre)
     rest = vectors - centre
     turned = (rest @ rotation(dim, seed).T).astype(np.float32)
-    length = np.linalg.norm(rest, axis=1).astype(np.float32)
+    length, norm = (np.linalg.norm(x, axis=1).astype(np.float32) for x in (rest, vectors))
     level = (vectors @ centre).astype(np.float32)
-    slack = np.float32(1e-5) * (np.linalg.norm(vectors, axis=1).astype(np.float32) + 1)
     best, reranked, look = _Best(len(ids), k), 0, _FIRST
     for held, codes, scalars, originals in blocks:
+        rough = vectors.astype(originals.dtype)
+        # What rounding can take from an estimate or a rough product.
+        slack = norm * np.float32(2e-7 * (dim + 16) * (np.linalg.norm(originals, axis=1).max() + np.linalg.norm(centre)))
         at = 0
         while at < len(held):
             piece = slice(at, at + look)
@@ -161,11 +164,14 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, blocks: list[tuple], cent
             reach = (turned @ signs.T) * factor
             reach += np.outer(length, width * np.float32(epsilon))
             reach += base
-            reach += (level + slack)[:, None] + slack[:, None] * (factor * np.float32(np.sqrt(dim)))
-            query, found = np.nonzero((reach >= best.worst[:, None]) & (held[piece][None, :] != ids[:, None]))
+            reach += (level + slack)[:, None]
+            query, found = np.nonzero(~(reach < best.worst[:, None]) & (held[piece][None, :] != ids[:, None]))  # also what no estimate fits
             reranked += len(query)
-            scores = np.concatenate([np.zeros(0)] + [products(vectors[query[i : i + _PAIRS]], originals[piece][found[i : i + _PAIRS]].astype(np.float64)) for i in range(0, len(query), _PAIRS)])
-            best.add(query, held[piece][found], scores)
+            for i in range(0, len(query), _PAIRS):
+                q, f = query[i : i + _PAIRS], found[i : i + _PAIRS]
+                near = ~(np.einsum("ij,ij->i", rough[q], originals[piece][f]) < best.worst[q] - slack[q])
+                q, f = q[near], f[near]
+                best.add(q, held[piece][f], products(vectors[q], originals[piece][f].astype(np.float64)))
             at += look
             look = min(2 * look, _INDEX_ROWS)
     return best, reranked
