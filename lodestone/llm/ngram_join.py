@@ -33,13 +33,14 @@ ids where they number at most ``max_broadcast_rows``; beyond that they are joine
 Defined results: a null or blank text has an empty set and links with nothing; a
 text of fewer words than ``n`` has one shingle, its whole sequence; rows without an id link
 with nothing and get a null component; of a repeated id every text takes part, and its rows get
-the smallest component that any of them reaches.  Shingles are compared as 64-bit hashes within a pair of documents,
-equality of texts by 128 bits.
+the smallest component that any of them reaches.  Equality of texts is decided by 128 bits.  Shingles are compared as 64-bit
+hashes of both hashes of their words, under a key drawn for each run: no text can be made so that its shingles agree with another's.
 """
 
 from __future__ import annotations
 
 import hashlib
+import secrets
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -48,7 +49,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._spark import checkpointed, free_names, pieces, shuffle_width
+from lodestone.llm._spark import checkpointed, free_names, pieces
 from lodestone.llm._words import SPACED_LOWER, U64, WordClass, mix, text_slices, wide_hashes, window_hashes
 from lodestone.llm.components import connected_components
 
@@ -60,7 +61,9 @@ MAX_FREQUENT = 200_000
 #: How often a batch must hold a token for it to be counted.
 REPEATED = 4
 #: Prefix tokens a bucket holds: the first as long as buckets number no more than ``MANY_BUCKETS``, then up to the second.
-BUCKET_BYTES, MOST_BUCKET_BYTES, MANY_BUCKETS = 8 << 20, 128 << 20, 32_768
+#: A task works through its bucket by slices of ``SLICE_TOKENS``, and a pair is one row of a bucket, whatever the number of its common tokens there.
+BUCKET_BYTES, MOST_BUCKET_BYTES, MANY_BUCKETS = 32 << 20, 128 << 20, 32_768
+SLICE_TOKENS = 1 << 20
 MAX_BROADCAST_ROWS = 500_000
 _PIVOTS = 16
 _BLOCK_PIVOTS = 8
@@ -85,13 +88,22 @@ def _digest(one: np.ndarray, two: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
 
 
-def shingle_builder(n: int, kind: WordClass = SPACED_LOWER):
-    """A function from a text column to each row's set and the digest of its word sequence."""
+def keyed(one: np.ndarray, two: np.ndarray, key: tuple[int, int]) -> np.ndarray:
+    """64 bits of both hashes of each word under a secret key: which words agree in them can't be known beforehand.
+
+    Words that differ in one hash only never agree.
+    """
+    return mix(one ^ U64(key[0])) + mix(two ^ U64(key[1])) * U64(0x9E3779B97F4A7C15)
+
+
+def shingle_builder(n: int, kind: WordClass = SPACED_LOWER, key: tuple[int, int] | None = None):
+    """A function from a text column to each row's set and the digest of its word sequence; shingles are hashed under ``key``, by default one drawn here."""
+    key = key or (secrets.randbits(64), secrets.randbits(64))
 
     def build(column: pa.Array) -> tuple[list[np.ndarray], list[tuple]]:
         words, seconds, bounds = wide_hashes(column, kind)
         keys = [_digest(words[i:j], seconds[i:j]) if j > i else (None, None) for i, j in zip(bounds[:-1], bounds[1:])]
-        return shingle_sets(words, bounds, n), keys
+        return shingle_sets(keyed(words, seconds, key), bounds, n), keys
 
     return build
 
@@ -268,6 +280,40 @@ def _once(tokens: np.ndarray, nodes: np.ndarray, counts: np.ndarray) -> np.ndarr
     return keep
 
 
+def _merged(a: np.ndarray, b: np.ndarray, least: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, ...]:
+    """One record a pair: the lesser lead and the sum of what is common."""
+    order = np.lexsort((b, a))
+    a, b, least, common = a[order], b[order], least[order], common[order]
+    at = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))) if len(a) else np.zeros(0, np.int64)
+    return a[at], b[at], np.minimum.reduceat(least, at) if len(at) else least, np.add.reduceat(common, at) if len(at) else common
+
+
+def _slice_pairs(tokens: np.ndarray, node: np.ndarray, size: np.ndarray, lead: np.ndarray, percent: int, limit: int) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """Pairs with their lesser lead and common tokens from the short runs of some tokens; tokens, nodes and leads of the long ones."""
+    ordered = np.sort(tokens)
+    first, length = _runs(ordered)
+    repeated = ordered[first[length > 1]]
+    if len(repeated):
+        again = repeated[np.minimum(np.searchsorted(repeated, tokens), len(repeated) - 1)] == tokens
+        tokens, node, size, lead = tokens[again], node[again], size[again], lead[again]
+    else:
+        tokens, node, size, lead = tokens[:0], node[:0], size[:0], lead[:0]
+    order = np.lexsort((node, size, tokens))
+    tokens, node, size, lead = tokens[order], node[order], size[order].astype(np.int64), lead[order].astype(np.int64)
+    first, length = _runs(tokens)
+    long = np.repeat(length > limit, length)
+    few_t, few_n, few_s, few_l = tokens[~long], node[~long], size[~long], lead[~long]
+    a, b, least = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for step in range(1, min(limit, int(length.max(initial=0)), len(few_t))):
+        hit = (few_t[step:] == few_t[:-step]) & (100 * few_s[:-step] >= percent * few_s[step:]) & (few_n[step:] != few_n[:-step])
+        i = np.flatnonzero(hit)
+        a.append(np.minimum(few_n[i], few_n[i + step]))
+        b.append(np.maximum(few_n[i], few_n[i + step]))
+        least.append(np.minimum(few_l[i], few_l[i + step]))
+    a, b, least = (np.concatenate(x) for x in (a, b, least))
+    return _merged(a, b, least, np.ones(len(a), np.int64)), (tokens[long], node[long], lead[long])
+
+
 def _count_runs(percent: int, limit: int):
     """Pairs, their common tokens and lesser lead, of the short runs; of the long ones (node, token) rows with a null ``common``."""
 
@@ -278,44 +324,24 @@ def _count_runs(percent: int, limit: int):
         per_node = [_joined(table[c], k) for c, k in (("nodes", np.int64), ("sizes", np.int32), ("leads", np.int32))]
         keep = _once(tokens, per_node[0], counts)
         tokens = tokens[np.repeat(keep, counts)]
-        node, size, lead = (np.repeat(x[keep], counts[keep]) for x in per_node)
-        ordered = np.sort(tokens)
-        first, length = _runs(ordered)
-        repeated = ordered[first[length > 1]]
-        if len(repeated):
-            again = repeated[np.minimum(np.searchsorted(repeated, tokens), len(repeated) - 1)] == tokens
-        else:
-            again = np.zeros(len(tokens), bool)
-        tokens, node, size, lead = tokens[again], node[again], size[again], lead[again]
-        order = np.lexsort((node, size, tokens))
-        tokens, node, size, lead = tokens[order], node[order], size[order], lead[order]
-        first, length = _runs(tokens)
-        long = np.repeat(length > limit, length)
-        a, b, least = [], [], []
-        few_t, few_n, few_s, few_l = tokens[~long], node[~long], size[~long].astype(np.int64), lead[~long].astype(np.int64)
-        for step in range(1, min(limit, int(length.max(initial=0)))):
-            if step >= len(few_t):
-                break
-            hit = (few_t[step:] == few_t[:-step]) & (100 * few_s[:-step] >= percent * few_s[step:]) & (few_n[step:] != few_n[:-step])
-            i = np.flatnonzero(hit)
-            a.append(few_n[i])
-            b.append(few_n[i + step])
-            least.append(np.minimum(few_l[i], few_l[i + step]))
-        empty = np.zeros(0, np.int64)
-        a, b, least = (np.concatenate(x) if x else empty for x in (a, b, least))
-        a, b = np.minimum(a, b), np.maximum(a, b)
-        order = np.lexsort((least, b, a))
-        a, b, least = a[order], b[order], least[order]
-        new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.zeros(0, bool)
-        at = np.flatnonzero(new)
-        common = np.diff(np.append(at, len(a)))
-        dear = ((tokens[long].astype(np.int64) << 24) ^ bucket) | np.int64(-(1 << 62))
+        owner = np.repeat(np.flatnonzero(keep).astype(np.int32), counts[keep])
+        n_slices = pieces(len(tokens), SLICE_TOKENS)
+        slice_of = ((tokens.astype(U64) * U64(n_slices)) >> U64(32)).astype(np.int32)
+        found, dear = [], []
+        for nth in range(n_slices):
+            here = np.flatnonzero(slice_of == nth)
+            pairs, long = _slice_pairs(tokens[here], *(x[owner[here]] for x in per_node), percent, limit)
+            found.append(pairs)
+            dear.append(long)
+        a, b, least, common = _merged(*(np.concatenate(x) for x in zip(*found)))
+        long_t, long_n, long_l = (np.concatenate(x) for x in zip(*dear))
+        dear = ((long_t.astype(np.int64) << 24) ^ bucket) | np.int64(-(1 << 62))
         return pa.table(
             {
-                "a": pa.array(np.concatenate((a[at], node[long]))),
-                "b": pa.array(np.concatenate((b[at], dear))),
-                "lead": pa.array(np.concatenate((least[at], lead[long].astype(np.int64)))),
-                "common": pa.concat_arrays([pa.array(common.astype(np.int64)), pa.nulls(int(long.sum()), pa.int64())]),
+                "a": pa.array(np.concatenate((a, long_n))),
+                "b": pa.array(np.concatenate((b, dear))),
+                "lead": pa.array(np.concatenate((least, long_l.astype(np.int64)))),
+                "common": pa.concat_arrays([pa.array(common), pa.nulls(len(dear), pa.int64())]),
             }
         )
 
@@ -523,7 +549,7 @@ def set_components(
 
     # A batch sends each bucket one row, so on very large inputs buckets grow in size rather than in number.
     each = max(BUCKET_BYTES, min(MOST_BUCKET_BYTES, n_tokens * 4 // MANY_BUCKETS))
-    n_buckets = pieces(n_tokens * 4, each, shuffle_width(spark))
+    n_buckets = pieces(n_tokens * 4, each, 2 * spark.sparkContext.defaultParallelism)
     prefixes = docs.mapInArrow(
         _prefixes(build, percent, model, run, n_buckets, by_size, frequent), "bucket int, tokens binary, nodes binary, sizes binary, leads binary, counts binary"
     )

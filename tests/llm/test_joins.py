@@ -4,6 +4,8 @@ import hashlib
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -355,3 +357,37 @@ def test_likeness():
     a, b = np.array([1, 2, 3], np.uint32), np.array([2, 3, 4, 5], np.uint32)
     assert likeness(a, b) == 2 / 5 and likeness(a, a) == 1.0 and likeness(a, b, least=0.8) == 0.0
     assert likeness(a[:0], a[:0]) == 1.0 and likeness(a, a[:0]) == 0.0
+
+
+def _colliding_words():
+    """Two texts of five words each, none in common, whose words agree in the first hash of theirs."""
+    import struct
+
+    from lodestone.llm._words import U64, mix
+
+    start = int(mix(np.array([16 * 0x9E3779B97F4A7C15 % (1 << 64)], U64))[0])
+    after = lambda lane: int(mix(np.array([start ^ lane], U64))[0])
+    rnd, texts, printable = random.Random(1), ([], []), lambda b: all(33 <= x < 127 and not 65 <= x <= 90 for x in b)
+    while len(texts[0]) < 5:
+        word = bytes(rnd.choice(b"abcdefghijklmnop") for _ in range(16))
+        one, two = struct.unpack("<QQ", word)
+        for _ in range(40_000):
+            other = bytes(rnd.choice(b"abcdefghijklmnopqrstuvwxyz") for _ in range(8))
+            second = struct.pack("<Q", after(one) ^ two ^ after(struct.unpack("<Q", other)[0]))
+            if printable(second):
+                texts[0].append(word.decode())
+                texts[1].append((other + second).decode())
+                break
+    return " ".join(texts[0]), " ".join(texts[1])
+
+
+def test_words_that_agree_in_one_hash(documents):
+    from lodestone.llm._words import SPACED_LOWER, word_hashes
+
+    texts = _colliding_words()
+    assert not set(texts[0].split()) & set(texts[1].split())
+    hashes, at = word_hashes(pa.array(texts), SPACED_LOWER)
+    assert (hashes[at[0] : at[1]] == hashes[at[1] : at[2]]).all()
+    rows = [(1, texts[0]), (2, texts[1]), (3, texts[1].upper())]
+    got = {r["doc_id"]: r["component_id"] for r in ngram_components(documents(rows)).collect()}
+    assert got == {1: 1, 2: 2, 3: 2}
