@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from lodestone.llm._spark import free_names, pieces
+from lodestone.llm._words import text_slices
 
 BLOCK_BYTES = 4 << 20
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 0x80 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -111,7 +112,7 @@ def _scan(shared, window: int, width: int, first: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = _automaton(shared, window)
-        for batch in batches:
+        for batch in text_slices(batches, column="c0"):
             rows: tuple[list, list, list] = ([], [], [])
             before = [None] * len(batch) if first else list(zip(*(batch.column(width + i).to_pylist() for i in (1, 2))))
             for text, old in zip(batch.column(0), before):

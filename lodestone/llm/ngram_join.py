@@ -24,7 +24,9 @@ connected component.
    the documents that could be its partners through them.
 4. *Candidate groups.*  The components of those edges.  Every candidate's whole
    set travels once, to its group's task, where exact intersections are
-   counted.  Groups beyond ``group_tokens`` or ``group_rows`` are matched block by block.
+   counted.  Texts of groups beyond ``group_tokens`` or ``group_rows`` first go through steps 2 and 3 among themselves, with the counts of
+   tokens among them: passages that many of them share then come last in the order, and groups that only such passages held together fall apart.
+   What stays large are mostly copies of one text: a few pivots are held against all of a group, and then what they left unconnected, block by block.
 
 Nothing is dropped: counts change the order, the leads and the route, not the result.
 Only broadcast: the counted tokens, at most ``max_frequent``, and the candidates'
@@ -64,6 +66,8 @@ REPEATED = 4
 #: A task works through its bucket by slices of ``SLICE_TOKENS``, and a pair is one row of a bucket, whatever the number of its common tokens there.
 BUCKET_BYTES, MOST_BUCKET_BYTES, MANY_BUCKETS = 32 << 20, 128 << 20, 32_768
 SLICE_TOKENS = 1 << 20
+#: Tokens of large groups that one task counts.
+COUNTED_BYTES = 32 << 20
 MAX_BROADCAST_ROWS = 500_000
 _PIVOTS = 16
 _BLOCK_PIVOTS = 8
@@ -348,6 +352,39 @@ def _count_runs(percent: int, limit: int):
     return run
 
 
+def _texts(build):
+    """Texts of the candidates, with the upper half of their digest; a row whose text isn't that of its class goes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches):
+            _, keys = build(batch.column("text"))
+            want = zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist())
+            rows = pa.array([r for r, k in enumerate(want) if keys[r] == k], pa.int64())
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("rep").take(rows), "text": batch.column("text").take(rows)})
+
+    return run
+
+
+def _repeats(build):
+    """Tokens that several classes of a whole partition hold, with their number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple] = set()
+        held = []
+        for batch in text_slices(batches):
+            for tokens, key in zip(*build(batch.column("text"))):
+                if len(tokens) and key not in seen:
+                    seen.add(key)
+                    held.append(tokens)
+        if held:
+            tokens = np.sort(np.concatenate(held))
+            first, length = _runs(tokens)
+            several = length > 1
+            yield pa.RecordBatch.from_pydict({"token": pa.array(tokens[first[several]].view(np.int64)), "size": pa.array(length[several].astype(np.int64))})
+
+    return run
+
+
 def _sets(build):
     """Whole sets of the candidates; a row whose text isn't that of its class goes."""
 
@@ -497,9 +534,13 @@ def _match(queries: DataFrame, members: DataFrame, percent: int) -> DataFrame:
 def _link_large(sets: DataFrame, percent: int, group_tokens: int, group_rows: int) -> DataFrame:
     """``rep, root`` of groups too large for one task: a few pivots against all blocks, then what they left unconnected."""
     half = max(1, group_tokens // 2)
-    sets = sets.withColumn("size", F.octet_length("tokens") / 8)
-    blocks = sets.groupBy("part").agg(F.greatest(F.ceil(F.sum("size") / half), F.ceil(F.count(F.lit(1)) / max(1, group_rows // 2))).alias("n_blocks"))
-    sets = checkpointed(sets.join(blocks, "part").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int")))
+
+    def blocked(some: DataFrame) -> DataFrame:
+        """In blocks by tokens and rows, as many as these sets need."""
+        blocks = some.groupBy("part").agg(F.greatest(F.ceil(F.sum("size") / half), F.ceil(F.count(F.lit(1)) / max(1, group_rows // 2))).alias("n_blocks"))
+        return checkpointed(some.join(blocks, "part").select("part", "rep", "tokens", "size", F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int").alias("block")))
+
+    sets = blocked(sets.withColumn("size", F.octet_length("tokens") / 8))
     # Pivots: the smallest of each of a few classes of a hash, so any aggregation of them is bounded.
     pivots = sets.groupBy("part", F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(_BLOCK_PIVOTS)).alias("nth")).agg(F.min("rep").alias("rep")).drop("nth")
     queries = sets.join(pivots, ["part", "rep"], "left_semi").withColumn("block", F.lit(0))
@@ -509,7 +550,7 @@ def _link_large(sets: DataFrame, percent: int, group_tokens: int, group_rows: in
     count = state.groupBy("part", "root").count()
     largest = count.groupBy("part").agg(F.max_by("root", F.struct("count", "root")).alias("root"))
     rest = state.join(largest, ["part", "root"], "left_anti").select("part", "rep")
-    second = _match(sets.join(rest, ["part", "rep"], "left_semi"), sets, percent)
+    second = _match(blocked(sets.drop("block").join(rest, ["part", "rep"], "left_semi")), sets, percent)
     return connected_components(first.unionByName(second)).select(F.col("node").alias("rep"), "root")
 
 
@@ -542,39 +583,55 @@ def set_components(
     found = checkpointed(docs.mapInArrow(_digests(build), "doc_id long, k1 long, k2 long, size long, token long"))
     digests = found.filter("token is null").drop("token")
     n_tokens = digests.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    often = found.filter("token is not null").groupBy("token").agg(F.sum("size").alias("count")).orderBy(F.desc("count"), "token").limit(max_frequent).toArrow()
-    tokens = often["token"].to_numpy().astype(np.int64).view(U64)
-    order = np.argsort(tokens)
-    frequent = spark.sparkContext.broadcast((tokens[order].tobytes(), often["count"].to_numpy().astype(np.int64)[order].tobytes()))
-
-    # A batch sends each bucket one row, so on very large inputs buckets grow in size rather than in number.
-    each = max(BUCKET_BYTES, min(MOST_BUCKET_BYTES, n_tokens * 4 // MANY_BUCKETS))
-    n_buckets = pieces(n_tokens * 4, each, 2 * spark.sparkContext.defaultParallelism)
-    prefixes = docs.mapInArrow(
-        _prefixes(build, percent, model, run, n_buckets, by_size, frequent), "bucket int, tokens binary, nodes binary, sizes binary, leads binary, counts binary"
-    )
-    counted = checkpointed(prefixes.repartition(n_buckets, "bucket").groupBy("bucket").applyInArrow(_count_runs(percent, run), "a long, b long, lead long, common long"))
-    dear = counted.filter("common is null").select(F.col("a").alias("node"), F.col("b").alias("token"), "lead")
-    held = checkpointed(dear.groupBy("node").agg(F.count(F.lit(1)).alias("dear"), F.min("lead").alias("lead")))
-    pairs = counted.filter("common is not null").groupBy("a", "b").agg(F.sum("common").alias("common"), F.min("lead").alias("lead"))
-    for side in ("a", "b"):
-        pairs = pairs.join(held.select(F.col("node").alias(side), F.col("dear").alias(f"dear_{side}")), side, "left")
-    shown = F.col("lead") - F.least(F.coalesce("dear_a", F.lit(0)), F.coalesce("dear_b", F.lit(0)))
-    pairs = pairs.filter(F.col("common") >= F.greatest(F.lit(1), shown))
-    # A link whose common prefix tokens are all dear has an end with as many dear ones as its lead; the other end has as many as that lead too.
-    placed = checkpointed(dear.select("node", "token").join(held, "node"))
-    floors = placed.filter("dear >= lead").groupBy("token").agg(F.min("lead").alias("floor"))
-    attached = placed.join(floors, "token").filter("dear >= floor").select(F.col("node").alias("a"), F.col("token").alias("b"))
     classes = checkpointed(digests.filter("size > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("size").alias("size")))
-    twins = classes.groupBy("k1").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("k1").alias("a"), F.col("k1").alias("b"))  # classes that share a node
-    groups = connected_components(pairs.select("a", "b").unionByName(attached).unionByName(twins))
-
-    members = checkpointed(groups.join(classes, F.col("node") == F.col("k1")).select(F.col("root").alias("part"), "rep", "k1", "k2", "size"))
-    wide = members.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("tokens")).filter("n > 1")
-    members = checkpointed(members.join(wide.select("part", ((F.col("tokens") > group_tokens) | (F.col("n") > group_rows)).alias("large")), "part"))
+    twins = checkpointed(classes.groupBy("k1").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("k1").alias("a"), F.col("k1").alias("b")))  # classes that share a node
+
+    def grouped(texts: DataFrame, tokens: DataFrame, n_tokens: int) -> DataFrame:
+        """``node, root``: the components of candidates among the texts, by leads that these tokens' counts choose."""
+        often = tokens.groupBy("token").agg(F.sum("size").alias("count")).orderBy(F.desc("count"), "token").limit(max_frequent).toArrow()
+        known = often["token"].to_numpy().astype(np.int64).view(U64)
+        order = np.argsort(known)
+        frequent = spark.sparkContext.broadcast((known[order].tobytes(), often["count"].to_numpy().astype(np.int64)[order].tobytes()))
+        # A batch sends each bucket one row, so on very large inputs buckets grow in size rather than in number.
+        each = max(BUCKET_BYTES, min(MOST_BUCKET_BYTES, n_tokens * 4 // MANY_BUCKETS))
+        n_buckets = pieces(n_tokens * 4, each, 2 * spark.sparkContext.defaultParallelism)
+        prefixes = texts.mapInArrow(
+            _prefixes(build, percent, model, run, n_buckets, by_size, frequent), "bucket int, tokens binary, nodes binary, sizes binary, leads binary, counts binary"
+        )
+        counted = checkpointed(prefixes.repartition(n_buckets, "bucket").groupBy("bucket").applyInArrow(_count_runs(percent, run), "a long, b long, lead long, common long"))
+        dear = counted.filter("common is null").select(F.col("a").alias("node"), F.col("b").alias("token"), "lead")
+        held = checkpointed(dear.groupBy("node").agg(F.count(F.lit(1)).alias("dear"), F.min("lead").alias("lead")))
+        pairs = counted.filter("common is not null").groupBy("a", "b").agg(F.sum("common").alias("common"), F.min("lead").alias("lead"))
+        for side in ("a", "b"):
+            pairs = pairs.join(held.select(F.col("node").alias(side), F.col("dear").alias(f"dear_{side}")), side, "left")
+        shown = F.col("lead") - F.least(F.coalesce("dear_a", F.lit(0)), F.coalesce("dear_b", F.lit(0)))
+        pairs = pairs.filter(F.col("common") >= F.greatest(F.lit(1), shown))
+        # A link whose common prefix tokens are all dear has an end with as many dear ones as its lead; the other end has as many as that lead too.
+        placed = checkpointed(dear.select("node", "token").join(held, "node"))
+        floors = placed.filter("dear >= lead").groupBy("token").agg(F.min("lead").alias("floor"))
+        attached = placed.join(floors, "token").filter("dear >= floor").select(F.col("node").alias("a"), F.col("token").alias("b"))
+        return connected_components(pairs.select("a", "b").unionByName(attached).unionByName(twins))
+
+    def sized(members: DataFrame) -> DataFrame:
+        """Members of groups of several, and whether their group is too large for one task."""
+        wide = members.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("tokens")).filter("n > 1")
+        return checkpointed(members.join(wide.select("part", ((F.col("tokens") > group_tokens) | (F.col("n") > group_rows)).alias("large")), "part"))
+
+    def texts_of(some: DataFrame, n: int) -> DataFrame:
+        return docs.join(F.broadcast(some) if n <= max_broadcast_rows else some, F.col("doc_id") == F.col("rep")).select("text", "rep", "k1", "k2", "part", "large")
+
+    groups = grouped(docs, found.filter("token is not null"), n_tokens)
+    members = sized(groups.join(classes, F.col("node") == F.col("k1")).select(F.col("root").alias("part"), "rep", "k1", "k2", "size"))
+    # Of large groups the texts are grouped once more, by the counts of tokens among themselves.
+    large = members.filter("large")
+    n_large, tokens = large.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    if n_large:
+        again = checkpointed(texts_of(large, n_large).mapInArrow(_texts(build), "doc_id long, text string").repartition(pieces(tokens * 8, COUNTED_BYTES), "doc_id"))
+        groups = grouped(again, again.mapInArrow(_repeats(build), "token long, size long"), tokens)
+        finer = groups.join(large.drop("part", "large"), F.col("node") == F.col("k1")).select(F.col("root").alias("part"), "rep", "k1", "k2", "size")
+        members = checkpointed(members.filter("not large").unionByName(sized(finer).select(*members.columns)))
     n_members, any_large = members.agg(F.count(F.lit(1)), F.coalesce(F.max("large"), F.lit(False))).first()
-    asked = F.broadcast(members) if n_members <= max_broadcast_rows else members
-    sets = docs.join(asked, F.col("doc_id") == F.col("rep")).select("text", "rep", "k1", "k2", "part", "large")
+    sets = texts_of(members, n_members)
 
     def whole(large: bool) -> DataFrame:
         return sets.filter(F.col("large") == large).mapInArrow(_sets(build), "part long, rep long, tokens binary")

@@ -5,8 +5,8 @@ or two words between.  Training keeps a step size of its own for every
 coordinate, and its L1 term leaves most coordinates at exactly zero, so the
 model is a short list of (coordinate, weight) that every task receives.
 
-The classifier is fitted in one task on at most ``max_rows`` labelled rows (in the
-order of a hash of their ids), a bound that doesn't grow with the corpus; every document
+The classifier is fitted in one task on at most ``max_rows`` labelled documents with ``max_bytes`` of text (in the
+order of a hash of their ids, each once), bounds that don't grow with the corpus; every document
 is scored over its whole text.  The scorer sees the text alone.
 
 Defined results: a null or empty text has no features and scores the bias; a
@@ -26,10 +26,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lodestone.llm._spark import checkpointed
-from lodestone.llm._words import PLAIN_LOWER, U64, mix, text_slices, word_hashes
+from lodestone.llm._words import PLAIN_LOWER, U64, mix, text_slices, utf8, word_hashes
 
 BITS = 24
-MAX_ROWS = 16_000
+#: Bounds of what is learned from: labelled documents, and bytes of their texts.
+MAX_ROWS, MAX_BYTES = 16_000, 64 << 20
 #: Multipliers of the first word of a pair, by the number of words between the two.
 _GAPS = {1: 0x9E3779B97F4A7C15, 2: 0xC2B2AE3D27D4EB4F, 3: 0x165667B19E3779F9}
 
@@ -83,13 +84,21 @@ def fit(rows: list[tuple[np.ndarray, int]], settings: Settings) -> tuple[np.ndar
     return used, weights(z[used], n[used]), float(bias)
 
 
-def _fit_rows(settings: Settings):
+def _fit_rows(settings: Settings, max_bytes: int):
+    """Fits a model to the rows as they come, up to the first whose text would go beyond ``max_bytes``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple[np.ndarray, int]] = []
+        left = max_bytes
         for batch in text_slices(batches):
-            words, bounds = word_hashes(batch.column("text"), PLAIN_LOWER)
+            sizes = np.cumsum(np.diff(utf8(batch.column("text"))[1]))
+            fits = int(np.searchsorted(sizes, left, side="right"))
+            words, bounds = word_hashes(batch.column("text").slice(0, fits), PLAIN_LOWER)
             labels = batch.column("label").to_pylist()
             rows += [(features(words[i:j]), y) for i, j, y in zip(bounds[:-1], bounds[1:], labels)]
+            if fits < len(sizes):
+                break
+            left -= int(sizes[-1])
         if rows:
             at, weights, bias = fit(rows, settings)
             yield pa.RecordBatch.from_pydict(
@@ -133,8 +142,11 @@ def learnable(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(5)) != 0
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = MAX_ROWS, settings: Settings = Settings()) -> Model:
-    """A model of at most ``max_rows`` labelled documents, held-out ones excepted."""
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES, settings: Settings = Settings()) -> Model:
+    """A model of at most ``max_rows`` labelled documents with ``max_bytes`` of text, held-out ones excepted.
+
+    Documents are taken in the order of their ids' hashes; of those that repeat an id the least text is taken.
+    """
     order = F.xxhash64("id")
     taught = (
         labels.select(F.col("doc_id").cast("long").alias("id"), F.col(label).cast("int").alias("label"))
@@ -147,12 +159,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: in
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     rows = (
         texts.join(F.broadcast(checkpointed(taught)), "id")  # max_rows ids and labels
-        .withColumn("order", order)
+        .groupBy("id", "label")
+        .agg(F.min("text").alias("text"))
         .repartition(1)
-        .sortWithinPartitions("order", "id", "text")
+        .sortWithinPartitions(order, "id")
         .select("text", "label")
     )
-    found = rows.mapInArrow(_fit_rows(settings), "at binary, weights binary, bias double").collect()  # one row of at most 2 ** BITS weights
+    found = rows.mapInArrow(_fit_rows(settings, max_bytes), "at binary, weights binary, bias double").collect()  # one row of at most 2 ** BITS weights
     if not found:
         return Model(np.zeros(0, np.int64), np.zeros(0), None)
     return Model(np.frombuffer(found[0]["at"], np.int64), np.frombuffer(found[0]["weights"], np.float64), found[0]["bias"])

@@ -153,13 +153,13 @@ def test_clashing_names_and_maps_can_be_written(spark, documents, awkward, tmp_p
 
 def test_queries_and_sql():
     assert set(registered.oracle_sql()) <= set(registered.queries())
-    assert {int(n[2:].split("_")[0]) for n in registered.queries()} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in registered.queries()} == set(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(registered.oracle_sql()))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "pages", "benchmark"):
+    for table in ("documents", "pages", "benchmark", "labels", "embeddings"):
         con.execute(f"create view {table} as select * from '{SMALL}/{table}.parquet'")
     found = con.execute(registered.oracle_sql()[name])
     columns = [c[0] for c in found.description]
@@ -188,6 +188,36 @@ def test_pipeline(spark):
     assert out.columns[: len(docs.columns)] == docs.columns
 
 
+def test_pipeline_of_awkward_tables(spark, awkward, tmp_path):
+    """Nulls, repeated ids and rows, very long texts, columns whose names the stages use themselves, and empty tables."""
+    import corpus_pipeline as pipeline
+
+    bad = [(100 + i, f"you utter scum number {i} of all the idiots here") for i in range(40)]
+    good = [(200 + i, f"a calm remark number {i} about gardens, rain and {i} kinds of moss") for i in range(60)]
+    leak = "which planet of the sun is the largest of them all then"
+    rows = [*awkward, *bad, *good, (300, f"text before {leak} text after"), (301, "twin of one text that stands here twice with all of its words"), (302, "twin of one text that stands here twice with all of its words")]
+    docs = spark.createDataFrame([(i, t, None if i == 200 else "en", "src0", None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for name in ("toxicity_score", "row_id", "hit_words", "mix_epoch", "Shard", "size"):
+        docs = docs.withColumn(name, F.lit("mine"))
+    labels = spark.createDataFrame([(i, 1, 1) for i, _ in bad] + [(i, 1, 0) for i, _ in good] + [(None, 1, 1), (200, None, None)], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([(1, leak), (2, None), (3, "")], "item_id long, text string")
+    for folder, table in ((tmp_path / "full", lambda t: t), (tmp_path / "empty", lambda t: t.limit(0))):
+        for name, df in (("documents", docs), ("labels", labels), ("benchmark", items)):
+            table(df).write.parquet(f"{folder}/{name}.parquet")
+    out = pipeline.run(spark, str(tmp_path / "full"))
+    assert out.columns[: len(docs.columns)] == docs.columns
+    got = Counter(r["doc_id"] for r in out.collect())
+    folder, kept = str(tmp_path / "full"), docs
+    for _, stage in pipeline.STAGES[:3]:
+        kept = stage(spark, kept, folder)
+    kept = {r["doc_id"] for r in kept.select("doc_id").collect()}
+    assert not {i for i, _ in bad} & kept and not {300, 302} & kept
+    assert {i for i, _ in good} | {301, 9, 10, -3} <= kept
+    assert set(got) <= kept and len(set(got)) > len(kept) // 2  # a full epoch of small leaves, a part of large ones
+    assert set(out.select("toxicity_score", "row_id", "hit_words", "mix_epoch", "Shard", "size").distinct().collect()) == {("mine",) * 6}
+    assert pipeline.run(spark, str(tmp_path / "empty")).count() == 0
+
+
 def test_nothing_else_imports_it():
     root = Path(__file__).resolve().parents[2]
     for file in (root / "lodestone").rglob("*.py"):

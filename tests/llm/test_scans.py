@@ -67,6 +67,26 @@ def test_contamination_offsets(spark, documents):
     assert contamination(documents([]), none).count() == 0
 
 
+def test_training_is_bounded(spark, documents):
+    """Rows that repeat an id are one document, and texts beyond the bound of bytes aren't learned from."""
+    from lodestone.llm.toxicity import train
+
+    rows = [(i, f"{'scum' if i % 3 == 0 else 'moss'} and word{i} here " * 3) for i in range(60)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    once, often = train(documents(rows), labels), train(documents(rows + [rows[1]] * 3000 + [rows[3]] * 3000), labels)
+    assert (once.at == often.at).all() and (once.weights == often.weights).all() and once.bias == often.bias
+    assert train(documents(rows), labels, max_bytes=10).bias is None
+    assert train(documents(rows), labels, max_bytes=400).bias not in (None, once.bias)
+
+
+def test_contamination_of_long_texts(spark, documents):
+    long = "filler words without end " * 400_000
+    rows = [(1, long), (2, f"{long}short question"), (3, "short question")] + [(10 + i, long[:2_000_000]) for i in range(5)]
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    got = {r["doc_id"]: r["n_hit"] for r in contamination(documents(rows), items).collect()}
+    assert got == {1: 0, 2: 2, 3: 2} | {10 + i: 0 for i in range(5)}
+
+
 def test_toxicity(spark, documents, awkward):
     rnd = random.Random(4)
     vocabulary = [f"word{i}" for i in range(400)]
