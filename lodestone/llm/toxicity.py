@@ -95,7 +95,7 @@ def _fit_rows(settings: Settings, max_bytes: int):
             fits = int(np.searchsorted(sizes, left, side="right"))
             words, bounds = word_hashes(batch.column("text").slice(0, fits), PLAIN_LOWER)
             labels = batch.column("label").to_pylist()
-            rows += [(features(words[i:j]), y) for i, j, y in zip(bounds[:-1], bounds[1:], labels)]
+            rows += [(features(words[i:j]).astype(np.int32), y) for i, j, y in zip(bounds[:-1], bounds[1:], labels)]
             if fits < len(sizes):
                 break
             left -= int(sizes[-1])
