@@ -1,4 +1,4 @@
-"""Readable text of HTML pages, with the standard library's parser."""
+"""Readable text and links of HTML pages, with the standard library's parser."""
 
 from __future__ import annotations
 
@@ -96,13 +96,66 @@ def page_text(page: Column) -> Column:
     return extract(page)
 
 
+class _Links(HTMLParser):
+    """Anchors with an address, in order; an anchor's text goes to its end tag, to the next anchor (which implies it) or to the page's end."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.links: list[tuple[str, str]] = []
+        self.base: str | None = None
+        self.href: str | None = None
+        self.parts: list[str] = []
+
+    def _end(self) -> None:
+        if self.href is not None:
+            self.links.append((self.href, "".join(self.parts).strip()))
+        self.href, self.parts = None, []
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag not in ("a", "base"):
+            return
+        href = next((v or "" for k, v in attrs if k == "href"), None)  # the first of an attribute counts
+        href = None if href is None else href.strip()
+        if tag == "base":
+            self.base = href if self.base is None else self.base
+        else:
+            self._end()
+            self.href = href
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag == "a":
+            self._end()
+
+    def handle_data(self, data: str) -> None:
+        if self.href is not None:
+            self.parts.append(data)
+
+
+def found_links(page: str) -> tuple[str | None, list[tuple[str, str]]]:
+    """The page's base address, if it names one, and its links with their texts."""
+    parser = _Links()
+    parser.feed(page)
+    parser.close()
+    parser._end()
+    return parser.base, parser.links
+
+
 def page_links(page: Column) -> Column:
-    """Links of a page in order: ``array<struct<href, text>>``."""
-    found = F.regexp_extract_all(page, F.lit(r'(?s)(<a\s[^>]*?href="[^"]*"[^>]*>.*?</a>)'), F.lit(1))
-    return F.transform(
-        found,
-        lambda a: F.struct(
-            F.regexp_extract(a, r'href="([^"]*)"', 1).alias("href"),
-            F.trim(F.regexp_replace(F.regexp_extract(a, r"(?s)^<a[^>]*>(.*?)</a>", 1), "<[^>]*>", "")).alias("text"),
-        ),
-    )
+    """Links of a page in order: ``array<struct<href, text, base>>``.
+
+    Tags are read by a tokeniser: any case, quoted either way or not at all, character references decoded.  ``base`` is the address that
+    relative links of the page start from, where it names one.  A null page, and one that can't be parsed, has no links.
+    """
+
+    @F.pandas_udf("array<struct<href string, text string, base string>>")
+    def extract(pages: pd.Series) -> pd.Series:
+        rows = []
+        for page in pages:
+            try:
+                base, links = found_links(page or "")
+                rows.append([{"href": h, "text": t, "base": base} for h, t in links])
+            except Exception:  # whatever the parser raises
+                rows.append([])
+        return pd.Series(rows)
+
+    return extract(page)

@@ -36,10 +36,10 @@ API_WORDS = ("doc", "reference", "guide", "manual", "example", "spec", "v1", "v2
 API_ENDINGS = (".html", ".htm", "/")
 API_VERBS = r"/api/.*?/(get|post|put|delete|patch|resource)"
 IGNORED_EXTENSIONS = (
-    "jpg jpeg png gif bmp tif tiff ico webp svg css js json xml mp3 mp4 avi mov wmv flv mkv webm "
-    "woff woff2 ttf eot otf pdf zip tar gz rar 7z exe dmg iso bin msi doc docx xls xlsx ppt pptx "
-    "csv rtf odt ods odp txt log ini cfg sql db bak conf yaml yml toml"
-).split()
+    "jpg", "jpeg", "png", "gif", "bmp", "tif", "tiff", "ico", "webp", "svg", "css", "js", "json", "xml", "mp3", "mp4", "avi", "mov", "wmv", "flv", "mkv", "webm",
+    "woff", "woff2", "ttf", "eot", "otf", "pdf", "zip", "tar", "gz", "rar", "7z", "exe", "dmg", "iso", "bin", "msi", "doc", "docx", "xls", "xlsx", "ppt", "pptx",
+    "csv", "rtf", "odt", "ods", "odp", "txt", "log", "ini", "cfg", "sql", "db", "bak", "conf", "yaml", "yml", "toml",
+)
 
 _SCHEME = r"^([a-zA-Z][a-zA-Z0-9+.-]*):"
 _PARTS = r"^(?i:(https?)):(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
@@ -96,20 +96,38 @@ def normalize_url(url: Column) -> Column:
     return F.when(url.isNull() | ~scheme.isin("", "http", "https"), F.lit("")).otherwise(normal)
 
 
+def without_dots(path: Column) -> Column:
+    """A path that begins with a slash, its segments ``.`` and ``..`` applied; ``..`` at the root goes."""
+    segments = F.split(path, "/")
+    step = lambda kept, s: F.when(s == ".", kept).when(s == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(1)))).otherwise(F.array_append(kept, s))
+    kept = F.aggregate(F.slice(segments, 2, F.greatest(F.size(segments) - 1, F.lit(0))), F.array(F.lit("")), step)
+    ends = F.when(F.element_at(segments, -1).isin(".", ".."), F.lit("/")).otherwise(F.lit(""))
+    return F.when(path.rlike(r"/\.{1,2}(/|$)"), F.concat(F.array_join(kept, "/"), ends)).otherwise(path)
+
+
 def absolute_link(base: Column, href: Column) -> Column:
-    """A link on a page as a full url: absolute, scheme-relative, root-relative, query-only, fragment-only or relative."""
+    """A link on a page as a full url: absolute, scheme-relative, root-relative, query-only, fragment-only or relative.
+
+    Segments ``.`` and ``..`` of the latter kinds' paths are applied; a link with a host of its own is left as it is.
+    """
     origin = F.concat(url_part(base, 1), F.lit("://"), url_part(base, 2))
+    path, rest = F.regexp_extract(href, r"(?s)^([^?#]*)(.*)$", 1), F.regexp_extract(href, r"(?s)^([^?#]*)(.*)$", 2)
     folder = F.regexp_replace(F.when(url_part(base, 3) == "", F.lit("/")).otherwise(url_part(base, 3)), "[^/]*$", "")
     return (
         F.when(href.rlike(_SCHEME), href)
         .when(F.startswith(href, F.lit("//")), F.concat(url_part(base, 1), F.lit(":"), href))
-        .when(F.startswith(href, F.lit("/")), F.concat(origin, href))
+        .when(F.startswith(href, F.lit("/")), F.concat(origin, without_dots(path), rest))
         .when(F.startswith(href, F.lit("?")), F.concat(origin, url_part(base, 3), href))
         .when((href == "") | F.startswith(href, F.lit("#")), F.concat(F.regexp_replace(base, "#.*$", ""), href))
-        .otherwise(F.concat(origin, folder, href))
+        .otherwise(F.concat(origin, without_dots(F.concat(folder, path)), rest))
     )
 
 
+def page_base(url: Column, base: Column) -> Column:
+    """What relative links of a page start from: its own url, or the base that it names."""
+    return F.when(base.isNotNull(), absolute_link(url, base)).otherwise(url)
+
+
 def file_slug(text: Column, max_length: int = 40) -> Column:
     """A text as part of a file name; ``default`` where nothing is left."""
     bare = F.regexp_replace(F.coalesce(F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B"))), text), r"^[a-zA-Z][a-zA-Z0-9+.-]*://", "")

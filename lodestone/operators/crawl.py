@@ -67,7 +67,7 @@ def links_of(pages: DataFrame, keywords: tuple[str, ...] = U.RELEVANCE_KEYWORDS)
     """Every link of pages ``url, html, level``: source, normalised target, text, level and priority."""
     links = pages.select(F.col("url").alias("source_url"), "level", F.explode(page_links(F.col("html"))).alias("link"))
     # Step by step: nested into one another, these expressions would repeat their inputs many times over.
-    full = links.withColumn("url", U.absolute_link(F.col("source_url"), F.col("link.href")))
+    full = links.withColumn("url", U.absolute_link(U.page_base(F.col("source_url"), F.col("link.base")), F.col("link.href")))
     found = full.select("source_url", U.normalize_url(F.col("url")).alias("url"), F.col("link.text").alias("text"), (F.col("level") + 1).alias("level"))
     return found.filter("url <> ''").withColumn("priority", U.link_priority(F.col("url"), F.col("text"), keywords))
 

@@ -225,12 +225,24 @@ _SCORE = " + ".join(
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = _table(spark, sf_dir, "pages").select("page_id", "url", F.posexplode(page_links(F.col("html"))).alias("link_index", "link"))
-    target = U.absolute_link(F.col("url"), F.col("link.href"))
+    target = U.absolute_link(U.page_base(F.col("url"), F.col("link.base")), F.col("link.href"))
     return links.select(
         "page_id", "link_index", target.alias("link_url"), F.col("link.text").alias("link_text"), F.round(U.link_priority(target, F.col("link.text")), 6).alias("priority")
     )
 
 
+@_register(
+    "P15_relative_links",
+    f"""SELECT page_id, CAST(n - 1 AS INTEGER) AS link_index, regexp_extract(url, '^https?://[^/?#]*', 0) || regexp_extract(url, '^https?://[^/?#]*([^?#]*/)', 1)
+          || substr(regexp_extract(a, 'href="([^"]*)"', 1), 2) AS link_url FROM {_LINKS}""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages' links written as an author might: upper case, single quotes, relative to the page's folder through two others, with a fragment in a reference."""
+    loose = F.regexp_replace("html", 'href="/([^"]*)"', "HREF = './x/../y/.././$1'")
+    links = _table(spark, sf_dir, "pages").select("page_id", "url", F.posexplode(page_links(loose)).alias("link_index", "link"))
+    return links.select("page_id", "link_index", U.absolute_link(F.col("url"), F.col("link.href")).alias("link_url"))
+
+
 @_register(
     "J03_reverse_lookup_all",
     r"""WITH f AS (SELECT 'page' || page_id AS file, url FROM pages UNION ALL SELECT 'doc' || doc_id, 'https://example.org/doc/' || doc_id FROM documents),

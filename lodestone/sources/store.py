@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -56,17 +57,44 @@ class Conflict(RuntimeError):
     """Another writer has committed first, again and again."""
 
 
+class Damaged(RuntimeError):
+    """A manifest that can't be read."""
+
+
+def renamed(spark: SparkSession, source: str, target: str) -> bool:
+    """Gives a file another name unless that is taken, in one step; whether it did."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    source, target = jvm.org.apache.hadoop.fs.Path(source), jvm.org.apache.hadoop.fs.Path(target)
+    fs = source.getFileSystem(conf)
+    try:
+        if fs.getUri().getScheme() == "file":  # there a rename replaces, but a link doesn't
+            local = lambda p: jvm.java.nio.file.Path.of(fs.makeQualified(p).toUri())
+            jvm.java.nio.file.Files.createLink(local(target), local(source))
+        else:
+            context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf)
+            context.rename(source, target, spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
+        return True
+    except Py4JJavaError:
+        if fs.exists(target):
+            return False
+        raise
+
+
 class ChunkStore:
     """A chunk table in a folder, in parts by the hash of the source.
 
     A write makes new folders for the parts that it changes, and then one manifest, a small file with the
-    next number that names every part's folder.  A manifest is never changed: a reader takes the
-    one of the highest number that is complete and sees one version whole; of two writers the second finds its number taken and
-    starts again from the version that it lost to.  An unreadable manifest is passed over for the one before.
+    next number that names every part's folder.  It is written whole under another name and then given its number in one step
+    that fails where the number is taken (``commit``), and is never changed: a reader takes the one of the highest number and sees one version
+    whole; of two writers the second starts again from the version that it lost to.
+
+    ``commit`` takes the session and both names and says whether it got the number.  The default renames, or links in a local
+    folder; a store whose renames aren't atomic needs one of its own.  A newest manifest that can't be read was damaged later:
+    reads and writes fail until ``drop_damaged`` is called, which goes back to the version before.
     """
 
-    def __init__(self, spark: SparkSession, path: str, n_parts: int = N_PARTS) -> None:
-        self.spark, self.path, self.n_parts = spark, path.rstrip("/"), n_parts
+    def __init__(self, spark: SparkSession, path: str, n_parts: int = N_PARTS, commit: Callable[[SparkSession, str, str], bool] | None = None) -> None:
+        self.spark, self.path, self.n_parts, self.commit = spark, path.rstrip("/"), n_parts, commit or renamed
 
     def _hadoop(self, path: str):
         found = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -77,17 +105,31 @@ class ChunkStore:
         names = [f.getPath().getName() for f in fs.listStatus(folder)] if fs.exists(folder) else []
         return sorted((int(n) for n in names if n.isdigit()), reverse=True)
 
+    def _read(self, version: int) -> dict:
+        rows = self.spark.read.text(f"{self.path}/manifests/{version:012d}").collect()  # one line
+        try:
+            found = json.loads(rows[0][0])
+            return {"n_parts": int(found["n_parts"]), "parts": dict(found["parts"])}
+        except (IndexError, KeyError, TypeError, ValueError) as error:
+            raise Damaged(f"{self.path}/manifests/{version:012d}") from error
+
     def _manifest(self) -> tuple[int, dict]:
-        """The number to write next, and the newest complete manifest: its number of parts and their folders."""
+        """The number to write next, and the newest manifest: its number of parts and their folders."""
         versions = self._versions()
-        for version in versions:
-            rows = self.spark.read.text(f"{self.path}/manifests/{version:012d}").collect()  # one line
+        return (versions[0] + 1, self._read(versions[0])) if versions else (1, {"n_parts": self.n_parts, "parts": {}})
+
+    def drop_damaged(self) -> int:
+        """Deletes the newest manifests that can't be read, down to one that can; how many went.  Not while others write."""
+        gone = 0
+        for version in self._versions():
             try:
-                found = json.loads(rows[0][0])
-                return versions[0] + 1, {"n_parts": int(found["n_parts"]), "parts": dict(found["parts"])}
-            except (IndexError, KeyError, TypeError, ValueError):
-                continue
-        return (versions[0] + 1 if versions else 1), {"n_parts": self.n_parts, "parts": {}}
+                self._read(version)
+                break
+            except Damaged:
+                path, fs = self._hadoop(f"{self.path}/manifests/{version:012d}")
+                fs.delete(path, False)
+                gone += 1
+        return gone
 
     def _folders(self, paths: list[str]) -> DataFrame:
         return self.spark.read.schema(CHUNK_SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], CHUNK_SCHEMA)
@@ -97,16 +139,15 @@ class ChunkStore:
 
     def _publish(self, version: int, manifest: dict) -> bool:
         """Whether this writer got the number."""
-        path, fs = self._hadoop(f"{self.path}/manifests/{version:012d}")
-        try:
-            out = fs.create(path, False)
-        except Py4JJavaError:
-            if fs.exists(path):
-                return False
-            raise
+        written = f"{self.path}/manifests/_{uuid.uuid4()}"
+        path, fs = self._hadoop(written)
+        out = fs.create(path, False)
         out.write(bytearray(json.dumps(manifest).encode() + b"\n"))
         out.close()
-        return True
+        try:
+            return self.commit(self.spark, written, f"{self.path}/manifests/{version:012d}")
+        finally:
+            fs.delete(path, False)
 
     def _part(self, n_parts: int) -> Column:
         return F.pmod(F.xxhash64(identifier()), F.lit(n_parts)).cast("int")

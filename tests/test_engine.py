@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions.models import HashingEmbedder
@@ -180,7 +181,7 @@ def test_streams(spark, tmp_path):
 
 
 def test_store_versions(spark, tmp_path):
-    """A reader's version stays whole while others write; the second of two writers starts again; unreadable manifests are passed over."""
+    """A reader's version stays whole while others write; the second of two writers starts again; a damaged manifest stops reads and writes until it is dropped."""
     text = "A text that is long enough to be kept as one chunk, number "
     engine = SearchEngine(spark, str(tmp_path / "store"))
     chunks = lambda *names: engine_chunks(engine, files_of(spark, [(n, text + n) for n in names]))
@@ -199,11 +200,37 @@ def test_store_versions(spark, tmp_path):
     assert {r["filename"] for r in engine.store.read().collect()} == {"a.md", "b.md", "c.md", "d.md"}
     assert {r["filename"] for r in before.collect()} == {"a.md", "b.md"}
     (tmp_path / "store" / "manifests" / "000000000099").write_text("{broken")
+    for broken in (engine.store.count, lambda: engine.remove_source("/docs/a.md"), lambda: engine.store.replace_sources(chunks("e.md"))):
+        with pytest.raises(store.Damaged):
+            broken()
+    assert engine.store.drop_damaged() == 1 and engine.store.drop_damaged() == 0
     assert engine.store.count() == 4 and engine.remove_source("/docs/a.md" if before.filter("source_path = '/docs/a.md'").count() else before.first()["source_path"])
     assert engine.store.count() == 3 and not engine.remove_source("/nowhere.md")
     assert engine.store.vacuum(keep=1) > 0 and engine.store.count() == 3
 
 
+@pytest.mark.parametrize("when", ["before", "after"])
+def test_no_update_is_lost(spark, tmp_path, when):
+    """A second writer commits while the first one's manifest is written but has no number yet, or just got it."""
+    path = str(tmp_path / "store")
+    engine = SearchEngine(spark, path)
+    chunks = lambda name: engine_chunks(engine, files_of(spark, [(name, "A text that is long enough to be kept as one chunk, number " + name)]))
+    engine.store.replace_sources(chunks("x.md"))
+    inside = []
+
+    def commit(session, source, target):
+        won = store.renamed(session, source, target) if when == "after" else None
+        if not inside:
+            inside.append(store.ChunkStore(spark, path).replace_sources(chunks("z.md")))
+        return store.renamed(session, source, target) if won is None else won
+
+    store.ChunkStore(spark, path, commit=commit).replace_sources(chunks("y.md"))
+    assert inside and {r["filename"] for r in engine.store.read().collect()} == {"x.md", "y.md", "z.md"}
+    source, target = (f"{path}/manifests/{n:012d}" for n in (1, 2))
+    assert not store.renamed(spark, source, target) and engine.store.count() == 3
+    assert not [p for p in (tmp_path / "store" / "manifests").iterdir() if p.name.startswith("_")]
+
+
 def engine_chunks(engine, files):
     from lodestone.functions import models
 

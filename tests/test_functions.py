@@ -56,6 +56,26 @@ def test_absolute_link(spark):
     assert values(spark, links, lambda c: U.absolute_link(base, c)) == found
 
 
+def test_dot_segments(spark):
+    from urllib.parse import urljoin
+
+    base = "http://h.org/a/b/c.html"
+    links = ["../x", "./y", "/a/../z", "../../../up", "..", ".", "d/./e/../f/", "../x?q=../y#../z", "/a/.b/..c", "g..", "//k.org/a/../b", "https://m.org/a/../b"]
+    assert values(spark, links, lambda c: U.absolute_link(F.lit(base), c)) == [urljoin(base, x) for x in links]
+
+
+def test_page_links(spark):
+    from lodestone.functions.html import page_links
+
+    page = """<A HREF='one.html?a=1&amp;b=2'>One &amp; only</A><a class=x href=two>Tw<b>o</b></a><a name="n">no</a><a href="three">open
+      <a data-href="no" href = "fo&#117;r" href="no">Four</a><!-- <a href="gone">gone</a> --><script>"<a href='js'>"</script><a href="">self</a><a href=' last '>Last"""
+    bases = [f"<base href='/docs/'><base href='/no/'>{page}", page, None, "", "<a", "plain"]
+    got = values(spark, bases, page_links)
+    links = [("one.html?a=1&b=2", "One & only"), ("two", "Two"), ("three", "open"), ("four", "Four"), ("", "self"), ("last", "Last")]
+    assert [[tuple(x) for x in row] for row in got] == [[(*x, "/docs/") for x in links], [(*x, None) for x in links], [], [], [], []]
+    assert values(spark, ["/docs/", None], lambda c: U.absolute_link(U.page_base(F.lit("http://h.org/a/b"), c), F.lit("x"))) == ["http://h.org/docs/x", "http://h.org/a/x"]
+
+
 def test_file_slug(spark):
     assert values(spark, ["https://www.example.com/a b?c=d", "", "%2F%2F", "x" * 50, "100%"], U.file_slug) == ["example.com_a_b_c_d", "default", "default", "x" * 40, "100%"]
 
