@@ -17,6 +17,7 @@ from lodestone.functions import urls as U
 from lodestone.functions.html import page_links, page_text
 from lodestone.operators import bm25, crawl, fusion, selection, vector
 from lodestone.operators.chunking import chunk_documents, fixed_windows, renumbered
+from lodestone.operators.inverted import temporary_index
 from lodestone.plans import search
 from lodestone.session import saved
 from lodestone.sources import files as files_in
@@ -386,6 +387,52 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25.top_k(scores, 10, "doc_id").select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
+@_register(
+    "T02_S17_phrase_not_pattern_boost",
+    f"""WITH {_BM25_CTE}, it AS (SELECT item_id AS query_id, {_TOKENS.format("text", _STOP)} AS b FROM benchmark),
+        sc AS (SELECT doc_id, term, (ln(n / (df + 1)) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a)) AS score FROM tf JOIN df USING (term), st),
+        two AS (SELECT DISTINCT doc_id, ts[i] AS x, ts[i + 1] AS y FROM (SELECT doc_id, ts, unnest(range(1, len(ts))) AS i FROM d)),
+        c1 AS (SELECT query_id, two.doc_id, f.score + g.score AS score FROM it JOIN two ON two.x = b[1] AND two.y = b[2]
+               JOIN sc f ON f.doc_id = two.doc_id AND f.term = two.x JOIN sc g ON g.doc_id = two.doc_id AND g.term = two.y),
+        c2 AS (SELECT query_id, doc_id, 2 * sum(score) AS score FROM it JOIN sc ON starts_with(term, substr(b[3], 1, 3)) GROUP BY ALL),
+        c3 AS (SELECT query_id, doc_id, sum(score) AS score FROM it JOIN sc ON length(term) = length(b[4]) AND starts_with(term, substr(b[4], 1, length(b[4]) - 1)) GROUP BY ALL),
+        c4 AS (SELECT query_id, doc_id FROM it JOIN tf ON term = b[-1])
+        SELECT query_id, doc_id, round(c1.score + coalesce(c2.score, 0) + coalesce(c3.score, 0), 6) AS score
+        FROM c1 LEFT JOIN c2 USING (query_id, doc_id) LEFT JOIN c3 USING (query_id, doc_id) ANTI JOIN c4 USING (query_id, doc_id)""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each item: its first two terms as a phrase, terms that begin like its third or end otherwise than its fourth, and not its last."""
+    index = temporary_index(spark, _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("key"), "text"))
+    items = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), bm25.analyzed(F.col("text")).alias("t"))
+    nth = lambda i: F.try_element_at("t", F.lit(i))
+    parts = [
+        ("must", F.concat_ws(" ", nth(1), nth(2)), 1.0),
+        ("should", F.concat(F.substring(nth(3), 1, 3), F.lit("*")), 2.0),
+        ("should", F.concat(F.left(nth(4), F.length(nth(4)) - 1), F.lit("?")), 1.0),
+        ("must_not", nth(-1), 1.0),
+    ]
+    listed = F.array(*(F.struct(F.lit(i).alias("clause_id"), F.lit(o).alias("occur"), t.alias("text"), F.lit(b).alias("boost")) for i, (o, t, b) in enumerate(parts)))
+    clauses = items.select("query_id", F.inline(listed)).filter("text is not null")
+    return index.search(clauses).select("query_id", F.col("key").cast("long").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+@_register(
+    "S17_M02_M04_index_updates",
+    f"""WITH e AS (SELECT doc_id, CASE WHEN lang = 'de' THEN 'neuer Text von ' || source ELSE text END AS text FROM documents
+                   WHERE lang = 'de' OR doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)),
+        t AS (SELECT doc_id, unnest({_TOKENS.format("text", _STOP)}) AS term FROM e)
+        SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM t GROUP BY term""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents are indexed, toxic ones deleted, German ones replaced, and the segments merged: terms as of one build of what is left."""
+    docs = _table(spark, sf_dir, "documents").withColumn("key", F.col("doc_id").cast("string"))
+    index = temporary_index(spark, docs.select("key", "text"))
+    index.delete(_table(spark, sf_dir, "labels").filter("toxic = 1").select(F.col("doc_id").alias("key")))
+    index.add(docs.filter("lang = 'de'").select("key", F.concat(F.lit("neuer Text von "), "source").alias("text")))
+    index.merge()
+    return bm25.term_frequencies(index.live())
+
+
 # Vectors and fusion
 
 _KNN_CTE = """kn AS (SELECT a.vec_id AS query_id, b.vec_id, list_cosine_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS distance

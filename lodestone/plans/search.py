@@ -10,6 +10,7 @@ from lodestone.functions import text as X
 from lodestone.functions.split import CHUNK_OVERLAP, CHUNK_SIZE, engine_limits
 from lodestone.operators import bm25, fusion, selection, vector
 from lodestone.operators.chunking import MIN_CHUNK_CHARS, chunk_documents
+from lodestone.operators.inverted import InvertedIndex, term_clauses
 from lodestone.sources import files as files_in
 from lodestone.sources.store import ChunkStore
 
@@ -31,17 +32,22 @@ def prompt_of(context, query):
     return F.concat(F.lit(head), context, F.lit(middle), query, F.lit(tail))
 
 
-def retrieve(chunks: DataFrame, queries: DataFrame, k: int, embedder: M.Embedder, mode: str = "and") -> DataFrame:
+def retrieve(chunks: DataFrame, queries: DataFrame, k: int, embedder: M.Embedder, mode: str = "and", index: InvertedIndex | None = None) -> DataFrame:
     """Fused candidates ``query_id, chunk_id, score, vector_rank, bm25_rank, rank`` of queries ``query_id, text``.
 
-    ``chunks`` has ``chunk_id, text, embedding``.  Texts and vectors join last, for candidates only.
+    ``chunks`` has ``chunk_id, text, embedding``.  Texts and vectors join last, for candidates only.  With an ``index`` of the chunks the keyword leg
+    reads its queries' terms from there, and no chunk.
     """
     n_vector, n_bm25 = fusion.leg_sizes(k)
     asked = queries.select("query_id", M.embedded(F.col("text"), embedder).alias("embedding"))
     keyed = chunks.select(F.xxhash64("chunk_id").alias("vec_id"), "chunk_id", "embedding")
     near = vector.nearest(keyed.select("vec_id", "embedding"), asked, n_vector).join(keyed.select("vec_id", "chunk_id"), "vec_id")
     texts = "tokens" if "tokens" in chunks.columns else "text"
-    words = bm25.top_k(bm25.bm25_scores(chunks.select("chunk_id", texts), queries, mode=mode), n_bm25)
+    if index is None:
+        scores = bm25.bm25_scores(chunks.select("chunk_id", texts), queries, mode=mode)
+    else:
+        scores = index.search(term_clauses(queries, mode)).withColumnRenamed("key", "chunk_id")
+    words = bm25.top_k(scores, n_bm25)
     return fusion.candidates(fusion.fuse(near, words), k)
 
 
@@ -123,8 +129,11 @@ class SearchEngine:
         overlap: int = CHUNK_OVERLAP,
         min_chars: int = MIN_CHUNK_CHARS,
         max_results: int = 3,
+        indexed: bool = False,
     ) -> None:
+        """``indexed``: keep an inverted index beside the chunks, for collections too large to be read for each batch of queries."""
         self.spark, self.store, self.embedder, self.model = spark, ChunkStore(spark, path), embedder, model
+        self.index = InvertedIndex(spark, f"{path.rstrip('/')}/index") if indexed else None
         self.chunking, self.max_results = engine_limits(chunk_size, overlap, min_chars), max_results
 
     def add_source(self, path: str, managed_dir: str | None = None, internal: bool = False) -> tuple[int, bool]:
@@ -137,10 +146,19 @@ class SearchEngine:
     def add_files(self, files: DataFrame) -> int:
         """New chunks are embedded and analysed once, here; searches read both from the store."""
         chunks = chunk_documents(files, *self.chunking)
-        return self.store.replace_sources(chunks.withColumns({"embedding": M.embedded(F.col("text"), self.embedder), "tokens": bm25.analyzed(F.col("text"))}))
+        n = self.store.replace_sources(chunks.withColumns({"embedding": M.embedded(F.col("text"), self.embedder), "tokens": bm25.analyzed(F.col("text"))}))
+        self._reindex()
+        return n
 
     def remove_source(self, source: str) -> bool:
-        return self.store.remove_source(source)
+        removed = self.store.remove_source(source)
+        self._reindex()
+        return removed
+
+    def _reindex(self) -> None:
+        """Brings the index up to the store, from whatever it held."""
+        if self.index is not None:
+            self.index.sync(self.store.read().select(F.col("chunk_id").alias("key"), "text"))
 
     def sources(self) -> DataFrame:
         return self.store.sources()
@@ -151,5 +169,5 @@ class SearchEngine:
             queries = self.spark.createDataFrame([(1, queries)], "query_id long, text string")
         chunks = self.store.read()
         length = self.model.info.context_length
-        rows = assemble(retrieve(chunks, queries, self.max_results, self.embedder), chunks, queries, self.max_results, length)
+        rows = assemble(retrieve(chunks, queries, self.max_results, self.embedder, index=self.index), chunks, queries, self.max_results, length)
         return answered(rows, self.model, selection.max_generated(length, max_new_tokens))
