@@ -18,6 +18,7 @@ from lodestone.functions.html import page_links, page_text
 from lodestone.operators import bm25, crawl, fusion, selection, vector
 from lodestone.operators.chunking import chunk_documents, fixed_windows, renumbered
 from lodestone.operators.inverted import temporary_index
+from lodestone.operators.vector_index import N_PROBE, temporary_vector_index
 from lodestone.plans import search
 from lodestone.session import saved
 from lodestone.sources import files as files_in
@@ -450,6 +451,33 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "vec_id", F.round("distance", 6).alias("distance"), "rank")
 
 
+@_register(
+    "T01_S16_indexed_neighbours",
+    """WITH b AS (SELECT vec_id, CASE WHEN quality = 0 THEN list_reverse(embedding) ELSE embedding END AS embedding
+               FROM embeddings LEFT JOIN labels ON doc_id = vec_id WHERE toxic IS NULL OR toxic = 0),
+       kn AS (SELECT a.vec_id AS query_id, b.vec_id, list_cosine_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS distance
+              FROM embeddings a, b WHERE a.vec_id % 20 = 0),
+       kr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 6), vec_id) AS rank FROM kn)
+       SELECT query_id, vec_id, round(distance, 6) AS distance, CAST(rank AS INTEGER) AS rank FROM kr WHERE rank <= 10""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors are indexed, those of toxic documents deleted, those of poor ones replaced by the reversed; exact neighbours by the lists' angles."""
+    rows, labels = _table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "key"), _table(spark, sf_dir, "labels")
+    index = temporary_vector_index(spark, rows.select("key", "embedding"))
+    poor = labels.filter("quality = 0 and toxic = 0").select(F.col("doc_id").alias("key"))
+    index.add(rows.join(poor, "key", "left_semi").select("key", F.reverse("embedding").alias("embedding")))
+    index.delete(labels.filter("toxic = 1").select(F.col("doc_id").alias("key")))
+    found = index.search(_vector_queries(spark, sf_dir), 10, exact=True)
+    return found.select("query_id", "vec_id", F.round("distance", 6).alias("distance"), "rank")
+
+
+@_register("T01_S16_index_recall")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per query: how many of its ten true neighbours the index finds in its nearest lists, and the share of all vectors that it reads for them."""
+    index = temporary_vector_index(spark, _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key"), "embedding"))
+    return index.recall(_vector_queries(spark, sf_dir), 10, N_PROBE)
+
+
 @_register(
     "E03_truncated_embeddings",
     "SELECT vec_id, len(embedding[1:16]) AS dimension, round(list_sum(list_transform(embedding[1:16], lambda x: x::DOUBLE * x::DOUBLE)), 5) AS squared FROM embeddings",

@@ -11,6 +11,7 @@ from lodestone.functions.split import CHUNK_OVERLAP, CHUNK_SIZE, engine_limits
 from lodestone.operators import bm25, fusion, selection, vector
 from lodestone.operators.chunking import MIN_CHUNK_CHARS, chunk_documents
 from lodestone.operators.inverted import InvertedIndex, term_clauses
+from lodestone.operators.vector_index import N_PROBE, VectorIndex
 from lodestone.sources import files as files_in
 from lodestone.sources.store import ChunkStore
 
@@ -32,16 +33,27 @@ def prompt_of(context, query):
     return F.concat(F.lit(head), context, F.lit(middle), query, F.lit(tail))
 
 
-def retrieve(chunks: DataFrame, queries: DataFrame, k: int, embedder: M.Embedder, mode: str = "and", index: InvertedIndex | None = None) -> DataFrame:
+def retrieve(
+    chunks: DataFrame,
+    queries: DataFrame,
+    k: int,
+    embedder: M.Embedder,
+    mode: str = "and",
+    index: InvertedIndex | None = None,
+    vectors: VectorIndex | None = None,
+    n_probe: int = N_PROBE,
+) -> DataFrame:
     """Fused candidates ``query_id, chunk_id, score, vector_rank, bm25_rank, rank`` of queries ``query_id, text``.
 
     ``chunks`` has ``chunk_id, text, embedding``.  Texts and vectors join last, for candidates only.  With an ``index`` of the chunks the keyword leg
-    reads its queries' terms from there, and no chunk.
+    reads its queries' terms from there, and no chunk; with ``vectors``, an index of theirs by ``xxhash64(chunk_id)``, the other leg reads the
+    ``n_probe`` lists nearest to each query.
     """
     n_vector, n_bm25 = fusion.leg_sizes(k)
     asked = queries.select("query_id", M.embedded(F.col("text"), embedder).alias("embedding"))
     keyed = chunks.select(F.xxhash64("chunk_id").alias("vec_id"), "chunk_id", "embedding")
-    near = vector.nearest(keyed.select("vec_id", "embedding"), asked, n_vector).join(keyed.select("vec_id", "chunk_id"), "vec_id")
+    near = vector.nearest(keyed.select("vec_id", "embedding"), asked, n_vector) if vectors is None else vectors.search(asked, n_vector, n_probe)
+    near = near.join(keyed.select("vec_id", "chunk_id"), "vec_id")
     texts = "tokens" if "tokens" in chunks.columns else "text"
     if index is None:
         scores = bm25.bm25_scores(chunks.select("chunk_id", texts), queries, mode=mode)
@@ -130,10 +142,12 @@ class SearchEngine:
         min_chars: int = MIN_CHUNK_CHARS,
         max_results: int = 3,
         indexed: bool = False,
+        n_probe: int = N_PROBE,
     ) -> None:
-        """``indexed``: keep an inverted index beside the chunks, for collections too large to be read for each batch of queries."""
+        """``indexed``: keep indexes of terms and of vectors beside the chunks, for collections too large to be read for each batch of queries."""
         self.spark, self.store, self.embedder, self.model = spark, ChunkStore(spark, path), embedder, model
         self.index = InvertedIndex(spark, f"{path.rstrip('/')}/index") if indexed else None
+        self.vectors, self.n_probe = VectorIndex(spark, f"{path.rstrip('/')}/vectors") if indexed else None, n_probe
         self.chunking, self.max_results = engine_limits(chunk_size, overlap, min_chars), max_results
 
     def add_source(self, path: str, managed_dir: str | None = None, internal: bool = False) -> tuple[int, bool]:
@@ -156,9 +170,10 @@ class SearchEngine:
         return removed
 
     def _reindex(self) -> None:
-        """Brings the index up to the store, from whatever it held."""
+        """Brings the indexes up to the store, from whatever it held."""
         if self.index is not None:
             self.index.sync(self.store.read().select(F.col("chunk_id").alias("key"), "text"))
+            self.vectors.sync(self.store.read().select(F.xxhash64("chunk_id").alias("key"), "embedding"))
 
     def sources(self) -> DataFrame:
         return self.store.sources()
@@ -169,5 +184,5 @@ class SearchEngine:
             queries = self.spark.createDataFrame([(1, queries)], "query_id long, text string")
         chunks = self.store.read()
         length = self.model.info.context_length
-        rows = assemble(retrieve(chunks, queries, self.max_results, self.embedder, index=self.index), chunks, queries, self.max_results, length)
+        rows = assemble(retrieve(chunks, queries, self.max_results, self.embedder, index=self.index, vectors=self.vectors, n_probe=self.n_probe), chunks, queries, self.max_results, length)
         return answered(rows, self.model, selection.max_generated(length, max_new_tokens))
