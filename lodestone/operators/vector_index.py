@@ -29,6 +29,7 @@ from lodestone.session import ensure_checkpoint_dir, saved
 from lodestone.sources.segments import Segments
 
 MAX_LISTS, MAX_FIT, N_PROBE = 4096, 200_000, 16
+_QUERIES_AT_ONCE = 256
 #: What an angle and a distance may be off by, rounding to 6 digits included.
 _ANGLE_SLACK, _DISTANCE_SLACK = 1e-6, 2e-6
 _VECTORS = "key long, embedding array<float>, angle double, segment long, list int"
@@ -159,7 +160,7 @@ class VectorIndex(Segments):
         return rows.groupBy("list").agg(F.max("angle").alias("angle"), F.sum("n").alias("n"))
 
     def _probed(self, queries: DataFrame, n_probe: int | None, skip: int = 0) -> DataFrame:
-        """``query_id, embedding, lists``: the nearest ``n_probe`` lists (None: all), nearest first.
+        """``query_id, embedding, within, lists``: the nearest ``n_probe`` lists (None: all), nearest first.
 
         With ``skip``, ``queries`` has ``within``, the largest distance of interest: of the lists after the nearest ``skip`` those that may hold a vector so near.
         """
@@ -175,7 +176,7 @@ class VectorIndex(Segments):
                     continue
                 chosen = []
                 angles = _angles(_matrix(batch.column("embedding")), near)
-                within = np.asarray(batch.column("within")) if skip else None
+                within = np.asarray(batch.column("within"))
                 for i, row in enumerate(angles):
                     order = np.argsort(row, kind="stable")
                     if skip:
@@ -183,13 +184,14 @@ class VectorIndex(Segments):
                         limit = np.arccos(np.clip(1.0 - within[i] - _DISTANCE_SLACK, -1.0, 1.0)) + _ANGLE_SLACK
                         order = order[row[order] - wide[order] <= limit]
                     chosen.append(names[order[:n_probe]].astype(np.int32))
-                yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("embedding"), pa.array(chosen, pa.list_(pa.int32()))], ["query_id", "embedding", "lists"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(chosen, pa.list_(pa.int32()))], ["query_id", "embedding", "within", "lists"])
 
-        asked = queries.filter(usable(F.col("embedding")) & (F.size("embedding") == (centres.shape[1] if len(there) else -1)))
-        return asked.mapInArrow(probe, "query_id long, embedding array<double>, lists array<int>").filter("size(lists) > 0")
+        asked = queries if skip else queries.withColumn("within", F.lit(2.0))
+        asked = asked.select("query_id", "embedding", "within").filter(usable(F.col("embedding")) & (F.size("embedding") == (centres.shape[1] if len(there) else -1)))
+        return asked.mapInArrow(probe, "query_id long, embedding array<double>, within double, lists array<int>").filter("size(lists) > 0")
 
     def _scanned(self, probed: DataFrame, k: int, max_query_bytes: int) -> DataFrame:
-        """``query_id, vec_id, distance`` with each batch's ``k`` nearest of each query that asks its list."""
+        """``query_id, vec_id, distance``: of each task and query the ``k`` nearest in the lists asked, no farther than ``within``."""
         probed = saved(probed)
         n, size = probed.agg(F.count(F.lit(1)), F.sum(F.size("embedding") * 8 + F.size("lists") * 4)).first()
         n_blocks = max(1, -(-(size or 0) // max_query_bytes))
@@ -203,23 +205,32 @@ class VectorIndex(Segments):
                 for name in row["lists"]:
                     asking.setdefault(name, []).append(i)
             ids, matrix = np.array([r["query_id"] for r in rows], np.int64), _unit(np.array([r["embedding"] for r in rows], np.float64))
-            sent = self.spark.sparkContext.broadcast((ids, matrix, {name: np.array(at) for name, at in asking.items()}))
+            within = np.array([r["within"] for r in rows]) + _DISTANCE_SLACK
+            sent = self.spark.sparkContext.broadcast((ids, matrix, within, {name: np.array(at) for name, at in asking.items()}))
 
             def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-                ids, matrix, asking = sent.value
+                ids, matrix, within, asking = sent.value
+                limit, held = within.copy(), {}
                 for batch in batches:
                     lists, keys = np.asarray(batch.column("list")), np.asarray(batch.column("key"))
                     vectors = _unit(_matrix(batch.column("embedding")))
-                    out = [[], [], []]
                     for name in np.unique(lists):
                         at = np.flatnonzero(lists == name)
-                        for q in asking[int(name)]:
-                            distance = 1.0 - vectors[at] @ matrix[q]
-                            best = _nearest_of(distance, keys[at], k)
-                            for column, values in zip(out, (np.full(len(best), ids[q]), keys[at][best], distance[best]), strict=True):
-                                column.append(values)
-                    if out[0]:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(column)) for column in out], ["query_id", "vec_id", "distance"])
+                        for queries in np.array_split(asking[int(name)], -(-len(asking[int(name)]) // _QUERIES_AT_ONCE)):
+                            distances = 1.0 - matrix[queries] @ vectors[at].T
+                            for q, distance in zip(queries, distances, strict=True):
+                                near = np.flatnonzero(distance <= limit[q])
+                                if not len(near):
+                                    continue
+                                old_keys, old = held.get(q, (keys[:0], distance[:0]))
+                                all_keys, found = np.concatenate([old_keys, keys[at][near]]), np.concatenate([old, distance[near]])
+                                best = _nearest_of(found, all_keys, k)
+                                held[q] = all_keys[best], found[best]
+                                if len(best) == k:
+                                    limit[q] = min(limit[q], found[best].max() + _DISTANCE_SLACK)
+                if held:
+                    columns = (np.concatenate([np.full(len(n), ids[q]) for q, (n, _) in held.items()]), *(np.concatenate([h[i] for h in held.values()]) for i in (0, 1)))
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "vec_id", "distance"])
 
             part = self.live(sorted(asking)).select("key", "embedding", "list").mapInArrow(scan, "query_id long, vec_id long, distance double")
             found = found.unionByName(part)
@@ -250,6 +261,12 @@ class VectorIndex(Segments):
         placed = true.join(self.documents().select("key", "list"), "key").join(self._probed(asked, None).select("query_id", "lists"), "query_id")
         return placed.select("query_id", F.col("key").alias("vec_id"), F.array_position("lists", F.col("list")).alias("place"))
 
+    def probes_for(self, queries: DataFrame, k: int, recall: float = 0.95) -> int:
+        """The least ``n_probe`` that finds this share of the true ``k`` neighbours of ``queries``."""
+        places = self.list_places(queries, k).groupBy("place").agg(F.count(F.lit(1)).alias("n"))
+        running = places.select("place", F.sum("n").over(W.orderBy("place")).alias("found"), F.sum("n").over(W.partitionBy()).alias("all"))  # a row a list at most
+        return int(running.filter(F.col("found") >= F.lit(recall) * F.col("all")).agg(F.min("place")).first()[0] or 1)
+
     def recall(self, queries: DataFrame, k: int, n_probe: int = N_PROBE) -> DataFrame:
         """``query_id, found, true_neighbours, share_read``: what a search with ``n_probe`` finds of the true ``k``, and the share of vectors it reads."""
         places = self.list_places(queries, k).groupBy("query_id").agg(F.count_if(F.col("place") <= n_probe).alias("found"), F.count(F.lit(1)).alias("true_neighbours"))

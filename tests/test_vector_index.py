@@ -74,6 +74,9 @@ def test_recall_and_share_read(spark, tmp_path):
     assert set(rows) == set(queries) and all(r["true_neighbours"] == 10 for r in rows.values())
     # The places of lists tell what the search does find.
     assert {q: r["found"] for q, r in rows.items()} == {q: len(set(true[q]) & set(found[q])) for q in queries}
+    least = index.probes_for(asked, 10, 0.9)
+    share = lambda p: np.mean([r["found"] for r in index.recall(asked, 10, p).collect()]) / 10
+    assert share(least) >= 0.9 and (least == 1 or share(least - 1) < 0.9)
     assert np.mean([r["found"] for r in rows.values()]) >= 9 and np.mean([r["share_read"] for r in rows.values()]) < 0.5
 
 
