@@ -29,7 +29,7 @@ from lodestone.session import ensure_checkpoint_dir, saved
 from lodestone.sources.segments import Segments
 
 MAX_LISTS, MAX_FIT, N_PROBE = 4096, 200_000, 16
-_QUERIES_AT_ONCE = 256
+_QUERIES_AT_ONCE, _TASK_BYTES = 256, 8 << 20
 #: What an angle and a distance may be off by, rounding to 6 digits included.
 _ANGLE_SLACK, _DISTANCE_SLACK = 1e-6, 2e-6
 _VECTORS = "key long, embedding array<float>, angle double, segment long, list int"
@@ -196,6 +196,7 @@ class VectorIndex(Segments):
         n, size = probed.agg(F.count(F.lit(1)), F.sum(F.size("embedding") * 8 + F.size("lists") * 4)).first()
         n_blocks = max(1, -(-(size or 0) // max_query_bytes))
         found = self.spark.createDataFrame([], "query_id long, vec_id long, distance double")
+        sizes = {r["list"]: r["n"] for r in self.list_sizes().collect()}  # a row a list
         for block in range(n_blocks if n else 0):
             rows = probed.filter(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == block).orderBy("query_id").collect()  # max_query_bytes
             if not rows:
@@ -232,7 +233,9 @@ class VectorIndex(Segments):
                     columns = (np.concatenate([np.full(len(n), ids[q]) for q, (n, _) in held.items()]), *(np.concatenate([h[i] for h in held.values()]) for i in (0, 1)))
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "vec_id", "distance"])
 
-            part = self.live(sorted(asking)).select("key", "embedding", "list").mapInArrow(scan, "query_id long, vec_id long, distance double")
+            # Each task sends k rows a query, so tasks are made by bytes of vectors, not by files.
+            n_tasks = max(1, -(-sum(sizes.get(name, 0) for name in asking) * matrix.shape[1] * 4 // _TASK_BYTES))
+            part = self.live(sorted(asking)).select("key", "embedding", "list").coalesce(n_tasks).mapInArrow(scan, "query_id long, vec_id long, distance double")
             found = found.unionByName(part)
         return found
 
