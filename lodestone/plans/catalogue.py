@@ -17,7 +17,7 @@ from lodestone.functions import urls as U
 from lodestone.functions.html import page_links, page_text
 from lodestone.operators import bm25, crawl, fusion, selection, vector
 from lodestone.operators.chunking import chunk_documents, fixed_windows, renumbered
-from lodestone.operators.inverted import temporary_index
+from lodestone.operators.inverted import temporary_index, term_clauses
 from lodestone.operators.vector_index import temporary_vector_index
 from lodestone.plans import search
 from lodestone.session import saved
@@ -434,6 +434,21 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25.term_frequencies(index.live())
 
 
+@_register(
+    "T02_S17_index_top_k",
+    f"""WITH {_BM25_CTE}, it AS (SELECT item_id AS query_id, unnest(list_distinct({_TOKENS.format("text", _STOP)})) AS term FROM benchmark),
+        sc AS (SELECT query_id, doc_id, sum((ln(n / (df + 1)) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a))) AS score
+               FROM it JOIN tf USING (term) JOIN df USING (term), st GROUP BY ALL),
+        rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, CAST(doc_id AS VARCHAR)) AS rank FROM sc)
+        SELECT query_id, doc_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM rk WHERE rank <= 10""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for any of an item's terms; blocks of postings that can't reach the tenth aren't scored."""
+    index = temporary_index(spark, _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("key"), "text"))
+    clauses = term_clauses(_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"), mode="or")
+    return index.top(clauses, 10).select("query_id", F.col("key").cast("long").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
+
+
 # Vectors and fusion
 
 _KNN_CTE = """kn AS (SELECT a.vec_id AS query_id, b.vec_id, list_cosine_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS distance
