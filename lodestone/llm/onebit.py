@@ -5,9 +5,11 @@
    the estimate's error.  Rows go into blocks by where they are read, not by value; the index of blocks is written once.
 2. *Search.*  Queries are dealt into blocks, the index into parts of bounded size, and each block meets each part in one task.  The packed bits
    give estimates of all inner products there.  A candidate whose estimate and error bound reach the query's
-   worst kept score is reranked, by its original vector in double precision; others can't be among the nearest, but for the
+   worst kept score is reranked, by its original vector in double precision; others aren't among the nearest, but for the
    bound's chance of failing (``epsilon``).
-3. *Merge.*  Each task sends ``k`` rows a query; the best of those over the parts are the result.
+3. *Check.*  With the worst kept scores that leaves, one product of the original vectors, with a slack for its rounding, finds
+   what a bound failed; that is reranked too, so the result is exact whatever ``epsilon`` is.
+4. *Merge.*  Each task sends ``k`` rows a query; the best of those over the parts are the result.
 
 The centre is the mean of the ``FIT_ROWS`` vectors whose hashes are lowest; it affects the estimates' width only, and every row is
 indexed.  A part has ``part_bytes`` and a block ``block_rows`` queries at most; so a search reads the index once for a block.
@@ -34,7 +36,7 @@ from pyspark.sql.types import DoubleType
 from lodestone.llm._spark import checkpointed, pieces, shuffle_width
 
 FIT_ROWS = 4096
-#: How many deviations the error bound is wide; an estimate fails it about once in 35 times, on one side.
+#: How many deviations the error bound is wide; an estimate fails it about once in 35 times, on one side, and is left to the check.
 EPSILON = 1.9
 PART_BYTES = 64 << 20
 BLOCK_ROWS, MOST_BLOCK_ROWS = 512, 65_536
@@ -152,6 +154,15 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, blocks: list[tuple], cent
     length, norm = (np.linalg.norm(x, axis=1).astype(np.float32) for x in (rest, vectors))
     level = (vectors @ centre).astype(np.float32)
     best, reranked, look = _Best(len(ids), k), 0, _FIRST
+
+    def rerank(query: np.ndarray, found: np.ndarray, held: np.ndarray, originals: np.ndarray, rough: np.ndarray, slack: np.ndarray) -> int:
+        for i in range(0, len(query), _PAIRS):
+            q, f = query[i : i + _PAIRS], found[i : i + _PAIRS]
+            near = ~(np.einsum("ij,ij->i", rough[q], originals[f]) < best.worst[q] - slack[q])
+            q, f = q[near], f[near]
+            best.add(q, held[f], products(vectors[q], originals[f].astype(np.float64)))
+        return len(query)
+
     for held, codes, scalars, originals in blocks:
         rough = vectors.astype(originals.dtype)
         # What rounding can take from an estimate or a rough product.
@@ -165,13 +176,12 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, blocks: list[tuple], cent
             reach += np.outer(length, width * np.float32(epsilon))
             reach += base
             reach += (level + slack)[:, None]
-            query, found = np.nonzero(~(reach < best.worst[:, None]) & (held[piece][None, :] != ids[:, None]))  # also what no estimate fits
-            reranked += len(query)
-            for i in range(0, len(query), _PAIRS):
-                q, f = query[i : i + _PAIRS], found[i : i + _PAIRS]
-                near = ~(np.einsum("ij,ij->i", rough[q], originals[piece][f]) < best.worst[q] - slack[q])
-                q, f = q[near], f[near]
-                best.add(q, held[piece][f], products(vectors[q], originals[piece][f].astype(np.float64)))
+            other = held[piece][None, :] != ids[:, None]
+            by_code = ~(reach < best.worst[:, None]) & other  # also what no estimate fits
+            reranked += rerank(*np.nonzero(by_code), held[piece], originals[piece], rough, slack)
+            # What the bound of an estimate failed: products are short of the true ones by no more than the slack.
+            by_product = ~(rough @ originals[piece].T < (best.worst - slack)[:, None]) & other & ~by_code
+            reranked += rerank(*np.nonzero(by_product), held[piece], originals[piece], rough, slack)
             at += look
             look = min(2 * look, _INDEX_ROWS)
     return best, reranked
@@ -216,7 +226,7 @@ def nearest_vectors(
     part_bytes: int = PART_BYTES,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """``query_id, rank, vec_id, score``: of each row whose ``vec_id`` is divisible by ``every`` the ``k`` nearest found among all others."""
+    """``query_id, rank, vec_id, score``: of each row whose ``vec_id`` is divisible by ``every`` the ``k`` nearest among all others."""
     spark = vectors.sparkSession
     element = vectors.schema["embedding"].dataType.elementType
     kind, target = (np.float64, "array<double>") if element == DoubleType() else (np.float32, "array<float>")

@@ -181,3 +181,13 @@ def test_codes_spare_reranking():
     assert codes.shape == (6000, 8)
     best, reranked = onebit.search_block(ids[:50], m[:50].astype(float), [(ids, codes, scalars, m)], centre, 20, 1.9, 7)
     assert len(best.ids) == 1000 and reranked < 0.5 * 50 * 6000
+
+
+def test_nearest_vectors_are_exact_though_bounds_fail():
+    m = np.array([v for _, v in vectors(3000, 64)], np.float32)
+    ids, centre = np.arange(3000), m[:500].astype(float).mean(axis=0)
+    codes, scalars = onebit.encode(m, centre, 7)
+    want = {(q, int(j)) for q in range(40) for j in np.argsort(-np.where(ids == q, -np.inf, onebit.products(m.astype(float), m[q].astype(float))), kind="stable")[:20]}
+    for epsilon in (-2.0, 0.0, 1.9):
+        best, _ = onebit.search_block(ids[:40], m[:40].astype(float), [(ids, codes, scalars, m)], centre, 20, epsilon, 7)
+        assert set(zip(best.query.tolist(), best.ids.tolist())) == want
