@@ -24,9 +24,10 @@ connected component.
    the documents that could be its partners through them.
 4. *Candidate groups.*  The components of those edges.  Every candidate's whole
    set travels once, to its group's task, where exact intersections are
-   counted.  Texts of groups beyond ``group_tokens`` or ``group_rows`` first go through steps 2 and 3 among themselves, with the counts of
-   tokens among them: passages that many of them share then come last in the order, and groups that only such passages held together fall apart.
+   counted.  Texts of groups beyond ``group_tokens`` or ``group_rows`` first go through steps 2 and 3 among themselves, again while that
+   helps, with the counts of tokens among them: passages that many of them share then come last in the order, and groups that only such passages held together fall apart.
    What stays large are mostly copies of one text: a few pivots are held against all of a group, and then what they left unconnected, block by block.
+   A block has half of ``group_tokens`` or ``block_rows`` sets at most.
 
 Nothing is dropped: counts change the order, the leads and the route, not the result.
 Only broadcast: the counted tokens, at most ``max_frequent``, and the candidates'
@@ -59,6 +60,8 @@ RUN = 32
 #: As ``RUN``, for shingles: a row of a pair is as dear as that of a dear token, and a run of r tokens has r (r - 1) / 2 pairs.
 SHINGLE_RUN = 16
 GROUP_TOKENS, GROUP_ROWS = 4_000_000, 250
+#: Sets of a block: each goes to as many tasks as there are blocks to hold it against, so small blocks multiply what is sent.
+BLOCK_ROWS = 4096
 MAX_FREQUENT = 200_000
 #: How often a batch must hold a token for it to be counted.
 REPEATED = 4
@@ -531,13 +534,13 @@ def _match(queries: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     return left.groupBy("part", "q", "d").cogroup(right.groupBy("part", "q", "d")).applyInArrow(_link_blocks(percent), "a long, b long")
 
 
-def _link_large(sets: DataFrame, percent: int, group_tokens: int, group_rows: int) -> DataFrame:
+def _link_large(sets: DataFrame, percent: int, group_tokens: int, block_rows: int) -> DataFrame:
     """``rep, root`` of groups too large for one task: a few pivots against all blocks, then what they left unconnected."""
     half = max(1, group_tokens // 2)
 
     def blocked(some: DataFrame) -> DataFrame:
         """In blocks by tokens and rows, as many as these sets need."""
-        blocks = some.groupBy("part").agg(F.greatest(F.ceil(F.sum("size") / half), F.ceil(F.count(F.lit(1)) / max(1, group_rows // 2))).alias("n_blocks"))
+        blocks = some.groupBy("part").agg(F.greatest(F.ceil(F.sum("size") / half), F.ceil(F.count(F.lit(1)) / block_rows)).alias("n_blocks"))
         return checkpointed(some.join(blocks, "part").select("part", "rep", "tokens", "size", F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int").alias("block")))
 
     sets = blocked(sets.withColumn("size", F.octet_length("tokens") / 8))
@@ -568,6 +571,7 @@ def set_components(
     run: int = RUN,
     group_tokens: int = GROUP_TOKENS,
     group_rows: int = GROUP_ROWS,
+    block_rows: int = BLOCK_ROWS,
     max_frequent: int = MAX_FREQUENT,
     max_broadcast_rows: int = MAX_BROADCAST_ROWS,
     by_size: bool = False,
@@ -622,10 +626,14 @@ def set_components(
 
     groups = grouped(docs, found.filter("token is not null"), n_tokens)
     members = sized(groups.join(classes, F.col("node") == F.col("k1")).select(F.col("root").alias("part"), "rep", "k1", "k2", "size"))
-    # Of large groups the texts are grouped once more, by the counts of tokens among themselves.
-    large = members.filter("large")
-    n_large, tokens = large.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
-    if n_large:
+    # Of large groups the texts are grouped again, by the counts of tokens among themselves, as long as a tenth of them leaves large groups.
+    n_before = None
+    while True:
+        large = members.filter("large")
+        n_large, tokens = large.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+        if not n_large or (n_before is not None and n_large > 0.9 * n_before):
+            break
+        n_before = n_large
         again = checkpointed(texts_of(large, n_large).mapInArrow(_texts(build), "doc_id long, text string").repartition(pieces(tokens * 8, COUNTED_BYTES), "doc_id"))
         groups = grouped(again, again.mapInArrow(_repeats(build), "token long, size long"), tokens)
         finer = groups.join(large.drop("part", "large"), F.col("node") == F.col("k1")).select(F.col("root").alias("part"), "rep", "k1", "k2", "size")
@@ -638,7 +646,7 @@ def set_components(
 
     linked = whole(False).repartition("part").sortWithinPartitions("part", "rep").mapInArrow(_link_parts(percent), "rep long, root long")
     if any_large:
-        linked = linked.unionByName(_link_large(whole(True).dropDuplicates(), percent, group_tokens, group_rows))
+        linked = linked.unionByName(_link_large(whole(True).dropDuplicates(), percent, group_tokens, block_rows))
     linked = checkpointed(linked.groupBy("rep").agg(F.min("root").alias("root")))
     roots = classes.select("k1", "k2", "rep").join(linked, "rep", "left").select("k1", "k2", F.coalesce("root", "rep").alias("root"))
     return (

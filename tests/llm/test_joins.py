@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.llm import ngram_join
 from lodestone.llm.components import connected_components
 from lodestone.llm.ngram_join import CostModel, guarded, keep_one_of_each, leads, least_overlap, ngram_components
 from lodestone.llm.spotsigs import edited, fingerprint_edits, likeness, spot_components
@@ -391,3 +392,21 @@ def test_words_that_agree_in_one_hash(documents):
     rows = [(1, texts[0]), (2, texts[1]), (3, texts[1].upper())]
     got = {r["doc_id"]: r["component_id"] for r in ngram_components(documents(rows)).collect()}
     assert got == {1: 1, 2: 2, 3: 2}
+
+
+def test_large_groups_are_sent_few_times(spark, documents, monkeypatch):
+    """However small the groups that a task takes, blocks are no smaller than they must be; small ones give the same result."""
+    seen, match = [], ngram_join._match
+
+    def counted(queries, members, percent):
+        seen.append(members.agg(F.max("block")).first()[0])
+        return match(queries, members, percent)
+
+    monkeypatch.setattr(ngram_join, "_match", counted)
+    rows = near_copies()
+    want = {i: c for i, (_, c) in brute_components(rows).items()}
+    for settings, several in (({}, False), ({"block_rows": 2}, True)):
+        seen.clear()
+        got = ngram_components(documents(rows), run=2, group_rows=3, **settings).collect()
+        assert {r["doc_id"]: r["component_id"] for r in got} == want
+        assert seen and (max(seen) > 0) == several
