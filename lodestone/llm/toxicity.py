@@ -31,6 +31,8 @@ from lodestone.llm._words import PLAIN_LOWER, U64, mix, text_slices, utf8, word_
 BITS = 24
 #: Bounds of what is learned from: labelled documents, and bytes of their texts.
 MAX_ROWS, MAX_BYTES = 16_000, 64 << 20
+#: Bytes of texts that are hashed at once.
+SLICE_BYTES = 1 << 20
 #: Multipliers of the first word of a pair, by the number of words between the two.
 _GAPS = {1: 0x9E3779B97F4A7C15, 2: 0xC2B2AE3D27D4EB4F, 3: 0x165667B19E3779F9}
 
@@ -80,7 +82,7 @@ def fit(rows: list[tuple[np.ndarray, int]], settings: Settings) -> tuple[np.ndar
             bias_z += g - (np.sqrt(bias_n + g * g) - np.sqrt(bias_n)) / a * bias
             bias_n += g * g
             bias = -bias_z / ((b + np.sqrt(bias_n)) / a)
-    used = np.flatnonzero(np.abs(z) > l1)
+    used = np.flatnonzero((z > l1) | (z < -l1))
     return used, weights(z[used], n[used]), float(bias)
 
 
@@ -90,7 +92,7 @@ def _fit_rows(settings: Settings, max_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple[np.ndarray, int]] = []
         left = max_bytes
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, SLICE_BYTES):
             sizes = np.cumsum(np.diff(utf8(batch.column("text"))[1]))
             fits = int(np.searchsorted(sizes, left, side="right"))
             words, bounds = word_hashes(batch.column("text").slice(0, fits), PLAIN_LOWER)
@@ -178,7 +180,7 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, SLICE_BYTES):
             words, bounds = word_hashes(batch.column("text"), PLAIN_LOWER)
             scores = [known.score(words[i:j]) for i, j in zip(bounds[:-1], bounds[1:])]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "toxicity_score"])
