@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,12 +16,15 @@ from lodestone.functions.html import page_text
 from lodestone.functions.split import CHUNK_OVERLAP, CHUNK_SIZE, SEPARATORS, clamp_overlap, split_text
 
 MIN_CHUNK_CHARS = 30
+#: Bytes of texts that a task holds as Python's strings at once.
+PIECE_BYTES = 1 << 20
 
 
 def prepared(files: DataFrame) -> DataFrame:
     """``text`` as the splitter gets it, by the extension of ``filename``, and the ``processing_mode`` that applied."""
     mode = X.processing_mode(F.col("filename"))
-    page = F.when(mode == "html", page_text(F.col("text")))
+    # The condition stands inside too: Spark gives a Python function every row, whatever is asked of its result.
+    page = F.when(mode == "html", page_text(F.when(mode == "html", F.col("text"))))
     made = files.withColumn("processing_mode", mode).withColumn("page", page)
     body = (
         F.when(F.col("page.mode") == "html", X.clean_lines(F.col("page.text")))
@@ -29,13 +34,24 @@ def prepared(files: DataFrame) -> DataFrame:
     return made.withColumns({"text": X.strip_links(body), "processing_mode": F.coalesce("page.mode", "processing_mode")}).drop("page")
 
 
+def _pieces(texts: pa.Array, most: int) -> Iterator[list[str | None]]:
+    """The texts of an Arrow batch, as many at a time as hold about ``most`` bytes (a longer one alone)."""
+    sizes = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0), np.int64))
+    start = 0
+    while start < len(texts):
+        stop = max(start + 1, int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + most, side="right")))
+        yield texts.slice(start, stop - start).to_pylist()
+        start = stop
+
+
 def split_column(text: Column, size: int, overlap: int, separators: tuple[str, ...] = SEPARATORS) -> Column:
-    """The raw chunks of a text, in order; Arrow batches carry texts to the splitter and chunks back."""
+    """The raw chunks of a text, in order; Arrow batches carry texts to the splitter and chunks back, about ``PIECE_BYTES`` at a time."""
 
-    @F.pandas_udf("array<string>")
-    def split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<string>")
+    def split(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield batch.map(lambda t: [c.strip() for c in split_text(t or "", size, overlap, separators)])
+            for texts in _pieces(batch, PIECE_BYTES):
+                yield pa.array([[c.strip() for c in split_text(t or "", size, overlap, separators)] for t in texts], pa.list_(pa.string()))
 
     return split(text)
 

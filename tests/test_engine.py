@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions.models import HashingEmbedder
-from lodestone.operators import bm25, crawl, fusion, selection, vector
+from lodestone.operators import bm25, chunking, crawl, fusion, selection, vector
 from lodestone.operators.chunking import chunk_documents
 from lodestone.plans import catalogue
 from lodestone.plans.search import SearchEngine
@@ -323,3 +323,14 @@ def test_dimensions_and_keywords():
 
     assert models.embedding_dimension(HashingEmbedder(32)) == 32 and models.embedding_dimension(HashingEmbedder(32, 8)) == 8 and models.embedding_dimension(Probed()) == 7
     assert parsed_keywords('api "user guide" x') == ["api", "user guide", "x"] and parsed_keywords('open "quote') == ["open", '"quote']
+
+
+def test_splitter_gets_pieces_and_parser_only_pages(spark):
+    """Texts come to the splitter a few at a time, and none but HTML to the page parser, which Spark would otherwise run on each row."""
+    texts = pa.array(["a" * 40, None, "b" * 200, "", "c" * 30, "d" * 30])
+    held = list(chunking._pieces(texts, 100))
+    assert [t for part in held for t in part] == texts.to_pylist() and [len(part) for part in held] == [2, 1, 3]
+    files = spark.createDataFrame([("/d/a.md", "a.md", 1.0, None, "word " * 900), ("/d/b.html", "b.html", 1.0, None, f"<p>{'page ' * 900}</p>")], "source_path string, filename string, mtime double, original_url string, text string")
+    assert "extract(CASE WHEN" in chunking.prepared(files)._jdf.queryExecution().analyzed().toString()
+    rows = chunking.chunk_documents(files).groupBy("processing_mode").count().collect()
+    assert {(r["processing_mode"], r["count"] > 1) for r in rows} == {("markdown/text", True), ("html", True)}
