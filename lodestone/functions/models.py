@@ -47,11 +47,13 @@ class HashingEmbedder:
     truncate_dim: int | None = None
 
     def embed(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.dimension), np.float32)
-        for row, text in enumerate(texts):
-            for word in (text or "").lower().split():
-                code = zlib.crc32(word.encode())
-                out[row, code % self.dimension] += 1 if code >> 31 else -1
+        words = [(text or "").lower().split() for text in texts]
+        held = list(dict.fromkeys(w for found in words for w in found))
+        code = np.fromiter((zlib.crc32(w.encode()) for w in held), np.int64, len(held))
+        place = dict(zip(held, range(len(held))))
+        each = code[np.fromiter((place[w] for found in words for w in found), np.int64)]
+        cell = np.repeat(np.arange(len(words)), [len(found) for found in words]) * self.dimension + each % self.dimension
+        out = np.bincount(cell, np.where(each >> 31, 1.0, -1.0), len(words) * self.dimension).reshape(-1, self.dimension).astype(np.float32)
         norms = np.linalg.norm(out, axis=1, keepdims=True)
         return np.divide(out, norms, out=out, where=norms > 0)
 
