@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import shlex
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -45,6 +46,11 @@ _SCHEME = r"^([a-zA-Z][a-zA-Z0-9+.-]*):"
 _PARTS = r"^(?i:(https?)):(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 
 
+def _bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value made once.  Plain nesting repeats it wherever ``then`` names it, so that a few steps make expressions of thousands of parts."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def is_web_url(url: Column) -> Column:
     """What may be typed in as a crawl's root."""
     return F.startswith(url, F.lit("http://")) | F.startswith(url, F.lit("https://"))
@@ -77,32 +83,38 @@ def normalize_url(url: Column) -> Column:
 
     Other schemes than http and https give the empty string, as does null.
     """
-    scheme = F.lower(F.regexp_extract(url, _SCHEME, 1))
-    full = F.when(scheme == "", F.concat(F.lit("https://"), url)).otherwise(url)
-    path = F.regexp_replace(url_part(full, 3), "/+", "/")
-    path = F.when(path == "", F.lit("/")).otherwise(path)
-    query = F.array_join(F.array_sort(F.split(url_part(full, 4), "&")), "&")
-    query = F.when(F.startswith(query, F.lit("&")), F.lit("")).otherwise(query)
-    last = F.element_at(F.split(path, "/"), -1)
-    open_end = (query == "") & ~(F.contains(last, F.lit(".")) & ~F.endswith(last, F.lit("."))) & ~F.endswith(path, F.lit("/"))
-    normal = F.concat(
-        F.lower(url_part(full, 1)),
-        F.lit("://"),
-        url_part(full, 2),
-        path,
-        F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")),
-        F.when(open_end, F.lit("/")).otherwise(F.lit("")),
-    )
-    return F.when(url.isNull() | ~scheme.isin("", "http", "https"), F.lit("")).otherwise(normal)
+
+    def joined(p: Column) -> Column:
+        last = F.element_at(F.split(p["path"], "/"), -1)
+        open_end = (p["query"] == "") & ~(F.contains(last, F.lit(".")) & ~F.endswith(last, F.lit("."))) & ~F.endswith(p["path"], F.lit("/"))
+        ends = F.when(p["query"] != "", F.concat(F.lit("?"), p["query"])).when(open_end, F.lit("/")).otherwise(F.lit(""))
+        return F.concat(F.lower(p["scheme"]), F.lit("://"), p["host"], p["path"], ends)
+
+    def normal(full: Column) -> Column:
+        path, query = F.regexp_replace(url_part(full, 3), "/+", "/"), F.array_join(F.sort_array(F.split(url_part(full, 4), "&")), "&")
+        path = F.when(path == "", F.lit("/")).otherwise(path)
+        query = F.when(F.startswith(query, F.lit("&")), F.lit("")).otherwise(query)
+        return _bound(F.struct(url_part(full, 1).alias("scheme"), url_part(full, 2).alias("host"), path.alias("path"), query.alias("query")), joined)
+
+    def by_scheme(u: Column) -> Column:
+        scheme = F.lower(F.regexp_extract(u, _SCHEME, 1))
+        full = F.when(scheme == "", F.concat(F.lit("https://"), u)).otherwise(u)
+        return F.when(u.isNull() | ~scheme.isin("", "http", "https"), F.lit("")).otherwise(_bound(full, normal))
+
+    return _bound(url, by_scheme)
 
 
 def without_dots(path: Column) -> Column:
     """A path that begins with a slash, its segments ``.`` and ``..`` applied; ``..`` at the root goes."""
-    segments = F.split(path, "/")
-    step = lambda kept, s: F.when(s == ".", kept).when(s == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(1)))).otherwise(F.array_append(kept, s))
-    kept = F.aggregate(F.slice(segments, 2, F.greatest(F.size(segments) - 1, F.lit(0))), F.array(F.lit("")), step)
-    ends = F.when(F.element_at(segments, -1).isin(".", ".."), F.lit("/")).otherwise(F.lit(""))
-    return F.when(path.rlike(r"/\.{1,2}(/|$)"), F.concat(F.array_join(kept, "/"), ends)).otherwise(path)
+
+    def applied(p: Column) -> Column:
+        segments = F.split(p, "/")
+        step = lambda kept, s: F.when(s == ".", kept).when(s == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(1)))).otherwise(F.array_append(kept, s))
+        kept = F.aggregate(F.slice(segments, 2, F.greatest(F.size(segments) - 1, F.lit(0))), F.array(F.lit("")), step)
+        ends = F.when(F.element_at(segments, -1).isin(".", ".."), F.lit("/")).otherwise(F.lit(""))
+        return F.when(p.rlike(r"/\.{1,2}(/|$)"), F.concat(F.array_join(kept, "/"), ends)).otherwise(p)
+
+    return _bound(path, applied)
 
 
 def absolute_link(base: Column, href: Column) -> Column:
@@ -110,17 +122,22 @@ def absolute_link(base: Column, href: Column) -> Column:
 
     Segments ``.`` and ``..`` of the latter kinds' paths are applied; a link with a host of its own is left as it is.
     """
-    origin = F.concat(url_part(base, 1), F.lit("://"), url_part(base, 2))
-    path, rest = F.regexp_extract(href, r"(?s)^([^?#]*)(.*)$", 1), F.regexp_extract(href, r"(?s)^([^?#]*)(.*)$", 2)
-    folder = F.regexp_replace(F.when(url_part(base, 3) == "", F.lit("/")).otherwise(url_part(base, 3)), "[^/]*$", "")
-    return (
-        F.when(href.rlike(_SCHEME), href)
-        .when(F.startswith(href, F.lit("//")), F.concat(url_part(base, 1), F.lit(":"), href))
-        .when(F.startswith(href, F.lit("/")), F.concat(origin, without_dots(path), rest))
-        .when(F.startswith(href, F.lit("?")), F.concat(origin, url_part(base, 3), href))
-        .when((href == "") | F.startswith(href, F.lit("#")), F.concat(F.regexp_replace(base, "#.*$", ""), href))
-        .otherwise(F.concat(origin, without_dots(F.concat(folder, path)), rest))
-    )
+
+    def resolved(link: Column) -> Column:
+        base, href = link["base"], link["href"]
+        origin = F.concat(url_part(base, 1), F.lit("://"), url_part(base, 2))
+        path, rest = F.regexp_extract(href, r"(?s)^([^?#]*)(.*)$", 1), F.regexp_extract(href, r"(?s)^([^?#]*)(.*)$", 2)
+        folder = F.regexp_replace(F.when(url_part(base, 3) == "", F.lit("/")).otherwise(url_part(base, 3)), "[^/]*$", "")
+        return (
+            F.when(href.rlike(_SCHEME), href)
+            .when(F.startswith(href, F.lit("//")), F.concat(url_part(base, 1), F.lit(":"), href))
+            .when(F.startswith(href, F.lit("/")), F.concat(origin, without_dots(path), rest))
+            .when(F.startswith(href, F.lit("?")), F.concat(origin, url_part(base, 3), href))
+            .when((href == "") | F.startswith(href, F.lit("#")), F.concat(F.regexp_replace(base, "#.*$", ""), href))
+            .otherwise(F.concat(origin, without_dots(F.concat(folder, path)), rest))
+        )
+
+    return _bound(F.struct(base.alias("base"), href.alias("href")), resolved)
 
 
 def page_base(url: Column, base: Column) -> Column:

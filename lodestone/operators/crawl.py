@@ -36,7 +36,8 @@ Fetcher = Callable[[DataFrame], DataFrame]
 
 def table_fetcher(pages: DataFrame, normalize: bool = True) -> Fetcher:
     """Serves pages ``url, html`` from a table; urls that it lacks come back with a null page."""
-    known = pages.select((U.normalize_url(F.col("url")) if normalize else F.col("url")).alias("url"), "html").dropDuplicates(["url"])
+    # Written once: every round reads it.
+    known = saved(pages.select((U.normalize_url(F.col("url")) if normalize else F.col("url")).alias("url"), "html").dropDuplicates(["url"]))
     return lambda frontier: frontier.join(known, "url", "left")
 
 
@@ -65,10 +66,11 @@ def failure_reason(page: Column, text: Column, success: Column | None = None, er
 
 def links_of(pages: DataFrame, keywords: tuple[str, ...] = U.RELEVANCE_KEYWORDS) -> DataFrame:
     """Every link of pages ``url, html, level``: source, normalised target, text, level and priority."""
-    links = pages.select(F.col("url").alias("source_url"), "level", F.explode(page_links(F.col("html"))).alias("link"))
-    # Step by step: nested into one another, these expressions would repeat their inputs many times over.
-    full = links.withColumn("url", U.absolute_link(U.page_base(F.col("source_url"), F.col("link.base")), F.col("link.href")))
-    found = full.select("source_url", U.normalize_url(F.col("url")).alias("url"), F.col("link.text").alias("text"), (F.col("level") + 1).alias("level"))
+    links = pages.select(F.col("url").alias("source_url"), "level", F.explode(page_links(F.col("html"))).alias("link")).select("source_url", "level", "link.*")
+    links = links.repartition("source_url", "href")  # else all links of a page stay in its task
+    url = U.normalize_url(U.absolute_link(U.page_base(F.col("source_url"), F.col("base")), F.col("href")))
+    # Exploded: what filters ask of a url is then asked of the one that was made, and not of copies of its expression.
+    found = links.select("source_url", F.explode(F.array(url)).alias("url"), "text", (F.col("level") + 1).alias("level"))
     return found.filter("url <> ''").withColumn("priority", U.link_priority(F.col("url"), F.col("text"), keywords))
 
 
@@ -139,13 +141,14 @@ def crawl(
         elif time.monotonic() - progress > stall:
             _log.warning("no new page for %.0f s, %d urls wait", time.monotonic() - progress, waiting)
             progress = time.monotonic()
-        links = save(links_of(good.filter(F.col("level") <= max_depth), keywords))  # else the filters below would repeat its expressions
+        links = links_of(good.filter(F.col("level") <= max_depth), keywords)
         if accept is None:
             wanted = links.filter(U.is_content_page(F.col("url"))).withColumn("host", F.lower(U.url_part(F.col("url"), 2)))
             wanted = wanted.join(F.broadcast(hosts), U.host_within(F.col("host"), F.col("root")), "left_semi")  # the stated roots
         else:
             wanted = links.filter(accept)
-        fresh = wanted.join(queued.all().select("url"), "url", "left_anti").groupBy("url").agg(F.min("level").alias("level"), F.min("priority").alias("priority"))
+        # Links to one url become one row before they are moved, as most pages may link to a few.
+        fresh = wanted.groupBy("url").agg(F.min("level").alias("level"), F.min("priority").alias("priority")).join(queued.all().select("url"), "url", "left_anti")
         queued.add(fresh.select("url", "level", "priority"))
     if not done.held:
         empty = roots.sparkSession.createDataFrame

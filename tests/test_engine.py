@@ -334,3 +334,13 @@ def test_splitter_gets_pieces_and_parser_only_pages(spark):
     assert "extract(CASE WHEN" in chunking.prepared(files)._jdf.queryExecution().analyzed().toString()
     rows = chunking.chunk_documents(files).groupBy("processing_mode").count().collect()
     assert {(r["processing_mode"], r["count"] > 1) for r in rows} == {("markdown/text", True), ("html", True)}
+
+
+def test_crawl_makes_a_url_once(spark):
+    """Filters ask a link's url for its value; pushed below the step that makes it, they would hold that step's expression many times over.  A table's urls are normalised once, not each round."""
+    pages = spark.createDataFrame([("http://r.org/", "<a href='/a/../x'>x</a><a href='x/'>guide</a><a href='mailto:x'>m</a>", 1)], "url string, html string, level int")
+    links = crawl.links_of(pages)
+    assert sorted((r["url"], r["text"], r["level"]) for r in links.collect()) == [("http://r.org/x/", "guide", 2), ("http://r.org/x/", "x", 2)]
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(links).count("regexp_extract") < 60
+    assert "regexp" not in plan(crawl.table_fetcher(pages)(pages.select("url")))
