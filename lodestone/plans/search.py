@@ -16,6 +16,8 @@ from lodestone.sources import files as files_in
 from lodestone.sources.store import ChunkStore
 
 DERIVED = ("embedding", "tokens")  # what a chunk's text is searched by
+#: Queries whose candidates are broadcast.
+MAX_BROADCAST_QUERIES = 20_000
 
 PROMPT = """Answer the question from the context alone, in one clear sentence and a short explanation.
 If the context lacks the answer, say so.
@@ -33,6 +35,11 @@ def prompt_of(context, query):
     return F.concat(F.lit(head), context, F.lit(middle), query, F.lit(tail))
 
 
+def few(rows: DataFrame, queries: DataFrame) -> DataFrame:
+    """Some rows a query, to be broadcast unless the queries are very many."""
+    return F.broadcast(rows) if queries.count() <= MAX_BROADCAST_QUERIES else rows
+
+
 def retrieve(
     chunks: DataFrame,
     queries: DataFrame,
@@ -53,14 +60,14 @@ def retrieve(
     asked = queries.select("query_id", M.embedded(F.col("text"), embedder).alias("embedding"))
     keyed = chunks.select(F.xxhash64("chunk_id").alias("vec_id"), "chunk_id", "embedding")
     near = vector.nearest(keyed.select("vec_id", "embedding"), asked, n_vector) if vectors is None else vectors.search(asked, n_vector, n_probe)
-    near = near.join(keyed.select("vec_id", "chunk_id"), "vec_id")
+    # A few rows a query: chunks are read past them, and neither their names nor (in hydrated) their texts are shuffled.
+    near = few(near, queries).join(keyed.select("vec_id", "chunk_id"), "vec_id")
     texts = "tokens" if "tokens" in chunks.columns else "text"
     if index is None:
-        scores = bm25.bm25_scores(chunks.select("chunk_id", texts), queries, mode=mode)
+        words = bm25.best(chunks.select("chunk_id", texts), queries, n_bm25, mode=mode)
     else:
-        scores = index.search(term_clauses(queries, mode)).withColumnRenamed("key", "chunk_id")
-    words = bm25.top_k(scores, n_bm25)
-    return fusion.candidates(fusion.fuse(near, words), k)
+        words = bm25.top_k(index.search(term_clauses(queries, mode)).withColumnRenamed("key", "chunk_id"), n_bm25)
+    return few(fusion.candidates(fusion.fuse(near, words), k), queries)
 
 
 def hydrated(candidates: DataFrame, chunks: DataFrame) -> DataFrame:
