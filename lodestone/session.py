@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,6 +34,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lodestone-"))
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Queries written within leave no shuffle files behind; otherwise these stay until the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def saved(df: DataFrame) -> DataFrame:
     """``df`` written to the reliable checkpoint folder, with its lineage cut."""
     ensure_checkpoint_dir(df.sparkSession)
